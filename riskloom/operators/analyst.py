@@ -195,7 +195,7 @@ def context_blocks(questions: DataFrame, segments: DataFrame, view: DataFrame,
     seg = segments.withColumn("line", segment_line(segments))
     m = qf.select(key, "source_filter", "age_filter").join(
         F.broadcast(seg),
-        (F.col("source_filter").isNull() | F.col("traffic_source").ilike(F.col("source_filter")))
+        (F.col("source_filter").isNull() | F.expr("traffic_source ILIKE source_filter"))
         & (F.col("age_filter").isNull() | (F.col("age_filter") == F.col("age_bucket"))),
         "inner")
     w = Window.partitionBy(key).orderBy(*_segment_order())

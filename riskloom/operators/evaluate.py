@@ -75,12 +75,17 @@ def classification_report(scored: DataFrame, label: str = "label", pred: str = "
     n = s0 + s1
     acc = F.coalesce(F.try_divide((tp + tn).cast("double"), n), F.lit(0.0))
     w = lambda a, b: F.coalesce(F.try_divide(a * s0 + b * s1, n.cast("double")), F.lit(0.0))
+    def row(name, p, r, f, s):
+        return F.struct(F.lit(name).alias("class"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1"),
+                        s.cast("long").alias("support"))
+
     rows = F.array(
-        F.struct(F.lit("0").alias("class"), p0.alias("precision"), r0.alias("recall"), f0.alias("f1"), s0.alias("support")),
-        F.struct(F.lit("1"), p1, r1, f1, s1),
-        F.struct(F.lit("accuracy"), F.lit(None).cast("double"), F.lit(None).cast("double"), acc, n),
-        F.struct(F.lit("macro avg"), (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
-        F.struct(F.lit("weighted avg"), w(p0, p1), w(r0, r1), w(f0, f1), n),
+        row("0", p0, r0, f0, s0),
+        row("1", p1, r1, f1, s1),
+        row("accuracy", F.lit(None).cast("double"), F.lit(None).cast("double"), acc, n),
+        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
+        row("weighted avg", w(p0, p1), w(r0, r1), w(f0, f1), n),
     )
     out = c.select(F.explode(rows).alias("r")).select("r.*")
     return out.select("class", *[F.round(F.col(k), 6).alias(k) for k in ("precision", "recall", "f1")],

@@ -20,16 +20,23 @@ def _dec(c: str, p: int, s: int) -> F.Column:
     return F.round(F.col(c).cast("double"), s).cast(T.DecimalType(p, s))
 
 
+def _exact_avg_order_value() -> F.Column:
+    """revenue / orders (0 -> 1) rounded half-up to cents in DECIMAL
+    arithmetic: rounding the binary double would turn x.xx5 into x.xx4."""
+    orders_nz = F.when(F.col("total_orders") == 0, F.lit(1)).otherwise(F.col("total_orders"))
+    rev = F.col("total_revenue").cast(T.DecimalType(18, 2))
+    return F.round(rev / orders_nz.cast(T.DecimalType(20, 0)), 2).cast(T.DecimalType(10, 2))
+
+
 def customers_table(scored: DataFrame, with_created_at: bool = True) -> DataFrame:
     """customers payload: derived average order value (orders 0 -> 1),
     NUMERIC precisions, truncating int casts, boolean flag."""
-    orders_nz = F.when(F.col("total_orders") == 0, F.lit(1)).otherwise(F.col("total_orders"))
     cols = [
         F.col("user_id").cast("long"),
         "age_bucket", "gender", "traffic_source",
         F.col("total_orders").cast("int").alias("total_orders"),
         _dec("total_revenue", 10, 2).alias("total_revenue"),
-        F.round(F.col("total_revenue").cast("double") / orders_nz, 2).cast(T.DecimalType(10, 2)).alias("avg_order_value"),
+        _exact_avg_order_value().alias("avg_order_value"),
         _dec("orders_per_month", 8, 3).alias("orders_per_month"),
         F.col("customer_tenure_days").cast("int").alias("customer_tenure_days"),
         _dec("return_rate", 5, 3).alias("return_rate"),

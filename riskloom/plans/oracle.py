@@ -153,8 +153,8 @@ def chain(p: str = "", lag_days: int | None = None) -> list[str]:
         f"""{p}cust AS (SELECT user_id, age_bucket, gender, traffic_source,
               CAST(total_orders AS INTEGER) AS total_orders,
               CAST(round(CAST(total_revenue AS DOUBLE), 2) AS DECIMAL(10,2)) AS total_revenue,
-              CAST(round(CAST(total_revenue AS DOUBLE) / CASE WHEN total_orders = 0 THEN 1 ELSE total_orders END, 2)
-                   AS DECIMAL(10,2)) AS avg_order_value,
+              CAST((2 * CAST(total_revenue * 100 AS BIGINT) + greatest(total_orders, 1))
+                   // (2 * greatest(total_orders, 1)) / 100.0e0 AS DECIMAL(10,2)) AS avg_order_value,
               CAST(round(orders_per_month, 3) AS DECIMAL(8,3)) AS orders_per_month,
               CAST(trunc(customer_tenure_days) AS INTEGER) AS customer_tenure_days,
               CAST(round(return_rate, 3) AS DECIMAL(5,3)) AS return_rate,
