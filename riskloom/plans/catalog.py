@@ -466,3 +466,37 @@ def q_roundtrip(spark, d):
     path = scratch_path(spark, "predictions")
     write_table(scoring.predictions(_t(spark, d)), path, partition_by=["risk_tier"])
     return read_table(spark, path, S.PREDICTION_SCHEMA).select(S.PREDICTION_COLUMNS)
+
+
+# --------------------------------------------------------------------- models
+def _trained(spark, d, settings=None):
+    from riskloom.operators import score
+    prepared = _prepared(spark, d)
+    return score.train_models(prepared, settings), prepared
+
+
+@query("scaled_features")
+def q_scaled_features(spark, d):
+    from riskloom.operators import score
+    return score.scaled_features(_prepared(spark, d))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, d):
+    from riskloom.operators import score
+    tm, _ = _trained(spark, d)
+    return score.model_comparison(tm)
+
+
+@query("feature_drivers")
+def q_feature_drivers(spark, d):
+    from riskloom.operators import score
+    tm, _ = _trained(spark, d, score.ModelSettings(models=["Gradient Boosted Trees"]))
+    return score.feature_importances(tm)
+
+
+@query("ml_scores")
+def q_ml_scores(spark, d):
+    from riskloom.operators import score
+    tm, prepared = _trained(spark, d)
+    return score.score_all(tm, prepared)

@@ -143,7 +143,7 @@ def chain(p: str = "", lag_days: int | None = None) -> list[str]:
               CASE WHEN p_raw IS NOT NULL AND NOT isnan(p_raw) AND p_raw >= {S.HIGH_THRESHOLD}e0 THEN 'High'
                    WHEN p_raw IS NOT NULL AND NOT isnan(p_raw) AND p_raw >= {S.MEDIUM_THRESHOLD}e0 THEN 'Medium'
                    ELSE 'Low' END AS risk_tier,
-              round(p_raw, 4) AS churn_probability
+              CAST(round(CAST(CAST(p_raw AS VARCHAR) AS DECIMAL(38,18)), 4) AS DOUBLE) AS churn_probability
             FROM {p}based)""",
         f"""{p}pred AS (SELECT user_id, churn_probability, risk_tier, churned AS actual_churned, total_orders,
               CAST(total_revenue AS DOUBLE) AS total_revenue, orders_per_month, customer_tenure_days, return_rate,
@@ -152,17 +152,17 @@ def chain(p: str = "", lag_days: int | None = None) -> list[str]:
             FROM {p}tiered)""",
         f"""{p}cust AS (SELECT user_id, age_bucket, gender, traffic_source,
               CAST(total_orders AS INTEGER) AS total_orders,
-              CAST(round(CAST(total_revenue AS DOUBLE), 2) AS DECIMAL(10,2)) AS total_revenue,
+              CAST(CAST(round(CAST(CAST(CAST(total_revenue AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS DECIMAL(10,2)) AS total_revenue,
               CAST((2 * CAST(total_revenue * 100 AS BIGINT) + greatest(total_orders, 1))
                    // (2 * greatest(total_orders, 1)) / 100.0e0 AS DECIMAL(10,2)) AS avg_order_value,
-              CAST(round(orders_per_month, 3) AS DECIMAL(8,3)) AS orders_per_month,
+              CAST(CAST(round(CAST(CAST(orders_per_month AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS DECIMAL(8,3)) AS orders_per_month,
               CAST(trunc(customer_tenure_days) AS INTEGER) AS customer_tenure_days,
-              CAST(round(return_rate, 3) AS DECIMAL(5,3)) AS return_rate,
+              CAST(CAST(round(CAST(CAST(return_rate AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS DECIMAL(5,3)) AS return_rate,
               CAST(one_time_buyer AS BOOLEAN) AS one_time_buyer,
               CAST(rfm_frequency_score AS SMALLINT) AS rfm_frequency_score,
               CAST(rfm_monetary_score AS SMALLINT) AS rfm_monetary_score
             FROM {p}tiered)""",
-        f"""{p}scores AS (SELECT user_id, CAST(round(churn_probability, 4) AS DECIMAL(6,4)) AS churn_probability,
+        f"""{p}scores AS (SELECT user_id, CAST(CAST(round(CAST(CAST(churn_probability AS VARCHAR) AS DECIMAL(38,18)), 4) AS DOUBLE) AS DECIMAL(6,4)) AS churn_probability,
               risk_tier, CAST(actual_churned AS BOOLEAN) AS actual_churned,
               top_feature_1, top_feature_2, top_feature_3
             FROM {p}pred)""",
@@ -172,11 +172,11 @@ def chain(p: str = "", lag_days: int | None = None) -> list[str]:
               s.top_feature_1, s.top_feature_2, s.top_feature_3
             FROM {p}cust c JOIN {p}scores s ON c.user_id = s.user_id)""",
         f"""{p}seg AS (SELECT risk_tier, age_bucket, gender, traffic_source, count(*) AS user_count,
-              CAST(round(avg(churn_probability), 3) AS DOUBLE) AS avg_churn_prob,
-              CAST(round(sum(total_revenue), 2) AS DOUBLE) AS total_revenue_at_risk,
-              CAST(round(avg(total_orders), 1) AS DOUBLE) AS avg_orders,
-              CAST(round(avg(orders_per_month), 2) AS DOUBLE) AS avg_orders_per_month,
-              CAST(round(avg(return_rate), 3) AS DOUBLE) AS avg_return_rate,
+              CAST(CAST(round(CAST(CAST(avg(churn_probability) AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS DOUBLE) AS avg_churn_prob,
+              CAST(CAST(round(CAST(CAST(sum(total_revenue) AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS DOUBLE) AS total_revenue_at_risk,
+              CAST(CAST(round(CAST(CAST(avg(total_orders) AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS DOUBLE) AS avg_orders,
+              CAST(CAST(round(CAST(CAST(avg(orders_per_month) AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS DOUBLE) AS avg_orders_per_month,
+              CAST(CAST(round(CAST(CAST(avg(return_rate) AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS DOUBLE) AS avg_return_rate,
               CAST(sum(CASE WHEN one_time_buyer THEN 1 ELSE 0 END) AS BIGINT) AS one_time_buyers
             FROM {p}view GROUP BY risk_tier, age_bucket, gender, traffic_source)""",
     ]
@@ -211,6 +211,12 @@ SEG_ORDER = ("total_revenue_at_risk DESC NULLS FIRST, risk_tier NULLS FIRST, age
              "gender NULLS FIRST, traffic_source NULLS FIRST")
 
 
+def _r(x: str, d: int = 2) -> str:
+    """Half-up rounding of the shortest decimal form of a double (what
+    Spark's round does), not of its binary value."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), {d}) AS DOUBLE)"
+
+
 def _describe_sql() -> str:
     parts = []
     num = [f.name for f in S.FEATURE_SCHEMA.fields
@@ -218,10 +224,10 @@ def _describe_sql() -> str:
     for c in num:
         x = f"CAST({c} AS DOUBLE)"
         parts.append(
-            f"SELECT '{c}' AS \"column\", CAST(count({x}) AS DOUBLE) AS count, round(avg({x}), 2) AS mean, "
-            f"round(stddev_samp({x}), 2) AS std, round(min({x}), 2) AS min, "
-            f"round(quantile_cont({x}, 0.25), 2) AS p25, round(quantile_cont({x}, 0.5), 2) AS p50, "
-            f"round(quantile_cont({x}, 0.75), 2) AS p75, round(max({x}), 2) AS max FROM feat")
+            f"SELECT '{c}' AS \"column\", CAST(count({x}) AS DOUBLE) AS count, {_r(f'avg({x})')} AS mean, "
+            f"{_r(f'stddev_samp({x})')} AS std, {_r(f'min({x})')} AS min, "
+            f"{_r(f'quantile_cont({x}, 0.25)')} AS p25, {_r(f'quantile_cont({x}, 0.5)')} AS p50, "
+            f"{_r(f'quantile_cont({x}, 0.75)')} AS p75, {_r(f'max({x})')} AS max FROM feat")
     return with_chain("\nUNION ALL\n".join(parts))
 
 
@@ -235,9 +241,9 @@ def _class_comparison_sql() -> str:
     parts = []
     for c in S.CLASS_COMPARE_COLUMNS:
         x = f"CAST({c} AS DOUBLE)"
-        parts.append(f"SELECT '{c}' AS metric, round(avg(CASE WHEN churned = 0 THEN {x} END), 3) AS retained_avg, "
-                     f"round(avg(CASE WHEN churned = 1 THEN {x} END), 3) AS churned_avg FROM cleaned")
-    return with_chain("SELECT *, round(CASE WHEN churned_avg = 0 THEN NULL ELSE retained_avg / churned_avg END, 2) "
+        parts.append(f"SELECT '{c}' AS metric, CAST(round(CAST(CAST(avg(CASE WHEN churned = 0 THEN {x} END) AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS retained_avg, "
+                     f"CAST(round(CAST(CAST(avg(CASE WHEN churned = 1 THEN {x} END) AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS churned_avg FROM cleaned")
+    return with_chain("SELECT *, CAST(round(CAST(CAST(CASE WHEN churned_avg = 0 THEN NULL ELSE retained_avg / churned_avg END AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) "
                       "AS ratio FROM (" + "\nUNION ALL\n".join(parts) + ")")
 
 
@@ -248,7 +254,7 @@ def _pearson(a: str, b: str) -> str:
 
 def _corr_matrix_sql() -> str:
     cols = S.CORR_MATRIX_COLUMNS
-    parts = [f"SELECT '{a}' AS col_a, '{b}' AS col_b, round({_pearson(a, b)}, 6) AS corr FROM cleaned"
+    parts = [f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST(round(CAST(CAST({_pearson(a, b)} AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS corr FROM cleaned"
              for i, a in enumerate(cols) for b in cols[i + 1:]]
     return with_chain("\nUNION ALL\n".join(parts))
 
@@ -272,7 +278,7 @@ def _leak_sql() -> str:
     parts = [f"SELECT '{name}' AS feature, abs({_pearson(f, 'churned')}) AS abs_corr FROM enc"
              for name, f in zip(MODEL_FEATURES, feats)]
     return ("WITH " + ",\n".join(chain("") + [_encoded_cte()]) + "\n"
-            + "SELECT feature, round(abs_corr, 6) AS abs_corr, abs_corr > " + f"{S.LEAK_CORRELATION_THRESHOLD}e0"
+            + "SELECT feature, CAST(round(CAST(CAST(abs_corr AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS abs_corr, abs_corr > " + f"{S.LEAK_CORRELATION_THRESHOLD}e0"
             + " AS flagged FROM (" + "\nUNION ALL\n".join(parts) + ") ORDER BY abs_corr DESC NULLS LAST, feature "
             + f"LIMIT {S.LEAK_TOP_N}")
 
@@ -314,13 +320,13 @@ def _report_sql() -> str:
                  tp + fn AS s1, tn + fp AS s0 FROM c)""",
         """f AS (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1,
                  coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, s0 + s1 AS n FROM m)"""],
-        """SELECT '0' AS class, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, s0 AS support FROM f
-           UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1, 6), s1 FROM f
-           UNION ALL SELECT 'accuracy', NULL, NULL, round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0), 6), n FROM f
-           UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), n FROM f
-           UNION ALL SELECT 'weighted avg', round(coalesce((p0 * s0 + p1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0), 6),
-                  round(coalesce((r0 * s0 + r1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0), 6),
-                  round(coalesce((f0 * s0 + f1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0), 6), n FROM f""")
+        """SELECT '0' AS class, CAST(round(CAST(CAST(p0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS precision, CAST(round(CAST(CAST(r0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS recall, CAST(round(CAST(CAST(f0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS f1, s0 AS support FROM f
+           UNION ALL SELECT '1', CAST(round(CAST(CAST(p1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST(r1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST(f1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), s1 FROM f
+           UNION ALL SELECT 'accuracy', NULL, NULL, CAST(round(CAST(CAST(coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f
+           UNION ALL SELECT 'macro avg', CAST(round(CAST(CAST((p0 + p1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST((r0 + r1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST((f0 + f1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f
+           UNION ALL SELECT 'weighted avg', CAST(round(CAST(CAST(coalesce((p0 * s0 + p1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE),
+                  CAST(round(CAST(CAST(coalesce((r0 * s0 + r1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE),
+                  CAST(round(CAST(CAST(coalesce((f0 * s0 + f1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f""")
 
 
 def _questions_cte() -> str:
@@ -347,7 +353,7 @@ def _segment_line_sql() -> str:
       SELECT risk_tier, age_bucket, gender, traffic_source,
         concat_ws(' | ', risk_tier, age_bucket, gender, traffic_source, CAST(user_count AS VARCHAR),
           printf('%.1f', avg_churn_prob * 100) || '%',
-          '$' || format('{{:,}}', CAST(round(coalesce(total_revenue_at_risk, 0), 0) AS BIGINT)),
+          '$' || format('{{:,}}', CAST(CAST(round(CAST(CAST(coalesce(total_revenue_at_risk, 0) AS VARCHAR) AS DECIMAL(38,18)), 0) AS DOUBLE) AS BIGINT)),
           printf('%.2f', coalesce(avg_orders_per_month, 0)),
           printf('%.1f', avg_return_rate * 100) || '%',
           CAST(one_time_buyers AS VARCHAR)) AS line
@@ -368,7 +374,7 @@ def oracle_sql() -> dict[str, str]:
     score_sel = _dbl(SCORE_COLS, {"churn_probability"})
     pred_cols = ", ".join(S.PREDICTION_COLUMNS)
     age_dom = " UNION ALL ".join(f"SELECT {i} AS position, '{a}' AS age_bucket" for i, a in enumerate(S.AGE_BUCKETS))
-    heat = ", ".join(f"CAST(round(avg(CASE WHEN age_bucket = '{a}' THEN churn_probability END), 3) AS DOUBLE) AS \"{a}\""
+    heat = ", ".join(f"CAST(CAST(round(CAST(CAST(avg(CASE WHEN age_bucket = '{a}' THEN churn_probability END) AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS DOUBLE) AS \"{a}\""
                      for a in S.AGE_BUCKETS)
     q = {
         "feature_base": with_chain(f"SELECT {_FEAT_SELECT} FROM feat"),
@@ -438,9 +444,9 @@ def oracle_sql() -> dict[str, str]:
         "hist_orders_month": _hist_sql("orders_per_month", S.HIST_ORDERS_MONTH_CLIP, S.HIST_ORDERS_MONTH_BINS),
         "hist_revenue": _hist_sql("total_revenue", S.HIST_REVENUE_CLIP, S.HIST_REVENUE_BINS),
         "clipped_means": with_chain(
-            f"SELECT churned, round(avg(least(orders_per_month, {S.HIST_ORDERS_MONTH_CLIP!r}e0)), 6) "
-            f"AS orders_per_month_clipped, round(avg(least(CAST(total_revenue AS DOUBLE), "
-            f"{S.HIST_REVENUE_CLIP!r}e0)), 6) AS total_revenue_clipped FROM eng GROUP BY churned"),
+            f"SELECT churned, CAST(round(CAST(CAST(avg(least(orders_per_month, {S.HIST_ORDERS_MONTH_CLIP!r}e0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) "
+            f"AS orders_per_month_clipped, CAST(round(CAST(CAST(avg(least(CAST(total_revenue AS DOUBLE), "
+            f"{S.HIST_REVENUE_CLIP!r}e0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS total_revenue_clipped FROM eng GROUP BY churned"),
         "stratified_split": _with_extra(_TEST[:1], "SELECT user_id, churned, split FROM spl"),
         "class_balance": _with_extra(_TEST[:1], """
             SELECT negatives, positives, CAST(negatives AS DOUBLE) / nullif(positives, 0) AS pos_weight,
@@ -471,23 +477,23 @@ def oracle_sql() -> dict[str, str]:
         "customer_risk": with_chain(f"SELECT {_dbl(VIEW_COLS, CUST_DEC | {'churn_probability'})} FROM view"),
         "segment_summary": with_chain(f"SELECT {SEG_COLS} FROM seg"),
         "tier_summary": with_chain(
-            "SELECT risk_tier, count(*) AS users, CAST(round(avg(churn_probability), 3) AS DOUBLE) AS avg_score, "
-            "CAST(round(sum(total_revenue), 2) AS DOUBLE) AS revenue_at_risk FROM view GROUP BY risk_tier "
+            "SELECT risk_tier, count(*) AS users, CAST(CAST(round(CAST(CAST(avg(churn_probability) AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS DOUBLE) AS avg_score, "
+            "CAST(CAST(round(CAST(CAST(sum(total_revenue) AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS DOUBLE) AS revenue_at_risk FROM view GROUP BY risk_tier "
             "ORDER BY avg_score DESC, risk_tier"),
         "tier_distribution": with_chain(
-            "SELECT risk_tier, users, round(users * 100.0e0 / sum(users) OVER (), 1) AS share_pct, "
-            "CAST(round(avg_p * 100, 1) AS DOUBLE) AS avg_score_pct FROM (SELECT risk_tier, count(*) AS users, "
+            "SELECT risk_tier, users, CAST(round(CAST(CAST(users * 100.0e0 / sum(users) OVER () AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS share_pct, "
+            "CAST(CAST(round(CAST(CAST(avg_p * 100 AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS DOUBLE) AS avg_score_pct FROM (SELECT risk_tier, count(*) AS users, "
             "avg(churn_probability) AS avg_p FROM view GROUP BY risk_tier)"),
         "tier_counts": with_chain("SELECT risk_tier, count(*) AS count FROM pred GROUP BY risk_tier "
                                   "ORDER BY count DESC, risk_tier"),
         "verify_tiers": with_chain(
             "SELECT risk_tier, count(churn_probability) AS count, "
-            "CAST(round(avg(churn_probability), 3) AS DOUBLE) AS avg_score, "
+            "CAST(CAST(round(CAST(CAST(avg(churn_probability) AS VARCHAR) AS DECIMAL(38,18)), 3) AS DOUBLE) AS DOUBLE) AS avg_score, "
             "(SELECT count(*) FROM scores) AS total_rows FROM scores GROUP BY risk_tier"),
         "overview_stats": with_chain("""
             SELECT h + m + l AS total_customers, h AS high_risk_count,
                    CASE WHEN h + m + l > 0 THEN h * 100.0e0 / (h + m + l) ELSE 0.0e0 END AS high_risk_pct,
-                   m AS medium_risk_count, l AS low_risk_count, round(rev, 2) AS revenue_at_risk
+                   m AS medium_risk_count, l AS low_risk_count, CAST(round(CAST(CAST(rev AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS revenue_at_risk
             FROM (SELECT CAST(coalesce(sum(CASE WHEN risk_tier = 'High' THEN user_count END), 0) AS BIGINT) AS h,
                          CAST(coalesce(sum(CASE WHEN risk_tier = 'Medium' THEN user_count END), 0) AS BIGINT) AS m,
                          CAST(coalesce(sum(CASE WHEN risk_tier = 'Low' THEN user_count END), 0) AS BIGINT) AS l,
@@ -537,4 +543,13 @@ def oracle_sql() -> dict[str, str]:
             f"WHERE {c} IS NOT NULL AND TRY_CAST(round({c}, {s}) AS DECIMAL({p},{s})) IS NULL"
             for c, (p, s) in S.CUSTOMER_DECIMALS.items())),
     }
+    feats_enc = [f"{c}_code" if c in ENCODED else c for c in MODEL_FEATURES]
+    stats = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{i}, stddev_pop(CAST({f} AS DOUBLE)) AS s_{i}"
+                      for i, f in enumerate(feats_enc))
+    zs = ", ".join(f"CAST(round(CAST(CAST(coalesce((CAST({f} AS DOUBLE) - m_{i}) / nullif(s_{i}, 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS {c}"
+                   for i, (c, f) in enumerate(zip(MODEL_FEATURES, feats_enc)))
+    q["scaled_features"] = _with_extra(
+        [_encoded_cte(), f"sp AS (SELECT *, {_SPLIT} AS split FROM enc)",
+         f"st AS (SELECT {stats} FROM sp WHERE split = 'train')"],
+        f"SELECT user_id, split, {zs} FROM sp CROSS JOIN st")
     return q
