@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
-from riskloom.operators.rank import distributed_rank
+from riskloom.operators.rank import quantiles_from_ranks, rank_columns
 
 
 def clean_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -22,58 +22,30 @@ def clean_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def exact_quantiles(df: DataFrame, key: str, columns: list[str], probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles of several columns in ONE
-    distributed sort: (column, prob, value).
-
-    Rows are unpivoted to (column index, value, key) and globally ranked on
-    that total order, so each column's values form a contiguous rank range;
-    a k-row table of per-column offsets turns global ranks into per-column
-    ranks, and only the rows at the 2 bracketing positions per quantile are
-    kept.  Memory per task is bounded by its partition, whatever the number
-    of distinct values.
-    """
-    items = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v"))
-                      for i, c in enumerate(columns)])
-    long = (df.select(F.col(key).alias("_k"), F.explode(items).alias("_s"))
-            .select("_k", F.col("_s.ci").alias("ci"), F.col("_s.v").alias("v"))
-            .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    ranked = distributed_rank(long, [F.col("ci").asc(), F.col("v").asc(), F.col("_k").asc()],
-                              "_r", None, num_partitions)
-    spark = df.sparkSession
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "ci int, column string")
-    plist = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    per_col = ranked.groupBy(F.col("ci").alias("w_ci")).agg(
-        (F.min("_r") - 1).alias("off"), F.count(F.lit(1)).alias("n"))
-    pos = F.col("prob") * (F.col("n") - 1).cast("double")
-    wanted = (per_col.crossJoin(F.broadcast(plist))  # k x len(probs) rows
-              .select("w_ci", "prob", pos.alias("pos"),
-                      (F.col("off") + F.floor(pos) + 1).alias("lo_r"),
-                      (F.col("off") + F.ceil(pos) + 1).alias("hi_r")))
-    hits = ranked.join(F.broadcast(wanted), (F.col("ci") == F.col("w_ci"))
-                       & ((F.col("_r") == F.col("lo_r")) | (F.col("_r") == F.col("hi_r"))))
-    q = (hits.groupBy("ci", "prob")
-         .agg(F.max(F.when(F.col("_r") == F.col("lo_r"), F.col("v"))).alias("lo"),
-              F.max(F.when(F.col("_r") == F.col("hi_r"), F.col("v"))).alias("hi"),
-              F.max(F.col("pos") - F.floor("pos")).alias("frac")))
-    val = F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo"))
-    return q.join(F.broadcast(names), "ci").select("column", "prob", val.alias("value"))
+    distributed sort: (column, prob, value).  Memory per task is bounded by
+    its partition, whatever the number of distinct values."""
+    ranked = rank_columns(df, key, [(c, c, False) for c in columns], num_partitions)
+    return quantiles_from_ranks(ranked, columns, probs)
 
 
 def quantile_caps(df: DataFrame, key: str = "user_id", columns: list[str] | None = None,
-                  q: float = S.CAP_QUANTILE) -> DataFrame:
-    """One row: ``<col>_cap`` = exact q-quantile of each column."""
+                  q: float = S.CAP_QUANTILE, ranked: DataFrame | None = None) -> DataFrame:
+    """One row: ``<col>_cap`` = exact q-quantile of each column (from an
+    existing rank_columns result when given)."""
     cols = columns or S.CAP_COLUMNS
-    long = exact_quantiles(df, key, cols, [q])
+    long = (quantiles_from_ranks(ranked, cols, [q]) if ranked is not None
+            else exact_quantiles(df, key, cols, [q]))
     return (long.groupBy().pivot("column", cols).agg(F.first("value"))
             .select([F.col(c).alias(f"{c}_cap") for c in cols]))
 
 
 def winsorize(df: DataFrame, key: str = "user_id", columns: list[str] | None = None,
-              q: float = S.CAP_QUANTILE) -> DataFrame:
+              q: float = S.CAP_QUANTILE, ranked: DataFrame | None = None) -> DataFrame:
     """clip(upper=quantile(q)) per column.  The one-row cap table is crossed
     in by broadcast (its size is 1 row by construction).  Decimal columns are
     clipped at the cap rounded to their own scale, so they stay exact."""
     cols = columns or S.CAP_COLUMNS
-    caps = quantile_caps(df, key, cols, q)
+    caps = quantile_caps(df, key, cols, q, ranked)
     types = {f.name: f.dataType for f in df.schema.fields}
     joined = df.crossJoin(F.broadcast(caps))
     out = []

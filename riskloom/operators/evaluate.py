@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas as S
 from riskloom.operators.rank import distributed_rank
+from riskloom.session import materialize
 
 _M31 = 2147483648          # 2^31
 _M32 = 4294967296          # 2^32
@@ -114,8 +115,8 @@ def distributed_cumsum(df: DataFrame, order: list[F.Column], values: list[str])
     per-partition offset table (one row per partition, broadcast)."""
     p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     part = (df.repartitionByRange(p, *order)
-            .withColumn("_cs_part", F.spark_partition_id())
-            .checkpoint(eager=True))
+            .withColumn("_cs_part", F.spark_partition_id()))
+    part = materialize(part, "cumsum")  # freeze the sampled range assignment
     w = Window.partitionBy("_cs_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = part.select("*", *[F.sum(v).over(w).alias(f"_cs_{v}") for v in values])
     totals = part.groupBy("_cs_part").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])

@@ -6,7 +6,7 @@ task.  Here the rows are range-partitioned on the full sort key (value plus a
 unique tie-break, so one hot value is spread over many partitions), sorted
 within each partition, and numbered by ``monotonically_increasing_id`` (whose
 high bits are the partition index and low bits the position).  That numbering
-is written to the checkpoint folder, because range bounds come from a sample
+is written once to the checkpoint folder (a parquet table), because range bounds come from a sample
 and a recomputation must not move rows between partitions.  A table of one
 row per partition (bounded by the partition count, not by the data) gives the
 running offsets and is broadcast back.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import exprs as X
+from riskloom.session import materialize
 
 _POS_BITS = 33  # monotonically_increasing_id: partition index << 33 | row position
 
@@ -43,8 +44,8 @@ def distributed_rank(df: DataFrame, order: list[Column], rank_col: str = "rank",
                 .withColumn("_rk_part", F.shiftright(mid, _POS_BITS))
                 .withColumn("_rk_pos", mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
                 .drop("_rk_mid"))
-    # freeze the partition assignment (reliable checkpoint in the shared folder)
-    numbered = numbered.checkpoint(eager=True)
+    # freeze the partition assignment: written once to the shared checkpoint folder
+    numbered = materialize(numbered, "rank")
     counts = numbered.groupBy("_rk_part").agg(F.count(F.lit(1)).alias("_rk_n"))
     w = Window.orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -83,37 +84,6 @@ def global_rank(df: DataFrame, key: str, value: str, descending: bool = False,
                             num_partitions)
 
 
-def exact_quantile(df: DataFrame, key: str, value: str, q: float,
-                   num_partitions: int | None = None) -> DataFrame:
-    """One-row DataFrame with the exact linear-interpolation quantile of
-    ``value`` (nulls ignored), computed from the distributed rank: only the
-    two bracketing rows are kept, so no task holds more than its partition.
-
-    Interpolation is lo + (pos - floor(pos)) * (hi - lo) with
-    pos = q * (n - 1), as in quantile_cont.
-    """
-    base = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_xv"))
-    ranked = distributed_rank(base, [F.col("_xv").asc(), F.col(key).asc()], "_x_rank", "_x_n",
-                              num_partitions)
-    pos = F.lit(q) * (F.col("_x_n") - F.lit(1)).cast("double")
-    lo_rank = F.floor(pos) + 1
-    hi_rank = F.ceil(pos) + 1
-    picked = ranked.where((F.col("_x_rank") == lo_rank) | (F.col("_x_rank") == hi_rank))
-    agg = picked.agg(
-        F.max(F.when(F.col("_x_rank") == lo_rank, F.col("_xv"))).alias("_lo"),
-        F.max(F.when(F.col("_x_rank") == hi_rank, F.col("_xv"))).alias("_hi"),
-        F.max(pos - F.floor(pos)).alias("_frac"),
-    )
-    return agg.select((F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias(value))
-
-
-def value_quintile_edges(df: DataFrame, value: str, q: int = 5) -> DataFrame:
-    """Inner edges of qcut(value, q): one row with ``edges`` array of q-1
-    exact percentiles (linear interpolation)."""
-    probs = [k / q for k in range(1, q)]
-    return df.agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("edges"))
-
-
 def value_quintile_label(value: str | Column, edges: str | Column, q: int = 5, prefix: str = "Q") -> Column:
     """Right-closed bins over inner edges: <= e1 -> Q1, ... > e_{q-1} -> Qq."""
     v = X.col(value).cast("double")
@@ -122,3 +92,63 @@ def value_quintile_label(value: str | Column, edges: str | Column, q: int = 5, p
     for k in range(q - 1):
         out = out.when(v <= e.getItem(k), F.lit(f"{prefix}{k + 1}"))
     return out.otherwise(F.lit(f"{prefix}{q}"))
+
+
+def rank_columns(df: DataFrame, key: str, specs: list[tuple[str, str | Column, bool]],
+                 num_partitions: int | None = None) -> DataFrame:
+    """Rank several columns in ONE distributed sort.
+
+    ``specs`` = [(name, value, descending)].  Rows are unpivoted to
+    (ci, v, key) -- v negated for descending columns, so ties still break on
+    ascending key -- and ranked on that total order; each column's values are
+    a contiguous range, and a k-row offset table (broadcast) turns global
+    positions into per-column ranks.  Nulls / NaN are left out.
+    Returns (key, ci, name, v, rank, n) with v in the original sign.
+    """
+    items = []
+    for i, (_, value, desc) in enumerate(specs):
+        v = X.col(value).cast("double")
+        items.append(F.struct(F.lit(i).alias("ci"), (-v if desc else v).alias("sv")))
+    long = (df.select(F.col(key).alias("_k"), F.explode(F.array(*items)).alias("_s"))
+            .select("_k", F.col("_s.ci").alias("ci"), F.col("_s.sv").alias("sv"))
+            .where(F.col("sv").isNotNull() & ~F.isnan("sv")))
+    ranked = distributed_rank(long, [F.col("ci").asc(), F.col("sv").asc(), F.col("_k").asc()],
+                              "_g", None, num_partitions)
+    per_col = ranked.groupBy(F.col("ci").alias("o_ci")).agg(
+        (F.min("_g") - 1).alias("o_off"), F.count(F.lit(1)).alias("n"))
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i, n, bool(d)) for i, (n, _, d) in enumerate(specs)],
+                                  "n_ci int, name string, desc boolean")
+    j = (ranked.join(F.broadcast(per_col), F.col("ci") == F.col("o_ci"))   # k rows
+         .join(F.broadcast(names), F.col("ci") == F.col("n_ci")))           # k rows
+    return j.select(F.col("_k").alias(key), "ci", "name",
+                    F.when(F.col("desc"), -F.col("sv")).otherwise(F.col("sv")).alias("v"),
+                    (F.col("_g") - F.col("o_off")).alias("rank"), "n")
+
+
+def quintiles_from_ranks(ranked_long: DataFrame, key: str, names: list[str], q: int = 5) -> DataFrame:
+    """(key, <score columns>) from rank_columns output: one aggregate by key."""
+    score = X.qcut_from_rank("rank", "n", q)
+    return (ranked_long.where(F.col("name").isin(*names))
+            .groupBy(key)
+            .agg(*[F.max(F.when(F.col("name") == n, score)).alias(n) for n in names]))
+
+
+def quantiles_from_ranks(ranked_long: DataFrame, names: list[str], probs: list[float]) -> DataFrame:
+    """(column, prob, value): exact linear-interpolation quantiles from the
+    per-column ranks; only the two bracketing rows per quantile are kept."""
+    spark = ranked_long.sparkSession
+    sizes = ranked_long.where(F.col("name").isin(*names)).groupBy(F.col("name").alias("w_name")).agg(
+        F.max("n").alias("w_n"))
+    plist = spark.createDataFrame([(float(p),) for p in probs], "prob double")
+    pos = F.col("prob") * (F.col("w_n") - 1).cast("double")
+    wanted = (sizes.crossJoin(F.broadcast(plist))
+              .select("w_name", "prob", pos.alias("pos"),
+                      (F.floor(pos) + 1).alias("lo_r"), (F.ceil(pos) + 1).alias("hi_r")))
+    hits = ranked_long.join(F.broadcast(wanted), (F.col("name") == F.col("w_name"))
+                            & ((F.col("rank") == F.col("lo_r")) | (F.col("rank") == F.col("hi_r"))))
+    q = (hits.groupBy(F.col("name").alias("column"), "prob")
+         .agg(F.max(F.when(F.col("rank") == F.col("lo_r"), F.col("v"))).alias("lo"),
+              F.max(F.when(F.col("rank") == F.col("hi_r"), F.col("v"))).alias("hi"),
+              F.max(F.col("pos") - F.floor("pos")).alias("frac")))
+    return q.select("column", "prob", (F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo"))).alias("value"))

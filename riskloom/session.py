@@ -51,3 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     token = os.urandom(6).hex()
     return f"{base.rstrip('/')}/riskloom-{name}-{token}"
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the checkpoint folder and scan it
+    back: cuts the lineage in one pass (a reliable checkpoint recomputes its
+    input a second time to write it) and survives executor loss."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
