@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
-from riskloom.operators.rank import quantiles_from_ranks, rank_columns
+from riskloom.operators.rank import quantile_values, quantiles_from_ranks, rank_columns
 
 
 def clean_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -41,25 +41,28 @@ def quantile_caps(df: DataFrame, key: str = "user_id", columns: list[str] | None
 
 def winsorize(df: DataFrame, key: str = "user_id", columns: list[str] | None = None,
               q: float = S.CAP_QUANTILE, ranked: DataFrame | None = None) -> DataFrame:
-    """clip(upper=quantile(q)) per column.  The one-row cap table is crossed
-    in by broadcast (its size is 1 row by construction).  Decimal columns are
-    clipped at the cap rounded to their own scale, so they stay exact."""
+    """clip(upper=quantile(q)) per column.  The caps are one row of k
+    scalars (size fixed by the column list, not by the data): fetched once
+    and inlined as literals, so later jobs do not re-run the quantile plan.
+    Decimal columns are clipped at the cap rounded to their own scale, so
+    they stay exact."""
     cols = columns or S.CAP_COLUMNS
-    caps = quantile_caps(df, key, cols, q, ranked)
+    if ranked is None:
+        ranked = rank_columns(df, key, [(c, c, False) for c in cols])
+    vals = quantile_values(ranked, cols, [q])
     types = {f.name: f.dataType for f in df.schema.fields}
-    joined = df.crossJoin(F.broadcast(caps))
     out = []
     for c in df.columns:
         if c in cols:
             t = types[c]
-            cap = F.col(f"{c}_cap")
+            cap = F.lit(vals.get((c, float(q)))).cast("double")
             if isinstance(t, T.DecimalType):
                 out.append(X.clip_upper(c, cap.cast(t)).alias(c))
             else:
                 out.append(X.clip_upper(F.col(c).cast("double"), cap).alias(c))
         else:
             out.append(F.col(c))
-    return joined.select(out)
+    return df.select(out)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

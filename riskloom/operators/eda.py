@@ -53,14 +53,14 @@ def churn_by_state(df: DataFrame, min_count: int = S.STATE_MIN_CUSTOMERS, top: i
 
 def churn_by_rpd(df: DataFrame) -> DataFrame:
     """Churn by revenue-per-day quintile Q1..Q5 (value cut, right-closed).
-    The four inner edges come from one exact distributed quantile pass and
-    form a one-row table."""
-    from riskloom.operators.clean import exact_quantiles
+    The four inner edges come from one exact distributed quantile pass; they
+    are four scalars, inlined as literals."""
+    from riskloom.operators.rank import quantile_values, rank_columns
     probs = [0.2, 0.4, 0.6, 0.8]
-    q = exact_quantiles(df, "user_id", ["revenue_per_day"], probs)
-    edges = q.groupBy().pivot("prob", probs).agg(F.first("value")).select(F.array(*[F.col(f"`{p}`") for p in map(str, probs)]).alias("edges"))
-    labeled = df.crossJoin(F.broadcast(edges)).withColumn(
-        "rev_per_day_bucket", value_quintile_label("revenue_per_day", "edges"))
+    got = quantile_values(rank_columns(df, "user_id", [("revenue_per_day", "revenue_per_day", False)]),
+                          ["revenue_per_day"], probs)  # q-1 scalars
+    edges = F.array(*[F.lit(got.get(("revenue_per_day", p))).cast("double") for p in probs])
+    labeled = df.withColumn("rev_per_day_bucket", value_quintile_label("revenue_per_day", edges))
     return churn_by(labeled, "rev_per_day_bucket")
 
 

@@ -113,8 +113,7 @@ def distributed_cumsum(df: DataFrame, order: list[F.Column], values: list[str])
     """Running sums of ``values`` in the total order ``order`` without a
     single-partition window: range-partitioned running sums plus a
     per-partition offset table (one row per partition, broadcast)."""
-    p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    part = (df.repartitionByRange(p, *order)
+    part = (df.repartitionByRange(*order)
             .withColumn("_cs_part", F.spark_partition_id()))
     part = materialize(part, "cumsum")  # freeze the sampled range assignment
     w = Window.partitionBy("_cs_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
