@@ -188,35 +188,40 @@ def context_blocks(questions: DataFrame, segments: DataFrame, view: DataFrame,
     segments (its own filters, limit 20) and, when asked for, the top
     at-risk customers; empty blocks are skipped, blocks joined by a blank line.
 
-    The segment table is bounded by its key domain (tiers x ages x genders x
-    sources), so pairing every question with it is linear in the questions.
+    Questions only differ by their (source, age) filter pair, whose values
+    come from fixed lists, so the segment block is built once per distinct
+    pair (a table bounded by that domain, broadcast) and attached to each
+    question by a null-safe equi-join -- no question x segment pairs.
     """
     qf = question_filters(questions)
     seg = segments.withColumn("line", segment_line(segments))
-    m = qf.select(key, "source_filter", "age_filter").join(
-        F.broadcast(seg),
+    combos = qf.select("source_filter", "age_filter").distinct()
+    m = combos.join(
+        F.broadcast(seg),  # both sides bounded by the segment key domain
         (F.col("source_filter").isNull() | F.expr("traffic_source ILIKE source_filter"))
         & (F.col("age_filter").isNull() | (F.col("age_filter") == F.col("age_bucket"))),
         "inner")
-    w = Window.partitionBy(key).orderBy(*_segment_order())
+    w = Window.partitionBy("source_filter", "age_filter").orderBy(*_segment_order())
     top = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= S.TOP_SEGMENTS_LIMIT)
-    seg_text = (top.groupBy(key)
-                .agg(F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("ls"))
-                .select(key, F.concat_ws("\n", F.lit("## Segment Summary"), F.lit(S.SEGMENT_LINE_HEADER),
-                                         F.lit("-" * S.SEGMENT_LINE_DIVIDER_WIDTH),
-                                         F.array_join(F.transform("ls", lambda s: s["line"]), "\n"))
+    seg_text = (top.groupBy("source_filter", "age_filter")
+                .agg(F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("ls"))  # <= 20 lines
+                .select(F.col("source_filter").alias("sf"), F.col("age_filter").alias("af"),
+                        F.concat_ws("\n", F.lit("## Segment Summary"), F.lit(S.SEGMENT_LINE_HEADER),
+                                    F.lit("-" * S.SEGMENT_LINE_DIVIDER_WIDTH),
+                                    F.array_join(F.transform("ls", lambda s: s["line"]), "\n"))
                         .alias("segment_text")))
     cust = top_at_risk(view)
     cust_text = (cust.select(F.struct(F.col("total_revenue").cast("double").alias("r"),
                                       (-F.col("user_id")).alias("u"), customer_line().alias("line")).alias("s"))
-                 .agg(F.sort_array(F.collect_list("s"), asc=False).alias("ls"))
+                 .agg(F.sort_array(F.collect_list("s"), asc=False).alias("ls"))  # <= 5 lines
                  .select(F.concat(F.lit("## Top At-Risk Customers (by revenue)\n"),
                                   F.array_join(F.transform("ls", lambda s: s["line"]), "\n")).alias("customer_text")))
     overview = overview_text(overview_stats(segments))
-    out = (qf.select(key, "wants_customers")
-           .join(seg_text, key, "left")
-           .crossJoin(F.broadcast(overview))   # one row
-           .crossJoin(F.broadcast(cust_text)))  # one row, at most 5 lines
+    joined = qf.select(key, "source_filter", "age_filter", "wants_customers").join(
+        F.broadcast(seg_text),
+        F.col("source_filter").eqNullSafe(F.col("sf")) & F.col("age_filter").eqNullSafe(F.col("af")), "left")
+    out = (joined.crossJoin(F.broadcast(overview))   # one row
+           .crossJoin(F.broadcast(cust_text)))       # one row
     no_seg = F.lit("No segment data available.")
     return out.select(
         key,

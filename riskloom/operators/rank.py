@@ -145,11 +145,12 @@ class RankLayout:
         return got
 
 
-_LAYOUT: dict[int, RankLayout] = {}
-
-
-def layout_of(ranked: DataFrame) -> RankLayout | None:
-    return _LAYOUT.get(id(ranked))
+def layout_of(ranked: DataFrame) -> RankLayout:
+    """The layout attached by rank_columns to the DataFrame it returned."""
+    lay = getattr(ranked, "rank_layout", None)
+    if lay is None:
+        raise ValueError("pass the DataFrame returned by rank_columns")
+    return lay
 
 
 def rank_columns(df: DataFrame, key: str, specs: list[tuple[str, str | Column, bool]],
@@ -195,7 +196,7 @@ def rank_columns(df: DataFrame, key: str, specs: list[tuple[str, str | Column, b
     out = j.select(F.col("_k").alias(key), "ci", "name",
                    F.when(F.col("desc"), -F.col("sv")).otherwise(F.col("sv")).alias("v"),
                    (F.col("_off") + F.col("_rk_pos") + F.lit(1)).alias("rank"), "n")
-    _LAYOUT[id(out)] = RankLayout(numbered, specs, part_off, part_total, col_start, col_total)
+    out.rank_layout = RankLayout(numbered, specs, part_off, part_total, col_start, col_total)
     return out
 
 

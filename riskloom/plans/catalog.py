@@ -244,6 +244,11 @@ def q_split(spark, d):
     return _split(spark, d).select("user_id", "churned", "split")
 
 
+@query("split_sizes")
+def q_split_sizes(spark, d):
+    return evaluate.split_sizes(_split(spark, d))
+
+
 @query("class_balance")
 def q_class_balance(spark, d):
     return evaluate.class_balance(_split(spark, d).where(F.col("split") == "train"))

@@ -360,6 +360,65 @@ def _segment_line_sql() -> str:
       FROM (SELECT * FROM seg ORDER BY {SEG_ORDER} LIMIT {S.TOP_SEGMENTS_LIMIT})""")
 
 
+def _fixed(x: str, d: int) -> str:
+    """Java %.{d}f: half-up on the shortest decimal form, then fixed digits."""
+    return f"printf('%.{d}f', {_r(x, d)})"
+
+
+def _context_sql() -> str:
+    src_cases = [f"CASE WHEN regexp_matches(lq, '{pat}') THEN '{name}' END" for pat, name in S.SOURCE_PATTERNS]
+    n_src = " + ".join(f"CASE WHEN regexp_matches(lq, '{pat}') THEN 1 ELSE 0 END" for pat, _ in S.SOURCE_PATTERNS)
+    age = "CASE " + " ".join(f"WHEN regexp_matches(lq, '{pat}') THEN '{name}'" for pat, name in S.AGE_PATTERNS) + " END"
+    nl = "chr(10)"
+    line = (f"concat_ws(' | ', risk_tier, age_bucket, gender, traffic_source, CAST(user_count AS VARCHAR), "
+            f"{_fixed('avg_churn_prob * 100', 1)} || '%', "
+            f"'$' || format('{{:,}}', CAST(round(coalesce(total_revenue_at_risk, 0), 0) AS BIGINT)), "
+            f"{_fixed('coalesce(avg_orders_per_month, 0)', 2)}, {_fixed('avg_return_rate * 100', 1)} || '%', "
+            f"CAST(one_time_buyers AS VARCHAR))")
+    extra = [
+        _questions_cte(),
+        f"""qf AS (SELECT question_id,
+              CASE WHEN ({n_src}) = 1 AND NOT regexp_matches(lq, '{S.COMPARISON_PATTERN}')
+                   THEN coalesce({', '.join(src_cases)}) END AS source_filter,
+              {age} AS age_filter, regexp_matches(lq, '{S.CUSTOMER_PATTERN}') AS wants FROM q)""",
+        f"segl AS (SELECT *, {line} AS line FROM seg)",
+        f"""m AS (SELECT qf.question_id, segl.line, row_number() OVER (PARTITION BY qf.question_id
+                     ORDER BY {SEG_ORDER}) AS rn
+              FROM qf JOIN segl ON (qf.source_filter IS NULL OR segl.traffic_source ILIKE qf.source_filter)
+                               AND (qf.age_filter IS NULL OR qf.age_filter = segl.age_bucket))""",
+        f"""st AS (SELECT question_id, '## Segment Summary' || {nl} || '{S.SEGMENT_LINE_HEADER}' || {nl}
+                     || '{'-' * S.SEGMENT_LINE_DIVIDER_WIDTH}' || {nl} || string_agg(line, {nl} ORDER BY rn) AS segment_text
+              FROM m WHERE rn <= {S.TOP_SEGMENTS_LIMIT} GROUP BY question_id)""",
+        """kpi AS (SELECT h + mm + l AS total, h, mm, l,
+                     CASE WHEN h + mm + l > 0 THEN h * 100.0e0 / (h + mm + l) ELSE 0.0e0 END AS pct,
+                     CAST(round(CAST(CAST(rev AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS rev
+              FROM (SELECT CAST(coalesce(sum(CASE WHEN risk_tier = 'High' THEN user_count END), 0) AS BIGINT) AS h,
+                           CAST(coalesce(sum(CASE WHEN risk_tier = 'Medium' THEN user_count END), 0) AS BIGINT) AS mm,
+                           CAST(coalesce(sum(CASE WHEN risk_tier = 'Low' THEN user_count END), 0) AS BIGINT) AS l,
+                           coalesce(sum(CASE WHEN risk_tier = 'High' THEN coalesce(total_revenue_at_risk, 0) END), 0)
+                             AS rev FROM seg))""",
+        f"""ov AS (SELECT concat_ws({nl}, '## Overview Stats', '- Total customers: ' || format('{{:,}}', total),
+                     '- High risk: ' || format('{{:,}}', h) || ' (' || {_fixed('pct', 1)} || '%)',
+                     '- Medium risk: ' || format('{{:,}}', mm), '- Low risk: ' || format('{{:,}}', l),
+                     '- Revenue at risk (High tier): $' || {_fixed('rev / 1000000.0e0', 2)} || 'M') AS overview_text
+              FROM kpi)""",
+        f"""top5 AS (SELECT * FROM view WHERE risk_tier = 'High'
+              ORDER BY total_revenue DESC NULLS FIRST, user_id LIMIT {S.TOP_AT_RISK_LIMIT})""",
+        f"""ct AS (SELECT '## Top At-Risk Customers (by revenue)' || {nl} || string_agg(
+                     '- User ' || CAST(user_id AS VARCHAR) || ': $'
+                     || format('{{:,.2f}}', CAST(coalesce(total_revenue, 0) AS DOUBLE)) || ' revenue, '
+                     || {_fixed('CAST(churn_probability AS DOUBLE) * 100', 1)} || '% churn prob, '
+                     || age_bucket || ' ' || gender || ', ' || traffic_source || ', top drivers: '
+                     || top_feature_1 || ', ' || top_feature_2 || ', ' || top_feature_3,
+                     {nl} ORDER BY total_revenue DESC, user_id) AS customer_text FROM top5)""",
+    ]
+    body = (f"SELECT qf.question_id, concat_ws({nl} || {nl}, ov.overview_text, "
+            f"coalesce(st.segment_text, 'No segment data available.'), "
+            f"CASE WHEN qf.wants THEN ct.customer_text END) AS context "
+            f"FROM qf LEFT JOIN st USING (question_id) CROSS JOIN ov CROSS JOIN ct")
+    return _with_extra(extra, body)
+
+
 def _merge_sql(old: str, new: str, cols: list[str], dec: set[str]) -> str:
     sel = ["coalesce(n.user_id, o.user_id) AS user_id"]
     for c in cols[1:]:
@@ -448,6 +507,8 @@ def oracle_sql() -> dict[str, str]:
             f"AS orders_per_month_clipped, CAST(round(CAST(CAST(avg(least(CAST(total_revenue AS DOUBLE), "
             f"{S.HIST_REVENUE_CLIP!r}e0)) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS total_revenue_clipped FROM eng GROUP BY churned"),
         "stratified_split": _with_extra(_TEST[:1], "SELECT user_id, churned, split FROM spl"),
+        "split_sizes": _with_extra(_TEST[:1], "SELECT split, count(*) AS rows, avg(churned) AS churn_share "
+                                              "FROM spl GROUP BY split"),
         "class_balance": _with_extra(_TEST[:1], """
             SELECT negatives, positives, CAST(negatives AS DOUBLE) / nullif(positives, 0) AS pos_weight,
                    CAST(n AS DOUBLE) / nullif(negatives * 2, 0) AS weight_0,
@@ -516,6 +577,7 @@ def oracle_sql() -> dict[str, str]:
         "distinct_sources": with_chain("SELECT DISTINCT traffic_source FROM seg"),
         "question_filters": _question_filters_sql(),
         "segment_lines": _segment_line_sql(),
+        "context_block": _context_sql(),
         "recent_turns": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER "
                         f"(PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= {S.RECENT_TURNS}",
         "upsert_customers": _merge_sql("s_cust", "cust", CUST_COLS, CUST_DEC),
