@@ -111,17 +111,23 @@ def roc_auc(scored: DataFrame, key: str = "user_id", label: str = "label", score
 
 def distributed_cumsum(df: DataFrame, order: list[F.Column], values: list[str]) -> DataFrame:
     """Running sums of ``values`` in the total order ``order`` without a
-    single-partition window: range-partitioned running sums plus a
-    per-partition offset table (one row per partition, broadcast)."""
+    single-partition window: running sums within range partitions (written
+    once to the checkpoint folder) plus per-partition offsets, which come
+    back as one row per partition and are broadcast as a small local table."""
     part = (df.repartitionByRange(*order)
             .withColumn("_cs_part", F.spark_partition_id()))
     part = materialize(part, "cumsum")  # freeze the sampled range assignment
     w = Window.partitionBy("_cs_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = part.select("*", *[F.sum(v).over(w).alias(f"_cs_{v}") for v in values])
-    totals = part.groupBy("_cs_part").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    wo = Window.orderBy("_cs_part").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_cs_part", *[F.coalesce(F.sum(f"_tot_{v}").over(wo), F.lit(0)).alias(f"_off_{v}")
-                                       for v in values])
+    totals = sorted(part.groupBy("_cs_part").agg(*[F.sum(v).alias(v) for v in values]).collect(),
+                    key=lambda r: r["_cs_part"])
+    rows, run = [], {v: 0 for v in values}
+    for r in totals:
+        rows.append((int(r["_cs_part"]), *[int(run[v]) for v in values]))
+        for v in values:
+            run[v] += int(r[v] or 0)
+    schema = "_cs_part int, " + ", ".join(f"_off_{v} long" for v in values)
+    offs = df.sparkSession.createDataFrame(rows or [(0, *[0] * len(values))], schema)
     out = local.join(F.broadcast(offs), "_cs_part")
     return out.select(*[c for c in df.columns],
                       *[(F.col(f"_cs_{v}") + F.col(f"_off_{v}")).alias(f"cum_{v}") for v in values])
