@@ -235,6 +235,8 @@ def _quantile_rows(ranked_long: DataFrame, names: list[str], probs: list[float])
                 continue
             pos = float(p) * float(n - 1)
             lo, hi = math.floor(pos) + 1, math.ceil(pos) + 1
+            if lay.specs[ci][2]:  # ranked descending: ascending position i is rank n + 1 - i
+                lo, hi = n + 1 - lo, n + 1 - hi
             plan.append((name, p, (ci, lo), (ci, hi), pos - math.floor(pos)))
             wanted += [(ci, lo), (ci, hi)]
     got = lay.values_at(sorted(set(wanted)))

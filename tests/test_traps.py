@@ -161,3 +161,37 @@ def test_check_and_precision_violations(spark):
     assert [r.user_id for r in bad] == [1]
     dups = store.duplicate_keys(df.unionByName(df.limit(1))).collect()
     assert [r.user_id for r in dups] == [1]
+
+
+def test_rank_columns_one_sort_matches_per_column_ranks(spark):
+    from riskloom.operators.rank import quantile_values, rank_columns
+    rng = np.random.default_rng(7)
+    n = 900
+    a = np.where(rng.random(n) < 0.34, 2.0, rng.integers(0, 50, n).astype(float))  # hot value
+    b = rng.normal(size=n)
+    pdf = pd.DataFrame({"user_id": np.arange(n), "a": a, "b": b})
+    pdf.loc[5, "b"] = np.nan
+    df = spark.createDataFrame(pdf)
+    r = rank_columns(df, "user_id", [("a_up", "a", False), ("b_down", "b", True)], num_partitions=6)
+    got = r.toPandas()
+    up = pdf.sort_values(["a", "user_id"]).assign(rank=np.arange(1, n + 1))
+    g_up = got[got.name == "a_up"].merge(up, on="user_id")
+    assert len(g_up) == n and (g_up["rank_x"] == g_up["rank_y"]).all()
+    down = pdf.dropna().assign(nb=lambda d: -d.b).sort_values(["nb", "user_id"])
+    down["rank"] = np.arange(1, len(down) + 1)
+    g_down = got[got.name == "b_down"].set_index("user_id")["rank"]
+    assert (g_down.loc[down.user_id].values == down["rank"].values).all()
+    assert set(got[got.name == "b_down"]["n"]) == {n - 1}
+    q = quantile_values(r, ["a_up", "b_down"], [0.5, 0.99])
+    assert q[("a_up", 0.5)] == pytest.approx(float(np.quantile(a, 0.5)))
+    assert q[("b_down", 0.99)] == pytest.approx(float(np.quantile(pdf.b.dropna(), 0.99)))
+
+
+def test_distributed_cumsum_with_ties(spark):
+    df = spark.createDataFrame([(float(i // 3), 1, i % 2) for i in range(300)], "s double, pos int, neg int")
+    g = df.groupBy("s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    out = evaluate.distributed_cumsum(g, [F.col("s").desc()], ["pos", "neg"]).toPandas().sort_values("s")
+    exp = g.toPandas().sort_values("s", ascending=False)
+    exp["cum_pos"] = exp["pos"].cumsum()
+    m = out.merge(exp, on="s")
+    assert (m["cum_pos_x"] == m["cum_pos_y"]).all()
