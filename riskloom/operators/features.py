@@ -33,6 +33,10 @@ def _line_revenue_units() -> F.Column:
 
 def order_line_stats(t: RawTables) -> DataFrame:
     """Per order: line revenue (1e-4 units), line count, returned-line count."""
+    return t.shared("order_line_stats", lambda: _order_line_stats(t))
+
+
+def _order_line_stats(t: RawTables) -> DataFrame:
     return (t.lineitem
             .groupBy("l_orderkey")
             .agg(F.sum(_line_revenue_units()).alias("order_revenue_units"),
@@ -43,6 +47,10 @@ def order_line_stats(t: RawTables) -> DataFrame:
 def order_category_lines(t: RawTables) -> DataFrame:
     """Per (order, category): number of lines.  Part is joined at line level
     (Spark broadcasts it only when its measured size is under the threshold)."""
+    return t.shared("order_category_lines", lambda: _order_category_lines(t))
+
+
+def _order_category_lines(t: RawTables) -> DataFrame:
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
     return (t.lineitem.select("l_orderkey", "l_partkey")
             .join(parts, "l_partkey", "inner")
@@ -50,6 +58,17 @@ def order_category_lines(t: RawTables) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("category_lines")))
 
 
+def share_order_facts(t: RawTables) -> RawTables:
+    """Write the per-order line totals and per-(order, category) line counts
+    once to the checkpoint folder, for plans that derive features several
+    times (e.g. a current run and an older snapshot): the line table is then
+    aggregated once, not once per snapshot."""
+    from riskloom.session import materialize
+    t.derived["order_line_stats"] = materialize(_order_line_stats(t), "order-lines")
+    t.derived["order_category_lines"] = materialize(_order_category_lines(t), "order-categories")
+    return t
+
+
 def customer_order_stats(t: RawTables) -> DataFrame:
     """Per customer from orders alone: completed / cancelled counts, first order
     of any status, last completed order."""

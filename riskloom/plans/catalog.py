@@ -397,7 +397,7 @@ def q_recent_turns(spark, d):
 
 # -------------------------------------------------- merge, backfill, checks
 def _existing_and_incoming(spark, d):
-    t = _t(spark, d)
+    t = features.share_order_facts(_t(spark, d))
     return served(t.snapshot(SNAPSHOT_LAG_DAYS)), served(t)
 
 

@@ -3,7 +3,7 @@ CSV or parquet, and overwrite-safe writes."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +26,18 @@ class RawTables:
     spark: SparkSession
     root: str
     orders_lag_days: int | None = None
+    derived: dict = field(default_factory=dict)  # shared intermediate tables, by name
 
     def snapshot(self, lag_days: int) -> "RawTables":
         """The same tables as of ``lag_days`` before the latest order: orders
         after the cut are invisible, so every derived feature is as it was
-        then (an earlier load of the served tables)."""
-        return RawTables(self.spark, self.root, lag_days)
+        then (an earlier load of the served tables).  Intermediate tables that
+        do not depend on the cut (per-order line totals) are shared."""
+        return RawTables(self.spark, self.root, lag_days, self.derived)
+
+    def shared(self, name: str, build):
+        """A registered intermediate table, or ``build()`` when none is."""
+        return self.derived[name] if name in self.derived else build()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
