@@ -28,17 +28,6 @@ def exact_quantiles(df: DataFrame, key: str, columns: list[str], probs: list[flo
     return quantiles_from_ranks(ranked, columns, probs)
 
 
-def quantile_caps(df: DataFrame, key: str = "user_id", columns: list[str] | None = None,
-                  q: float = S.CAP_QUANTILE, ranked: DataFrame | None = None) -> DataFrame:
-    """One row: ``<col>_cap`` = exact q-quantile of each column (from an
-    existing rank_columns result when given)."""
-    cols = columns or S.CAP_COLUMNS
-    long = (quantiles_from_ranks(ranked, cols, [q]) if ranked is not None
-            else exact_quantiles(df, key, cols, [q]))
-    return (long.groupBy().pivot("column", cols).agg(F.first("value"))
-            .select([F.col(c).alias(f"{c}_cap") for c in cols]))
-
-
 def winsorize(df: DataFrame, key: str = "user_id", columns: list[str] | None = None,
               q: float = S.CAP_QUANTILE, ranked: DataFrame | None = None) -> DataFrame:
     """clip(upper=quantile(q)) per column.  The caps are one row of k
