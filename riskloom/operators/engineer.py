@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
-from riskloom.operators.rank import quintiles_from_ranks, rank_columns
+from riskloom.operators.rank import distributed_rank, quintiles_from_ranks, rank_columns
 
 
 def rfm_scores(df: DataFrame, key: str = "user_id", with_recency: bool = True) -> DataFrame:
@@ -50,21 +50,31 @@ def string_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]
     return [c for c in cols if isinstance(types[c], T.StringType)]
 
 
+MAX_BROADCAST_CATEGORIES = 1_000_000
+
+
 def label_encode(df: DataFrame, columns: list[str] | None = None, suffix: str = "") -> DataFrame:
     """LabelEncoder on astype(str): null becomes the category 'nan'; codes are
     0..k-1 in sorted order of the distinct strings.
 
-    Codes come from dense_rank over each column's distinct values (a table
-    the size of the category domain), joined back by broadcast when Spark
-    measures it small.
+    Codes come from dense_rank over each column's distinct values.  The code
+    table is counted first: when it is within MAX_BROADCAST_CATEGORIES it is
+    broadcast (a categorical with few values would otherwise become a
+    sort-merge join with one huge partition per value); a larger domain is
+    high-cardinality, so a plain shuffled join is not skewed.
     """
     cols = columns if columns is not None else string_columns(df)
     out = df
     for c in cols:
         filled = F.coalesce(F.col(c), F.lit("nan"))
         domain = df.select(filled.alias("_lv")).distinct()
-        codes = domain.select("_lv", (F.dense_rank().over(_sorted_window()) - 1).alias(f"{c}{suffix}_code"))
-        out = (out.withColumn("_lv", filled).join(codes, "_lv", "left").drop("_lv"))
+        if domain.count() <= MAX_BROADCAST_CATEGORIES:
+            codes = F.broadcast(domain.select(
+                "_lv", (F.dense_rank().over(_sorted_window()) - 1).cast("int").alias(f"{c}{suffix}_code")))
+        else:  # many categories: codes from the distributed rank, shuffled join
+            codes = distributed_rank(domain, [F.col("_lv").asc()], "_r", None).select(
+                "_lv", (F.col("_r") - 1).cast("int").alias(f"{c}{suffix}_code"))
+        out = out.withColumn("_lv", filled).join(codes, "_lv", "left").drop("_lv")
         if not suffix:
             out = out.drop(c).withColumnRenamed(f"{c}_code", c)
     return out.select(df.columns + ([f"{c}{suffix}_code" for c in cols] if suffix else []))

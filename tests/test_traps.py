@@ -195,3 +195,15 @@ def test_distributed_cumsum_with_ties(spark):
     exp["cum_pos"] = exp["pos"].cumsum()
     m = out.merge(exp, on="s")
     assert (m["cum_pos_x"] == m["cum_pos_y"]).all()
+
+
+def test_label_encode_broadcast_and_distributed_paths_agree(spark, monkeypatch):
+    from riskloom.operators import engineer
+    df = spark.createDataFrame([(i, f"v{i % 7}" if i % 11 else None) for i in range(500)], "id long, s string")
+    small = engineer.label_encode(df, ["s"])
+    monkeypatch.setattr(engineer, "MAX_BROADCAST_CATEGORIES", 3)
+    large = engineer.label_encode(df, ["s"])
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    codes = {r.id: r.s for r in small.collect()}
+    assert codes[0] == 7  # null -> 'nan', sorted after 'v0'..'v6'
+    assert codes[1] == 1 and codes[7] == 0
