@@ -205,5 +205,6 @@ def test_label_encode_broadcast_and_distributed_paths_agree(spark, monkeypatch):
     large = engineer.label_encode(df, ["s"])
     assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
     codes = {r.id: r.s for r in small.collect()}
-    assert codes[0] == 7  # null -> 'nan', sorted after 'v0'..'v6'
-    assert codes[1] == 1 and codes[7] == 0
+    assert codes[0] == 0  # null -> 'nan', which sorts before 'v0'..'v6'
+    assert codes[7] == 1 and codes[1] == 2  # 'v0', 'v1'
+
