@@ -14,6 +14,24 @@ RAW_TABLES = [
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# Declared schemas of the warehouse tables.  Reading with a declared schema
+# skips Spark's footer-inference job (one per scan, over every file of the
+# table on a cluster) and pins the column types the plans rely on.
+RAW_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 
 @dataclass
 class RawTables:
@@ -27,20 +45,26 @@ class RawTables:
     root: str
     orders_lag_days: int | None = None
     derived: dict = field(default_factory=dict)  # shared intermediate tables, by name
+    scans: dict = field(default_factory=dict)  # one scan handle per table name
 
     def snapshot(self, lag_days: int) -> "RawTables":
         """The same tables as of ``lag_days`` before the latest order: orders
         after the cut are invisible, so every derived feature is as it was
         then (an earlier load of the served tables).  Intermediate tables that
         do not depend on the cut (per-order line totals) are shared."""
-        return RawTables(self.spark, self.root, lag_days, self.derived)
+        return RawTables(self.spark, self.root, lag_days, self.derived, self.scans)
 
     def shared(self, name: str, build):
         """A registered intermediate table, or ``build()`` when none is."""
         return self.derived[name] if name in self.derived else build()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        if name not in self.scans:
+            reader = self.spark.read
+            if name in RAW_SCHEMAS:
+                reader = reader.schema(RAW_SCHEMAS[name])
+            self.scans[name] = reader.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        return self.scans[name]
 
     @property
     def customer(self) -> DataFrame:

@@ -7,6 +7,12 @@ merged (keyed upsert, the same ``store.merge``) into the served table.  The
 stream's checkpoint records which files were merged, so a restarted or
 retried batch is not applied twice; every batch writes a new table version
 and never overwrites the version it reads.
+
+Version numbers are the micro-batch ids: batch ``b`` reads version ``b-1``
+and writes version ``b``.  The stream checkpoint is therefore the only state:
+a restarted driver (new ``VersionedTable`` object, same checkpoint) resumes
+from the right version, and a re-run of batch ``b`` rewrites version ``b``
+from the same input.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ class VersionedTable:
     def path(self, v: int) -> str:
         return f"{self.root}/v={v:06d}"
 
+    def read(self, v: int) -> DataFrame:
+        return self.spark.read.parquet(self.path(v))
+
     def current(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(self.version)) if self.version >= 0 else None
+        return self.read(self.version) if self.version >= 0 else None
 
-    def commit(self, df: DataFrame) -> None:
-        nxt = self.version + 1
-        df.write.mode("overwrite").parquet(self.path(nxt))
-        self.version = nxt
+    def commit(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(self.path(version))
+        self.version = version
 
 
 def upsert_stream(spark: SparkSession, source_dir: str, schema: T.StructType, table: VersionedTable,
@@ -49,14 +57,13 @@ def upsert_stream(spark: SparkSession, source_dir: str, schema: T.StructType, ta
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         incoming = batch.select(cols)
-        current = table.current()
-        if current is None:
+        if batch_id == 0:
             first = incoming
             for c, d in (defaults or {}).items():
                 first = first.withColumn(c, d)
-            table.commit(first)
+            table.commit(first, batch_id)
             return
-        table.commit(store.merge(current, incoming, key, cols, defaults))
+        table.commit(store.merge(table.read(batch_id - 1), incoming, key, cols, defaults), batch_id)
 
     ckpt = checkpoint or scratch_path(spark, "score-feed-ckpt")
     return (stream.writeStream.foreachBatch(merge_batch)
