@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
-from riskloom.operators.rank import quantile_values, quantiles_from_ranks, rank_columns
+from riskloom.operators.rank import layout_of, quantile_values, quantiles_from_ranks, rank_columns
 
 
 def clean_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -64,24 +64,28 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, key: str = "user_id", columns: list[str] | None = None) -> DataFrame:
     """pandas describe() per numeric column, rounded to 2: count, mean, std,
-    min, 25%, 50%, 75%, max.  Moments in one aggregate, quartiles by the
-    exact distributed quantile."""
+    min, 25%, 50%, 75%, max (nulls and NaN skipped, as pandas does).
+
+    One pass over ``df``: the columns are ranked in one distributed sort
+    (for the exact quartiles) and the moments are aggregated from that
+    written numbering, so the input plan (for ``feature_base``: every fact
+    table) is not evaluated a second time."""
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                T.DoubleType, T.DecimalType, T.BooleanType)
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
-    moments = []
-    for c in cols:
-        v = F.col(c).cast("double")
-        moments.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"),
-                                F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                                F.min(v).alias("min"), F.max(v).alias("max")))
-    m = df.agg(F.array(*moments).alias("m")).select(F.explode("m").alias("m")).select("m.*")
-    qs = exact_quantiles(df, key, cols, [0.25, 0.5, 0.75])
+    specs = [(c, F.col(c).cast("double"), False) for c in cols]
+    ranked = rank_columns(df, key, specs)
+    numbered = layout_of(ranked).numbered
+    m = (numbered.groupBy("ci")
+         .agg(F.count(F.lit(1)).alias("count"), F.avg("sv").alias("mean"), F.stddev_samp("sv").alias("std"),
+              F.min("sv").alias("min"), F.max("sv").alias("max")))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "ci int, column string")
+    qs = quantiles_from_ranks(ranked, cols, [0.25, 0.5, 0.75])
     qw = (qs.groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
           .toDF("column", "p25", "p50", "p75"))
-    j = m.join(qw, "column", "left")
+    j = names.join(m, "ci", "left").join(qw, "column", "left")
     return j.select(
-        "column", F.col("count").cast("double").alias("count"),
+        "column", F.coalesce(F.col("count"), F.lit(0)).cast("double").alias("count"),
         *[X.round_double(c, 2).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
 
 

@@ -208,3 +208,17 @@ def test_label_encode_broadcast_and_distributed_paths_agree(spark, monkeypatch):
     assert codes[0] == 0  # null -> 'nan', which sorts before 'v0'..'v6'
     assert codes[7] == 1 and codes[1] == 2  # 'v0', 'v1'
 
+
+
+def test_describe_matches_pandas_and_skips_nulls(spark):
+    rows = [(1, 3.0, None, 10), (2, None, None, 20), (3, 7.4, None, 30), (4, 1.25, None, 40), (5, 2.0, None, 50)]
+    df = spark.createDataFrame(rows, "user_id long, a double, b double, c long")
+    got = {r["column"]: r.asDict() for r in clean.describe(df, "user_id", ["a", "b", "c"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["user_id", "a", "b", "c"]).astype({"b": float})
+    for c in ["a", "c"]:
+        d = pdf[c].describe()
+        exp = {"count": d["count"], "mean": d["mean"], "std": d["std"], "min": d["min"],
+               "p25": d["25%"], "p50": d["50%"], "p75": d["75%"], "max": d["max"]}
+        for k, v in exp.items():
+            assert got[c][k] == pytest.approx(round(v, 2)), (c, k)
+    assert got["b"]["count"] == 0 and got["b"]["mean"] is None
