@@ -17,9 +17,13 @@ from riskloom.functions import exprs as X
 from riskloom.sources.tables import RawTables
 
 
-def reference_date(orders: DataFrame) -> F.Column:
-    """Latest order timestamp over all orders, as a scalar subquery."""
-    return orders.select(F.max("o_orderdate")).scalar()
+def reference_date(orders: DataFrame) -> DataFrame:
+    """The date of the latest order, as a one-row table (``_ref_date``).
+
+    Joined once (broadcast: always one row) instead of used as a scalar
+    subquery: each use of a scalar subquery is planned as its own execution,
+    and the feature formulas refer to the date five times."""
+    return orders.agg(F.to_date(F.max("o_orderdate")).alias("_ref_date"))
 
 
 def _line_revenue_units() -> F.Column:
@@ -144,19 +148,20 @@ def customer_dimensions(t: RawTables) -> DataFrame:
 
 def feature_base(t: RawTables) -> DataFrame:
     """The wide feature table (FEATURE_SCHEMA), one row per customer."""
-    ref_ts = reference_date(t.orders)
     dims = customer_dimensions(t)
     o = customer_order_stats(t)
     ln = customer_line_stats(t)
     cat = customer_category_stats(t)
     ev = customer_event_stats(t)
     j = (dims.join(o, "user_id", "left").join(ln, "user_id", "left")
-         .join(cat, "user_id", "left").join(ev, "user_id", "left"))
+         .join(cat, "user_id", "left").join(ev, "user_id", "left")
+         .crossJoin(F.broadcast(reference_date(t.orders))))  # one row
 
     total_orders = F.coalesce(F.col("total_orders"), F.lit(0).cast("long"))
     revenue = F.coalesce(F.col("line_revenue"), F.lit(0).cast("decimal(18,2)"))
-    tenure = F.datediff(F.to_date(ref_ts), F.to_date("first_order_ts")).cast("double")
-    days_since = F.datediff(F.to_date(ref_ts), F.to_date("last_complete_ts"))
+    ref_date = F.col("_ref_date")
+    tenure = F.datediff(ref_date, F.to_date("first_order_ts")).cast("double")
+    days_since = F.datediff(ref_date, F.to_date("last_complete_ts"))
     zero = F.lit(0).cast("long")
     sessions = F.coalesce(F.col("approx_sessions"), zero)
     return j.select(
