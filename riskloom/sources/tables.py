@@ -4,6 +4,7 @@ CSV or parquet, and overwrite-safe writes."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +75,20 @@ class RawTables:
     def orders(self) -> DataFrame:
         o = self.table("orders")
         if self.orders_lag_days:
-            latest = o.select(F.max("o_orderdate")).scalar()
-            cut = latest - F.expr(f"INTERVAL {int(self.orders_lag_days)} DAYS")
-            o = o.where(F.col("o_orderdate") <= cut)
+            o = o.where(F.col("o_orderdate") <= self._orders_cut())
         return o
 
+    def _orders_cut(self) -> F.Column:
+        """Latest order time minus the lag, as a literal: computed once (one
+        value comes back), so the filter reaches the parquet reader and skips
+        row groups by their statistics, and no plan re-runs the max."""
+        key = ("orders_cut", int(self.orders_lag_days))
+        if key not in self.scans:
+            latest = self.table("orders").agg(F.max("o_orderdate").cast("string").alias("m")).first()["m"]
+            self.scans[key] = None if latest is None else str(
+                datetime.fromisoformat(latest) - timedelta(days=int(self.orders_lag_days)))
+        return F.lit(self.scans[key]).cast("timestamp_ntz")
+
     @property
     def lineitem(self) -> DataFrame:
         return self.table("lineitem")
