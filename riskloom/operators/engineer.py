@@ -51,6 +51,7 @@ def string_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]
 
 
 MAX_BROADCAST_CATEGORIES = 1_000_000
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024  # string bytes of the code table
 
 
 def label_encode(df: DataFrame, columns: list[str] | None = None, suffix: str = "") -> DataFrame:
@@ -58,7 +59,8 @@ def label_encode(df: DataFrame, columns: list[str] | None = None, suffix: str =
     0..k-1 in sorted order of the distinct strings.
 
     Codes come from dense_rank over each column's distinct values.  The code
-    table is counted first: when it is within MAX_BROADCAST_CATEGORIES it is
+    table is measured first (rows and string bytes, one aggregate row): when
+    it is within MAX_BROADCAST_CATEGORIES and MAX_BROADCAST_BYTES it is
     broadcast (a categorical with few values would otherwise become a
     sort-merge join with one huge partition per value); a larger domain is
     high-cardinality, so a plain shuffled join is not skewed.
@@ -68,7 +70,9 @@ def label_encode(df: DataFrame, columns: list[str] | None = None, suffix: str =
     for c in cols:
         filled = F.coalesce(F.col(c), F.lit("nan"))
         domain = df.select(filled.alias("_lv")).distinct()
-        if domain.count() <= MAX_BROADCAST_CATEGORIES:
+        size = domain.agg(F.count(F.lit(1)).alias("n"),
+                          F.coalesce(F.sum(F.length("_lv")), F.lit(0)).alias("b")).first()
+        if size["n"] <= MAX_BROADCAST_CATEGORIES and size["b"] <= MAX_BROADCAST_BYTES:
             codes = F.broadcast(domain.select(
                 "_lv", (F.dense_rank().over(_sorted_window()) - 1).cast("int").alias(f"{c}{suffix}_code")))
         else:  # many categories: codes from the distributed rank, shuffled join

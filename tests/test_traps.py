@@ -222,3 +222,12 @@ def test_describe_matches_pandas_and_skips_nulls(spark):
         for k, v in exp.items():
             assert got[c][k] == pytest.approx(round(v, 2)), (c, k)
     assert got["b"]["count"] == 0 and got["b"]["mean"] is None
+
+
+def test_label_encode_byte_bound_takes_distributed_path(spark, monkeypatch):
+    from riskloom.operators import engineer
+    df = spark.createDataFrame([(i, f"value-{i % 5}") for i in range(50)], "id long, s string")
+    small = engineer.label_encode(df, ["s"])
+    monkeypatch.setattr(engineer, "MAX_BROADCAST_BYTES", 10)  # 5 values x 7 bytes > 10
+    large = engineer.label_encode(df, ["s"])
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
