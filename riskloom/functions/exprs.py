@@ -122,3 +122,13 @@ def js_fixed(c: str | Column, digits: int) -> Column:
 def js_grouped_int(c: str | Column) -> Column:
     """toLocaleString('en-US', {maximumFractionDigits: 0}): grouped integer."""
     return F.format_number(F.round(col(c).cast("double"), 0), 0)
+
+
+def with_row_values(df, one_row):
+    """Attach the columns of a one-row table (a global aggregate) to every
+    row of ``df`` as typed literals.  Exactly one row is fetched to the
+    driver, so the size is fixed by the column list; the plan then carries
+    constants instead of a cross join or a per-use scalar subquery."""
+    row = one_row.first()
+    return df.select("*", *[F.lit(None if row is None else row[f.name]).cast(f.dataType).alias(f.name)
+                            for f in one_row.schema.fields])

@@ -223,8 +223,7 @@ def context_blocks(questions: DataFrame, segments: DataFrame, view: DataFrame,
     joined = qf.select(key, "source_filter", "age_filter", "wants_customers").join(
         F.broadcast(seg_text),
         F.col("source_filter").eqNullSafe(F.col("sf")) & F.col("age_filter").eqNullSafe(F.col("af")), "left")
-    out = (joined.crossJoin(F.broadcast(overview))   # one row
-           .crossJoin(F.broadcast(cust_text)))       # one row
+    out = X.with_row_values(X.with_row_values(joined, overview), cust_text)
     no_seg = F.lit("No segment data available.")
     return out.select(
         key,

@@ -97,4 +97,4 @@ def table_profile(df: DataFrame) -> DataFrame:
     cols = spark.createDataFrame(
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
         "position int, column string, dtype string")
-    return cols.crossJoin(F.broadcast(n)).withColumn("n_columns", F.lit(len(df.columns)))
+    return X.with_row_values(cols, n).withColumn("n_columns", F.lit(len(df.columns)))

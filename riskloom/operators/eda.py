@@ -21,7 +21,7 @@ def churn_rate(features: DataFrame, buyers_only: DataFrame | None = None) -> Dat
     if buyers_only is None:
         return a
     b = buyers_only.agg(F.count(F.lit(1)).alias("buyers"), F.avg("churned").alias("buyer_churn_rate"))
-    return a.crossJoin(b)
+    return X.with_row_values(a, b)
 
 
 def churn_by(df: DataFrame, key: str | F.Column, name: str | None = None) -> DataFrame:

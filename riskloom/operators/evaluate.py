@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import schemas as S
+from riskloom.functions import exprs as X
 from riskloom.operators.rank import distributed_rank
 from riskloom.session import materialize
 
@@ -49,7 +50,7 @@ def class_balance(train: DataFrame, label: str = "churned") -> DataFrame:
 
 def with_class_weight(df: DataFrame, balance: DataFrame, label: str = "churned") -> DataFrame:
     b = balance.select("weight_0", "weight_1")
-    return (df.crossJoin(F.broadcast(b))
+    return (X.with_row_values(df, b)
             .withColumn("weight", F.when(F.col(label) == 1, F.col("weight_1")).otherwise(F.col("weight_0")))
             .drop("weight_0", "weight_1"))
 
@@ -140,7 +141,7 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") ->
                                   F.count_if(F.col(label) == 0).alias("neg"))
     cum = distributed_cumsum(g, [F.col(score).desc()], ["pos", "neg"])
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return (cum.crossJoin(F.broadcast(tot))
+    return (X.with_row_values(cum, tot)
             .select(F.col(score).cast("double").alias("threshold"),
                     F.try_divide(F.col("cum_neg").cast("double"), F.col("N")).alias("fpr"),
                     F.try_divide(F.col("cum_pos").cast("double"), F.col("P")).alias("tpr")))

@@ -17,13 +17,17 @@ from riskloom.functions import exprs as X
 from riskloom.sources.tables import RawTables
 
 
-def reference_date(orders: DataFrame) -> DataFrame:
-    """The date of the latest order, as a one-row table (``_ref_date``).
+def reference_date(t: RawTables) -> F.Column:
+    """The date of the latest (visible) order, as a literal.
 
-    Joined once (broadcast: always one row) instead of used as a scalar
-    subquery: each use of a scalar subquery is planned as its own execution,
-    and the feature formulas refer to the date five times."""
-    return orders.agg(F.to_date(F.max("o_orderdate")).alias("_ref_date"))
+    Computed once per table set (one value comes back to the driver) and
+    folded into the plan as a constant: a scalar subquery would be executed
+    once per use, and the feature formulas use the date five times."""
+    key = ("ref_date", t.orders_lag_days or 0)
+    if key not in t.scans:
+        row = t.orders.agg(F.to_date(F.max("o_orderdate")).cast("string").alias("d")).first()
+        t.scans[key] = row["d"]
+    return F.lit(t.scans[key]).cast("date")
 
 
 def _line_revenue_units() -> F.Column:
@@ -154,12 +158,11 @@ def feature_base(t: RawTables) -> DataFrame:
     cat = customer_category_stats(t)
     ev = customer_event_stats(t)
     j = (dims.join(o, "user_id", "left").join(ln, "user_id", "left")
-         .join(cat, "user_id", "left").join(ev, "user_id", "left")
-         .crossJoin(F.broadcast(reference_date(t.orders))))  # one row
+         .join(cat, "user_id", "left").join(ev, "user_id", "left"))
 
     total_orders = F.coalesce(F.col("total_orders"), F.lit(0).cast("long"))
     revenue = F.coalesce(F.col("line_revenue"), F.lit(0).cast("decimal(18,2)"))
-    ref_date = F.col("_ref_date")
+    ref_date = reference_date(t)
     tenure = F.datediff(ref_date, F.to_date("first_order_ts")).cast("double")
     days_since = F.datediff(ref_date, F.to_date("last_complete_ts"))
     zero = F.lit(0).cast("long")

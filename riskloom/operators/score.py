@@ -63,7 +63,7 @@ def weighted(train: DataFrame) -> DataFrame:
     """Balanced weights n/(2 n_c) (LR, RF) and scale_pos_weight (GBT)."""
     b = evaluate.class_balance(train, "label")
     return (evaluate.with_class_weight(train, b, "label")
-            .crossJoin(F.broadcast(b.select("pos_weight")))
+            .transform(lambda d: X.with_row_values(d, b.select("pos_weight")))
             .withColumn("pos_weight_col", F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(F.lit(1.0)))
             .drop("pos_weight"))
 
@@ -168,7 +168,7 @@ def scaled_features(prepared: DataFrame, key: str = "user_id") -> DataFrame:
     train = enc.where(F.col("split") == "train")
     stats = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"{c}__m") for c in feats],
                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__s") for c in feats])
-    j = enc.crossJoin(F.broadcast(stats))
+    j = X.with_row_values(enc, stats)
     out = [F.col(key), F.col("split")]
     for c in feats:
         z = F.try_divide(F.col(c).cast("double") - F.col(f"{c}__m"), F.col(f"{c}__s"))

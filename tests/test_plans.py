@@ -45,3 +45,12 @@ def test_qcut_formula_equals_pandas_for_many_n():
         assert max(got) == 5 and min(got) == 1
         sizes = pd.Series(got).value_counts()
         assert sizes.max() - sizes.min() <= math.ceil(n / 5)
+
+
+def test_library_has_no_cross_joins():
+    """One-row aggregates are attached as literals (exprs.with_row_values),
+    never by a cross join."""
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1] / "riskloom"
+    offenders = [str(p) for p in root.rglob("*.py") if "crossJoin(" in p.read_text()]
+    assert offenders == []
