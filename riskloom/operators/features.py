@@ -77,16 +77,32 @@ def share_order_facts(t: RawTables) -> RawTables:
     return t
 
 
+def order_facts(t: RawTables) -> DataFrame:
+    """One row per order: customer, status, date and its line totals (null
+    for an order without lines).  The per-order line table is already
+    partitioned on the order key, so only orders move for this join."""
+    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"),
+                        "o_orderstatus", "o_orderdate")
+    return o.join(order_line_stats(t), "l_orderkey", "left")
+
+
 def customer_order_stats(t: RawTables) -> DataFrame:
-    """Per customer from orders alone: completed / cancelled counts, first order
-    of any status, last completed order."""
-    o = t.orders
+    """Per customer, one aggregate over its order facts: completed /
+    cancelled counts, first order of any status, last completed order, and
+    revenue and return counts over the lines of completed orders."""
     complete = F.col("o_orderstatus") == S.STATUS_COMPLETE
-    return (o.groupBy(F.col("o_custkey").alias("user_id"))
+    on_complete = lambda c: F.when(complete, c)
+    return (order_facts(t).groupBy("user_id")
             .agg(F.count_if(complete).alias("total_orders"),
                  F.count_if(F.col("o_orderstatus") == S.STATUS_CANCELLED).alias("cancelled_orders"),
                  F.min("o_orderdate").alias("first_order_ts"),
-                 F.max(F.when(complete, F.col("o_orderdate"))).alias("last_complete_ts")))
+                 F.max(on_complete(F.col("o_orderdate"))).alias("last_complete_ts"),
+                 (F.sum(on_complete(F.col("order_revenue_units").cast("decimal(38,0)"))) / F.lit(10000))
+                 .cast("decimal(18,2)").alias("line_revenue"),
+                 F.sum(on_complete(F.col("order_lines"))).alias("lines"),
+                 F.sum(on_complete(F.col("order_returned_lines"))).alias("returned_lines"),
+                 F.count_if(complete & (F.col("order_returned_lines") > 0)).alias("returned_orders"),
+                 F.count_if(complete & F.col("order_lines").isNotNull()).alias("orders_with_lines")))
 
 
 def _complete_orders(t: RawTables) -> DataFrame:
@@ -94,18 +110,6 @@ def _complete_orders(t: RawTables) -> DataFrame:
             .select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")))
 
 
-def customer_line_stats(t: RawTables) -> DataFrame:
-    """Per customer over lines of completed orders: revenue, return counts."""
-    per_order = order_line_stats(t).join(_complete_orders(t), "l_orderkey", "inner")
-    return (per_order.groupBy("user_id")
-            .agg((F.sum(F.col("order_revenue_units").cast("decimal(38,0)")) / F.lit(10000))
-                 .cast("decimal(18,2)").alias("line_revenue"),
-                 F.sum("order_lines").alias("lines"),
-                 F.sum("order_returned_lines").alias("returned_lines"),
-                 F.count_if(F.col("order_returned_lines") > 0).alias("returned_orders"),
-                 F.count(F.lit(1)).alias("orders_with_lines")))
-
-
 def customer_category_stats(t: RawTables) -> DataFrame:
     """Per customer: distinct categories and the category with most lines
     (ties alphabetical), from (customer, category) partial counts."""
@@ -154,10 +158,9 @@ def feature_base(t: RawTables) -> DataFrame:
     """The wide feature table (FEATURE_SCHEMA), one row per customer."""
     dims = customer_dimensions(t)
     o = customer_order_stats(t)
-    ln = customer_line_stats(t)
     cat = customer_category_stats(t)
     ev = customer_event_stats(t)
-    j = (dims.join(o, "user_id", "left").join(ln, "user_id", "left")
+    j = (dims.join(o, "user_id", "left")
          .join(cat, "user_id", "left").join(ev, "user_id", "left"))
 
     total_orders = F.coalesce(F.col("total_orders"), F.lit(0).cast("long"))
