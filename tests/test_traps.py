@@ -231,3 +231,20 @@ def test_label_encode_byte_bound_takes_distributed_path(spark, monkeypatch):
     monkeypatch.setattr(engineer, "MAX_BROADCAST_BYTES", 10)  # 5 values x 7 bytes > 10
     large = engineer.label_encode(df, ["s"])
     assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_merge_is_idempotent_on_random_tables(spark, seed):
+    """merge(merge(old, new), new) == merge(old, new), row for row, with nulls
+    in both tables and keys on either side only."""
+    rng = np.random.default_rng(seed)
+    old_keys = rng.choice(60, 30, replace=False)
+    new_keys = rng.choice(60, 30, replace=False)
+    val = lambda: None if rng.random() < 0.2 else float(rng.integers(0, 9))
+    old = spark.createDataFrame([(int(k), val(), "t0") for k in old_keys],
+                                "user_id long, v double, created_at string")
+    new = spark.createDataFrame([(int(k), val()) for k in new_keys], "user_id long, v double")
+    once = store.merge(old, new, "user_id", ["user_id", "v"], {"created_at": F.lit("t1")})
+    twice = store.merge(once, new, "user_id", ["user_id", "v"], {"created_at": F.lit("t2")})
+    assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
+    assert once.count() == len(set(old_keys) | set(new_keys))
