@@ -71,9 +71,17 @@ def share_order_facts(t: RawTables) -> RawTables:
     once to the checkpoint folder, for plans that derive features several
     times (e.g. a current run and an older snapshot): the line table is then
     aggregated once, not once per snapshot."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from riskloom.session import materialize
-    t.derived["order_line_stats"] = materialize(_order_line_stats(t), "order-lines")
-    t.derived["order_category_lines"] = materialize(_order_category_lines(t), "order-categories")
+    write = inheritable_thread_target(t.spark)(materialize)
+    with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, run side by side
+        lines = pool.submit(write, _order_line_stats(t), "order-lines")
+        cats = pool.submit(write, _order_category_lines(t), "order-categories")
+        t.derived["order_line_stats"] = lines.result()
+        t.derived["order_category_lines"] = cats.result()
     return t
 
 
