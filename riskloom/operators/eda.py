@@ -11,17 +11,17 @@ from riskloom.functions import exprs as X
 from riskloom.operators.rank import value_quintile_label
 
 
-def churn_rate(features: DataFrame, buyers_only: DataFrame | None = None) -> DataFrame:
-    """Share churned (mean of the label) and US share, for all customers and
-    for buyers, in one aggregate each."""
-    a = features.agg(F.count(F.lit(1)).alias("customers"),
-                     F.avg("churned").alias("churn_rate"),
-                     F.count_if(F.col("is_us_customer")).alias("us_customers"),
-                     F.avg(F.col("is_us_customer").cast("int")).alias("us_share"))
-    if buyers_only is None:
-        return a
-    b = buyers_only.agg(F.count(F.lit(1)).alias("buyers"), F.avg("churned").alias("buyer_churn_rate"))
-    return X.with_row_values(a, b)
+def churn_rate(features: DataFrame, buyer: F.Column | None = None) -> DataFrame:
+    """Share churned (mean of the label) and US share for all customers and,
+    given the buyer predicate, count and churn share of buyers: one aggregate,
+    one pass over the feature table."""
+    aggs = [F.count(F.lit(1)).alias("customers"),
+            F.avg("churned").alias("churn_rate"),
+            F.count_if(F.col("is_us_customer")).alias("us_customers"),
+            F.avg(F.col("is_us_customer").cast("int")).alias("us_share")]
+    if buyer is not None:
+        aggs += [F.count_if(buyer).alias("buyers"), F.avg(F.when(buyer, F.col("churned"))).alias("buyer_churn_rate")]
+    return features.agg(*aggs)
 
 
 def churn_by(df: DataFrame, key: str | F.Column, name: str | None = None) -> DataFrame:

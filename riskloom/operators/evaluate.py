@@ -140,7 +140,9 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") ->
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                   F.count_if(F.col(label) == 0).alias("neg"))
     cum = distributed_cumsum(g, [F.col(score).desc()], ["pos", "neg"])
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # running sums never decrease, so their maxima are the class totals: read
+    # from the written running sums instead of grouping the scores again
+    tot = cum.agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N"))
     return (X.with_row_values(cum, tot)
             .select(F.col(score).cast("double").alias("threshold"),
                     F.try_divide(F.col("cum_neg").cast("double"), F.col("N")).alias("fpr"),

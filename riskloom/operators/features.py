@@ -203,7 +203,12 @@ def feature_base(t: RawTables) -> DataFrame:
     )
 
 
+def is_buyer() -> F.Column:
+    """At least one completed order."""
+    return F.col("total_orders") >= S.BUYER_MIN_ORDERS
+
+
 def buyers(features: DataFrame) -> DataFrame:
     """Scope to customers with at least one completed order (pushed below the
     joins by Catalyst where it can)."""
-    return features.where(F.col("total_orders") >= S.BUYER_MIN_ORDERS)
+    return features.where(is_buyer())

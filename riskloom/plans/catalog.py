@@ -152,7 +152,7 @@ def q_risk_tiers(spark, d):
 @query("churn_rate")
 def q_churn_rate(spark, d):
     fb = features.feature_base(_t(spark, d))
-    return eda.churn_rate(fb, features.buyers(fb))
+    return eda.churn_rate(fb, features.is_buyer())
 
 
 @query("churn_by_age")
