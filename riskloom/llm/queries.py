@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import id_store, packing, url_rules
+from riskloom.llm import decision_list, id_store, packing, site_quality, toxicity, unigram, url_rules
 from riskloom.llm.tables import read
 
 
@@ -29,18 +30,43 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decision_list.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    s = F.col(site_quality.OWN)
+    return out.select("doc_id", s["host"].alias("host"), s["path"].alias("path"), s["evidence"].alias("evidence"),
+                      s["site_rate"].alias("site_rate"), s["quality"].alias("quality"), (s["quality"] >= 0.5).alias("kept"))
+
+
 def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = id_store.write_ids(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return id_store.read_ids(spark, manifest)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read(spark, sf_dir, "pages"), RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_unigram_counts": op2_unigram_counts,
+    "op3_decision_list": op3_decision_list,
+    "op4_site_quality": op4_site_quality,
     "op5_id_store": op5_id_store,
+    "op6_toxicity": op6_toxicity,
     "op7_url_rules": op7_url_rules,
 }
 
