@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decision_list, id_store, packing, site_quality, toxicity, unigram, url_rules
+from riskloom.llm import decision_list, id_store, near_dup, packing, site_quality, toxicity, unigram, url_rules
 from riskloom.llm.tables import read
 
 
@@ -60,6 +60,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read(spark, sf_dir, "pages"), RULES)
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_unigram_counts": op2_unigram_counts,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_id_store": op5_id_store,
     "op6_toxicity": op6_toxicity,
     "op7_url_rules": op7_url_rules,
+    "op9_near_dup": op9_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {
