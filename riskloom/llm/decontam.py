@@ -253,12 +253,16 @@ def holds_item(text: Column, benchmark: DataFrame, max_rate: float = 0.2) -> Col
     """Boolean column: the text holds some benchmark item; for filters."""
     out = F.lit(False)
     for items in item_blocks(benchmark):
-        @F.arrow_udf("boolean")
-        def leaked(texts: Iterator[pa.Array], items: Items = items) -> Iterator[pa.Array]:
-            for t in texts:
-                hit = np.zeros(len(t), bool)
-                hit[[r for r, *_ in search(t, items, max_rate)]] = True
-                yield pa.array(hit)
-
-        out = out | leaked(text.cast("string"))
+        out = out | _holds(items, max_rate)(text.cast("string"))
     return out
+
+
+def _holds(items: Items, max_rate: float):
+    @F.arrow_udf("boolean")
+    def leaked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            hit = np.zeros(len(t), bool)
+            hit[[r for r, *_ in search(t, items, max_rate)]] = True
+            yield pa.array(hit)
+
+    return leaked

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decision_list, decontam, id_store, near_dup, packing, site_quality, toxicity, unigram, url_rules
+from riskloom.llm import decision_list, decontam, id_store, near_dup, packing, quotes, site_quality, toxicity, unigram, url_rules
 from riskloom.llm.tables import read
 
 
@@ -68,6 +68,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_threads(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_unigram_counts": op2_unigram_counts,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_id_store": op5_id_store,
     "op6_toxicity": op6_toxicity,
     "op7_url_rules": op7_url_rules,
+    "op8_quotation_threads": op8_quotation_threads,
     "op9_near_dup": op9_near_dup,
     "op10_decontaminate": op10_decontaminate,
 }
