@@ -153,12 +153,13 @@ def segment_line(segments: DataFrame) -> F.Column:
     """One ' | '-joined text row per segment, formatted like the chat context."""
     def pct(c):
         return F.concat(X.js_fixed(F.col(c) * 100, 1), F.lit("%"))
-    return F.concat_ws(
-        " | ", F.col("risk_tier"), F.col("age_bucket"), F.col("gender"), F.col("traffic_source"),
+    fields = [
+        F.col("risk_tier"), F.col("age_bucket"), F.col("gender"), F.col("traffic_source"),
         F.col("user_count").cast("string"), pct("avg_churn_prob"),
         F.concat(F.lit("$"), X.js_grouped_int(F.coalesce(F.col("total_revenue_at_risk"), F.lit(0.0)))),
         X.js_fixed(F.coalesce(F.col("avg_orders_per_month"), F.lit(0.0)), 2),
-        pct("avg_return_rate"), F.col("one_time_buyers").cast("string"))
+        pct("avg_return_rate"), F.col("one_time_buyers").cast("string")]
+    return F.concat_ws(" | ", *[F.coalesce(f, F.lit("")) for f in fields])  # a null field stays, empty
 
 
 def overview_text(kpi: DataFrame) -> DataFrame:
@@ -175,18 +176,26 @@ def overview_text(kpi: DataFrame) -> DataFrame:
     ).alias("overview_text"))
 
 
+def grouped_number(value: F.Column) -> F.Column:
+    """Thousands separators and at most three decimals, none for a whole number."""
+    return F.regexp_replace(F.format_number(value, 3), r"\.?0+$", "")
+
+
 def customer_line() -> F.Column:
+    """One line per customer; a null field is printed as ``null``."""
+    def shown(c):
+        return F.coalesce(F.col(c), F.lit("null"))
     return F.concat(
         F.lit("- User "), F.col("user_id").cast("string"), F.lit(": $"),
-        F.format_number(F.coalesce(F.col("total_revenue").cast("double"), F.lit(0.0)), 2), F.lit(" revenue, "),
-        X.js_fixed(F.col("churn_probability") * 100, 1), F.lit("% churn prob, "),
-        F.col("age_bucket"), F.lit(" "), F.col("gender"), F.lit(", "), F.col("traffic_source"),
-        F.lit(", top drivers: "), F.col("top_feature_1"), F.lit(", "), F.col("top_feature_2"),
-        F.lit(", "), F.col("top_feature_3"))
+        grouped_number(F.coalesce(F.col("total_revenue").cast("double"), F.lit(0.0))), F.lit(" revenue, "),
+        X.js_fixed(F.coalesce(F.col("churn_probability"), F.lit(0)) * 100, 1), F.lit("% churn prob, "),
+        shown("age_bucket"), F.lit(" "), shown("gender"), F.lit(", "), shown("traffic_source"),
+        F.lit(", top drivers: "), shown("top_feature_1"), F.lit(", "), shown("top_feature_2"),
+        F.lit(", "), shown("top_feature_3"))
 
 
 def context_blocks(questions: DataFrame, segments: DataFrame, view: DataFrame,
-                   key: str = "question_id") -> DataFrame:
+                   keys: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
     """Per question, the data context text: overview, the question's top
     segments (its own filters, limit 20) and, when asked for, the top
     at-risk customers; empty blocks are skipped, blocks joined by a blank line.
@@ -199,11 +208,12 @@ def context_blocks(questions: DataFrame, segments: DataFrame, view: DataFrame,
     qf = question_filters(questions)
     seg = segments.withColumn("line", segment_line(segments))
     combos = qf.select("source_filter", "age_filter").distinct()
-    m = combos.join(
-        F.broadcast(seg),  # both sides bounded by the segment key domain
-        (F.col("source_filter").isNull() | F.expr("traffic_source ILIKE source_filter"))
-        & (F.col("age_filter").isNull() | (F.col("age_filter") == F.col("age_bucket"))),
-        "inner")
+    # a segment answers four filter pairs: its own source or any, its own age or any
+    nothing = F.lit(None).cast("string")
+    answers = F.array(*[F.struct(s.alias("s"), a.alias("a")) for s in (nothing, F.lower("traffic_source"))
+                        for a in (nothing, F.col("age_bucket"))])
+    spread = seg.withColumn("_p", F.explode(F.array_distinct(answers)))
+    m = combos.join(spread, F.lower("source_filter").eqNullSafe(F.col("_p.s")) & F.col("age_filter").eqNullSafe(F.col("_p.a"))).drop("_p")
     w = Window.partitionBy("source_filter", "age_filter").orderBy(*_segment_order())
     top = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= S.TOP_SEGMENTS_LIMIT)
     seg_text = (top.groupBy("source_filter", "age_filter")
@@ -217,16 +227,16 @@ def context_blocks(questions: DataFrame, segments: DataFrame, view: DataFrame,
     cust_text = (cust.select(F.struct(F.col("total_revenue").cast("double").alias("r"),
                                       (-F.col("user_id")).alias("u"), customer_line().alias("line")).alias("s"))
                  .agg(F.sort_array(F.collect_list("s"), asc=False).alias("ls"))  # <= 5 lines
-                 .select(F.concat(F.lit("## Top At-Risk Customers (by revenue)\n"),
-                                  F.array_join(F.transform("ls", lambda s: s["line"]), "\n")).alias("customer_text")))
+                 .select(F.when(F.size("ls") > 0, F.concat(F.lit("## Top At-Risk Customers (by revenue)\n"),
+                                  F.array_join(F.transform("ls", lambda s: s["line"]), "\n"))).alias("customer_text")))
     overview = overview_text(overview_stats(segments))
-    joined = qf.select(key, "source_filter", "age_filter", "wants_customers").join(
-        F.broadcast(seg_text),
+    joined = qf.select(*keys, "source_filter", "age_filter", "wants_customers").join(
+        seg_text,
         F.col("source_filter").eqNullSafe(F.col("sf")) & F.col("age_filter").eqNullSafe(F.col("af")), "left")
     out = X.with_row_values(X.with_row_values(joined, overview), cust_text)
     no_seg = F.lit("No segment data available.")
     return out.select(
-        key,
+        *keys,
         F.concat_ws("\n\n", F.col("overview_text"), F.coalesce(F.col("segment_text"), no_seg),
                     F.when(F.col("wants_customers"), F.col("customer_text"))).alias("context"))
 

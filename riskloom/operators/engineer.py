@@ -50,45 +50,30 @@ def string_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]
     return [c for c in cols if isinstance(types[c], T.StringType)]
 
 
-MAX_BROADCAST_CATEGORIES = 1_000_000
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024  # string bytes of the code table
-
-
 def label_encode(df: DataFrame, columns: list[str] | None = None, suffix: str = "") -> DataFrame:
     """LabelEncoder on astype(str): null becomes the category 'nan'; codes are
     0..k-1 in sorted order of the distinct strings.
 
-    Codes come from dense_rank over each column's distinct values.  The code
-    table is measured first (rows and string bytes, one aggregate row): when
-    it is within MAX_BROADCAST_CATEGORIES and MAX_BROADCAST_BYTES it is
-    broadcast (a categorical with few values would otherwise become a
-    sort-merge join with one huge partition per value); a larger domain is
-    high-cardinality, so a plain shuffled join is not skewed.
+    Codes come from the distributed rank of each column's distinct values, at
+    any size of the domain, and are joined back by the planner's choice.  Null
+    rows, which may be most of a column, need no join: their one code is a
+    literal, and their join keys are spread over values that no code has.
     """
     cols = columns if columns is not None else string_columns(df)
     out = df
     for c in cols:
-        filled = F.coalesce(F.col(c), F.lit("nan"))
-        domain = df.select(filled.alias("_lv")).distinct()
-        size = domain.agg(F.count(F.lit(1)).alias("n"),
-                          F.coalesce(F.sum(F.length("_lv")), F.lit(0)).alias("b")).first()
-        if size["n"] <= MAX_BROADCAST_CATEGORIES and size["b"] <= MAX_BROADCAST_BYTES:
-            codes = F.broadcast(domain.select(
-                "_lv", (F.dense_rank().over(_sorted_window()) - 1).cast("int").alias(f"{c}{suffix}_code")))
-        else:  # many categories: codes from the distributed rank, shuffled join
-            codes = distributed_rank(domain, [F.col("_lv").asc()], "_r", None).select(
-                "_lv", (F.col("_r") - 1).cast("int").alias(f"{c}{suffix}_code"))
-        out = out.withColumn("_lv", filled).join(codes, "_lv", "left").drop("_lv")
+        domain = df.select(F.coalesce(F.col(c), F.lit("nan")).alias("_lv")).distinct()
+        codes = distributed_rank(domain, [F.col("_lv").asc()], "_r", None).select("_lv", (F.col("_r") - 1).cast("int").alias("_code"))
+        nan = codes.where(F.col("_lv") == "nan").first()
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*out.columns), F.lit(4096)).cast("string"))
+        code = F.when(F.col("_null"), F.lit(nan["_code"] if nan else None).cast("int")).otherwise(F.col("_code"))
+        out = (out.withColumn("_null", F.col(c).isNull()).withColumn("_lv", F.coalesce(F.col(c), spread))
+               .join(codes, "_lv", "left").withColumn(f"{c}{suffix}_code", code).drop("_lv", "_null", "_code"))
         if not suffix:
             out = out.drop(c).withColumnRenamed(f"{c}_code", c)
     return out.select(df.columns + ([f"{c}{suffix}_code" for c in cols] if suffix else []))
 
 
-def _sorted_window():
-    from pyspark.sql import Window
-    return Window.orderBy(F.col("_lv").asc())
-
-
 def adaptive_projection(df: DataFrame, wanted: list[tuple[str, object]]) -> DataFrame:
     """Keep wanted columns that exist, fill the others with a default."""
     from riskloom.sources.tables import optional_columns

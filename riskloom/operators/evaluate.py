@@ -3,6 +3,8 @@ exact ROC-AUC with ties, ROC curve points."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,22 @@ def split_hash(key: str, seed: int = S.RANDOM_SEED) -> F.Column:
 
 
 def stratified_split(df: DataFrame, key: str = "user_id", test_share: float = S.SPLIT_TEST_SHARE,
-                     seed: int = S.RANDOM_SEED) -> DataFrame:
-    """Adds ``split`` = 'test' / 'train'.  Each class is thinned by the same
-    hash threshold, so class shares hold in expectation without a per-class
-    window (no task ever sees a whole class)."""
-    cut = int(test_share * _M32)
-    return df.withColumn("split", F.when(split_hash(key, seed) < F.lit(cut), F.lit("test")).otherwise(F.lit("train")))
+                     seed: int = S.RANDOM_SEED, label: str = "churned") -> DataFrame:
+    """Adds ``split`` = 'test' / 'train': of every class exactly the first
+    round(test_share * size) rows in hash order are test rows.
+
+    Only (key, label) is ranked, by one distributed rank over (label, hash,
+    key); a row's place in its class is its rank less the rows of the classes
+    before (one row per class), so no task sees a whole class."""
+    order = [F.col(label).asc_nulls_first(), split_hash(key, seed).asc(), F.col(key).asc()]
+    ranked = materialize(distributed_rank(df.select(key, label), order, "_sr", None), "split")
+    sizes = ranked.groupBy(label).agg(F.min("_sr").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    test = F.lit(False)
+    for r in sizes:
+        last = r["first"] + math.floor(test_share * r["n"] + 0.5)
+        test = test | (F.col("_sr").between(r["first"], last - 1))
+    split = ranked.select(key, F.when(test, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    return df.join(split, key)
 
 
 def split_sizes(split: DataFrame, label: str = "churned") -> DataFrame:
@@ -94,6 +106,18 @@ def classification_report(scored: DataFrame, label: str = "label", pred: str = "
                       F.col("support").cast("long").alias("support"))
 
 
+def _wide(c: str | F.Column) -> F.Column:
+    """A count as decimal(18,0): products of two are exact in 37 digits, where
+    64-bit products overflow near 3e9 x 3e9."""
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,0)")
+
+
+def auc_of_totals(twice_rank_sum: F.Column, p: F.Column, n: F.Column) -> F.Column:
+    """(2 * rank sum - P (P + 1)) / (2 P N), exact up to the last division."""
+    top = twice_rank_sum - _wide(p) * (_wide(p) + F.lit(1).cast("decimal(1,0)"))
+    return F.try_divide(top.cast("double"), 2.0 * (_wide(p) * _wide(n)).cast("double"))
+
+
 def roc_auc(scored: DataFrame, key: str = "user_id", label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC-AUC with ties as the Mann-Whitney statistic:
     (sum of mid-ranks of positives - P(P+1)/2) / (P N).  Ranks come from the
@@ -101,12 +125,12 @@ def roc_auc(scored: DataFrame, key: str = "user_id", label: str = "label", score
     ranked = distributed_rank(scored.select(key, label, score), [F.col(score).asc(), F.col(key).asc()],
                               "_r", None)
     groups = ranked.groupBy(score).agg(
-        ((F.min("_r") + F.max("_r")) / 2.0).alias("mid_rank"),
+        (F.min("_r") + F.max("_r")).alias("twice_mid_rank"),
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"))
-    t = groups.agg(F.sum(F.col("mid_rank") * F.col("pos")).alias("rank_sum"),
+    t = groups.agg(F.sum(_wide("twice_mid_rank") * _wide("pos")).alias("twice_rank_sum"),
                    F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    auc = F.try_divide(F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * F.col("n")).cast("double"))
+    auc = auc_of_totals(F.col("twice_rank_sum"), F.col("p"), F.col("n"))
     return t.select(F.col("p").alias("positives"), F.col("n").alias("negatives"), auc.alias("roc_auc"))
 
 

@@ -157,17 +157,17 @@ def q_churn_rate(spark, d):
 
 @query("churn_by_age")
 def q_churn_by_age(spark, d):
-    return eda.churn_by_domain(_prepared(spark, d, False), "age_bucket", S.AGE_BUCKETS)
+    return eda.churn_by_domain(scoring.cleaned_buyers(_t(spark, d), False), "age_bucket", S.AGE_BUCKETS)
 
 
 @query("churn_by_gender")
 def q_churn_by_gender(spark, d):
-    return eda.churn_by(_prepared(spark, d, False), "gender")
+    return eda.churn_by(scoring.cleaned_buyers(_t(spark, d), False), "gender")
 
 
 @query("churn_by_source")
 def q_churn_by_source(spark, d):
-    return eda.churn_by(_prepared(spark, d, False), "traffic_source").orderBy("churn_rate", "traffic_source")
+    return eda.churn_by(scoring.cleaned_buyers(_t(spark, d), False), "traffic_source").orderBy("churn_rate", "traffic_source")
 
 
 @query("churn_by_one_time")
@@ -187,7 +187,7 @@ def q_churn_by_rpd(spark, d):
 
 @query("churn_by_state")
 def q_churn_by_state(spark, d):
-    return eda.churn_by_state(_prepared(spark, d, False))
+    return eda.churn_by_state(scoring.cleaned_buyers(_t(spark, d), False))
 
 
 @query("one_time_analysis")
@@ -368,13 +368,13 @@ def _questions(spark, d):
     """Analyst questions = the user turns of the conversations table."""
     c = _t(spark, d).conversations
     return c.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+        "conv_id", "turn", F.col("text").alias("question"))
 
 
 @query("question_filters")
 def q_question_filters(spark, d):
     qf = analyst.question_filters(_questions(spark, d))
-    return qf.select("question_id", F.array_join("mentioned_sources", ",").alias("mentioned_sources"),
+    return qf.select("conv_id", "turn", F.array_join("mentioned_sources", ",").alias("mentioned_sources"),
                      "is_comparison", "source_filter", "age_filter", "wants_customers")
 
 

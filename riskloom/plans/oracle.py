@@ -299,8 +299,9 @@ def _with_extra(extra: list[str], body: str, snapshot: bool = False) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
-_SPLIT = ("CASE WHEN ((((user_id + 42) % 2147483648 + 2147483648) % 2147483648) * 2654435761) % 4294967296 "
-          f"< {int(S.SPLIT_TEST_SHARE * 4294967296)} THEN 'test' ELSE 'train' END")
+_HASH = "((((user_id + 42) % 2147483648 + 2147483648) % 2147483648) * 2654435761) % 4294967296"
+_SPLIT = (f"CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, user_id) "
+          f"<= floor({S.SPLIT_TEST_SHARE} * count(*) OVER (PARTITION BY churned) + 0.5) THEN 'test' ELSE 'train' END")
 _TEST = [f"spl AS (SELECT *, {_SPLIT} AS split FROM based)",
          "tst AS (SELECT user_id, churned AS label, p_raw AS score, CAST(p_raw >= 0.5e0 AS INTEGER) AS prediction "
          "FROM spl WHERE split = 'test')"]
@@ -330,7 +331,7 @@ def _report_sql() -> str:
 
 
 def _questions_cte() -> str:
-    return ("q AS (SELECT conv_id * 1000 + turn AS question_id, lower(text) AS lq FROM conversations "
+    return ("q AS (SELECT conv_id, turn, lower(text) AS lq FROM conversations "
             "WHERE role = 'user')")
 
 
@@ -339,7 +340,7 @@ def _question_filters_sql() -> str:
     n_src = " + ".join(f"CASE WHEN regexp_matches(lq, '{pat}') THEN 1 ELSE 0 END" for pat, _ in S.SOURCE_PATTERNS)
     age = "CASE " + " ".join(f"WHEN regexp_matches(lq, '{pat}') THEN '{name}'" for pat, name in S.AGE_PATTERNS) + " END"
     return ("WITH " + _questions_cte() + f"""
-      SELECT question_id, concat_ws(',', {', '.join(src_cases)}) AS mentioned_sources,
+      SELECT conv_id, turn, concat_ws(',', {', '.join(src_cases)}) AS mentioned_sources,
              regexp_matches(lq, '{S.COMPARISON_PATTERN}') AS is_comparison,
              CASE WHEN ({n_src}) = 1 AND NOT regexp_matches(lq, '{S.COMPARISON_PATTERN}')
                   THEN coalesce({', '.join(src_cases)}) END AS source_filter,
@@ -377,18 +378,18 @@ def _context_sql() -> str:
             f"CAST(one_time_buyers AS VARCHAR))")
     extra = [
         _questions_cte(),
-        f"""qf AS (SELECT question_id,
+        f"""qf AS (SELECT conv_id, turn,
               CASE WHEN ({n_src}) = 1 AND NOT regexp_matches(lq, '{S.COMPARISON_PATTERN}')
                    THEN coalesce({', '.join(src_cases)}) END AS source_filter,
               {age} AS age_filter, regexp_matches(lq, '{S.CUSTOMER_PATTERN}') AS wants FROM q)""",
         f"segl AS (SELECT *, {line} AS line FROM seg)",
-        f"""m AS (SELECT qf.question_id, segl.line, row_number() OVER (PARTITION BY qf.question_id
+        f"""m AS (SELECT qf.conv_id, qf.turn, segl.line, row_number() OVER (PARTITION BY qf.conv_id, qf.turn
                      ORDER BY {SEG_ORDER}) AS rn
               FROM qf JOIN segl ON (qf.source_filter IS NULL OR segl.traffic_source ILIKE qf.source_filter)
                                AND (qf.age_filter IS NULL OR qf.age_filter = segl.age_bucket))""",
-        f"""st AS (SELECT question_id, '## Segment Summary' || {nl} || '{S.SEGMENT_LINE_HEADER}' || {nl}
+        f"""st AS (SELECT conv_id, turn, '## Segment Summary' || {nl} || '{S.SEGMENT_LINE_HEADER}' || {nl}
                      || '{'-' * S.SEGMENT_LINE_DIVIDER_WIDTH}' || {nl} || string_agg(line, {nl} ORDER BY rn) AS segment_text
-              FROM m WHERE rn <= {S.TOP_SEGMENTS_LIMIT} GROUP BY question_id)""",
+              FROM m WHERE rn <= {S.TOP_SEGMENTS_LIMIT} GROUP BY conv_id, turn)""",
         """kpi AS (SELECT h + mm + l AS total, h, mm, l,
                      CASE WHEN h + mm + l > 0 THEN h * 100.0e0 / (h + mm + l) ELSE 0.0e0 END AS pct,
                      CAST(round(CAST(CAST(rev AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS rev
@@ -406,16 +407,16 @@ def _context_sql() -> str:
               ORDER BY total_revenue DESC NULLS FIRST, user_id LIMIT {S.TOP_AT_RISK_LIMIT})""",
         f"""ct AS (SELECT '## Top At-Risk Customers (by revenue)' || {nl} || string_agg(
                      '- User ' || CAST(user_id AS VARCHAR) || ': $'
-                     || format('{{:,.2f}}', CAST(coalesce(total_revenue, 0) AS DOUBLE)) || ' revenue, '
+                     || regexp_replace(format('{{:,.3f}}', CAST(coalesce(total_revenue, 0) AS DOUBLE)), '[.]?0+$', '') || ' revenue, '
                      || {_fixed('CAST(churn_probability AS DOUBLE) * 100', 1)} || '% churn prob, '
                      || age_bucket || ' ' || gender || ', ' || traffic_source || ', top drivers: '
                      || top_feature_1 || ', ' || top_feature_2 || ', ' || top_feature_3,
                      {nl} ORDER BY total_revenue DESC, user_id) AS customer_text FROM top5)""",
     ]
-    body = (f"SELECT qf.question_id, concat_ws({nl} || {nl}, ov.overview_text, "
+    body = (f"SELECT qf.conv_id, qf.turn, concat_ws({nl} || {nl}, ov.overview_text, "
             f"coalesce(st.segment_text, 'No segment data available.'), "
             f"CASE WHEN qf.wants THEN ct.customer_text END) AS context "
-            f"FROM qf LEFT JOIN st USING (question_id) CROSS JOIN ov CROSS JOIN ct")
+            f"FROM qf LEFT JOIN st USING (conv_id, turn) CROSS JOIN ov CROSS JOIN ct")
     return _with_extra(extra, body)
 
 

@@ -32,8 +32,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this names shared storage and is always set; only when it
-    is missing (local tests) do we create a private folder.
+    On a cluster this names shared storage, and its absence is an error; only
+    in local mode do we create a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset; off local mode it must name storage that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="riskloom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -197,17 +197,45 @@ def test_distributed_cumsum_with_ties(spark):
     assert (m["cum_pos_x"] == m["cum_pos_y"]).all()
 
 
-def test_label_encode_broadcast_and_distributed_paths_agree(spark, monkeypatch):
+def test_label_encode_null_heavy_column(spark):
     from riskloom.operators import engineer
-    df = spark.createDataFrame([(i, f"v{i % 7}" if i % 11 else None) for i in range(500)], "id long, s string")
-    small = engineer.label_encode(df, ["s"])
-    monkeypatch.setattr(engineer, "MAX_BROADCAST_CATEGORIES", 3)
-    large = engineer.label_encode(df, ["s"])
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
-    codes = {r.id: r.s for r in small.collect()}
-    assert codes[0] == 0  # null -> 'nan', which sorts before 'v0'..'v6'
-    assert codes[7] == 1 and codes[1] == 2  # 'v0', 'v1'
-
+    df = spark.createDataFrame([(i, f"v{i % 7}" if i % 11 == 0 else None, "x") for i in range(500)], "id long, s string, t string")
+    codes = {r.id: (r.s, r.t) for r in engineer.label_encode(df, ["s", "t"]).collect()}
+    assert len(codes) == 500
+    assert all(codes[i] == (0 if i % 11 else 1 + i % 7, 0) for i in codes)  # 'nan' sorts before 'v0'..'v6'
+
+
+def test_auc_products_beyond_64_bits(spark):
+    from riskloom.operators.evaluate import auc_of_totals
+    p = n = 4_000_000_000
+    top = 2 * (p * n + p * (p + 1) // 2)  # every positive above every negative
+    row = spark.range(1).select(auc_of_totals(F.lit(str(top)).cast("decimal(38,0)"), F.lit(p), F.lit(n)).alias("auc")).first()
+    assert row.auc == 1.0
+
+
+@pytest.mark.parametrize("size", [37, 1000])
+def test_split_is_exact_per_class(spark, size):
+    from riskloom.operators.evaluate import stratified_split
+    df = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(size)], "user_id long, churned int")
+    got = {(r.churned, r.split): r["count"] for r in stratified_split(df).groupBy("churned", "split").count().collect()}
+    for y in (0, 1):
+        n = sum(int(i % 5 == 0) == y for i in range(size))
+        assert got[y, "test"] == int(0.2 * n + 0.5) and got[y, "train"] == n - got[y, "test"]
+
+
+def test_customer_and_segment_lines_keep_null_fields(spark):
+    from riskloom.operators import analyst
+    cols = ("user_id long, total_revenue double, churn_probability double, age_bucket string, gender string, traffic_source string, "
+            "top_feature_1 string, top_feature_2 string, top_feature_3 string")
+    rows = [(1, 1000.0, 0.9, None, "M", "Email", "a", "b", "c"), (2, 1234.5, 0.8, "55+", "F", "Email", "a", "b", "c")]
+    lines = [r[0] for r in spark.createDataFrame(rows, cols).orderBy("user_id").select(analyst.customer_line()).collect()]
+    assert lines[0] == "- User 1: $1,000 revenue, 90.0% churn prob, null M, Email, top drivers: a, b, c"
+    assert lines[1].startswith("- User 2: $1,234.5 revenue")
+    seg = spark.createDataFrame([("High", None, "M", "Email", 3, 0.5, 10.0, 1.0, 0.1, 1)],
+                                "risk_tier string, age_bucket string, gender string, traffic_source string, user_count long, "
+                                "avg_churn_prob double, total_revenue_at_risk double, avg_orders_per_month double, avg_return_rate double, "
+                                "one_time_buyers long")
+    assert seg.select(analyst.segment_line(seg)).first()[0].startswith("High |  | M | Email | 3 | ")
 
 
 def test_describe_matches_pandas_and_skips_nulls(spark):
@@ -224,15 +252,6 @@ def test_describe_matches_pandas_and_skips_nulls(spark):
     assert got["b"]["count"] == 0 and got["b"]["mean"] is None
 
 
-def test_label_encode_byte_bound_takes_distributed_path(spark, monkeypatch):
-    from riskloom.operators import engineer
-    df = spark.createDataFrame([(i, f"value-{i % 5}") for i in range(50)], "id long, s string")
-    small = engineer.label_encode(df, ["s"])
-    monkeypatch.setattr(engineer, "MAX_BROADCAST_BYTES", 10)  # 5 values x 7 bytes > 10
-    large = engineer.label_encode(df, ["s"])
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
-
-
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_merge_is_idempotent_on_random_tables(spark, seed):
     """merge(merge(old, new), new) == merge(old, new), row for row, with nulls
