@@ -160,14 +160,17 @@ def distributed_cumsum(df: DataFrame, order: list[F.Column], values: list[str])
 
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first: rates of
-    rows scoring >= threshold."""
+    rows scoring >= threshold; and the curve's start (0, 0), where no row is
+    called positive, with a null threshold (also for an empty table)."""
     g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                   F.count_if(F.col(label) == 0).alias("neg"))
     cum = distributed_cumsum(g, [F.col(score).desc()], ["pos", "neg"])
     # running sums never decrease, so their maxima are the class totals: read
     # from the written running sums instead of grouping the scores again
     tot = cum.agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N"))
-    return (X.with_row_values(cum, tot)
-            .select(F.col(score).cast("double").alias("threshold"),
-                    F.try_divide(F.col("cum_neg").cast("double"), F.col("N")).alias("fpr"),
-                    F.try_divide(F.col("cum_pos").cast("double"), F.col("P")).alias("tpr")))
+    points = X.with_row_values(cum, tot).select(
+        F.col(score).cast("double").alias("threshold"),
+        F.try_divide(F.col("cum_neg").cast("double"), F.col("N")).alias("fpr"),
+        F.try_divide(F.col("cum_pos").cast("double"), F.col("P")).alias("tpr"))
+    start = scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return start.unionByName(points)

@@ -533,7 +533,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CAST(score AS DOUBLE) AS threshold, "
             "CAST(sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / tn AS fpr, "
             "CAST(sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / tp AS tpr "
-            "FROM g CROSS JOIN t"),
+            "FROM g CROSS JOIN t UNION ALL SELECT CAST(NULL AS DOUBLE), 0.0e0, 0.0e0"),
         "customers_table": with_chain(f"SELECT {_dbl(CUST_COLS, CUST_DEC)} FROM cust"),
         "risk_scores_table": with_chain(f"SELECT {score_sel} FROM scores"),
         "customer_risk": with_chain(f"SELECT {_dbl(VIEW_COLS, CUST_DEC | {'churn_probability'})} FROM view"),

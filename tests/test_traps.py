@@ -110,6 +110,7 @@ def test_auc_with_ties_and_symmetry(spark):
     assert auc + inv == pytest.approx(1.0)
     curve = {r.threshold: (r.fpr, r.tpr) for r in evaluate.roc_curve(df).collect()}
     assert curve[0.9] == (0.0, 1 / 3) and curve[0.2] == (1.0, 1.0)
+    assert curve[None] == (0.0, 0.0)  # the start: nothing called positive
 
 
 def test_classification_report_zero_division(spark):
