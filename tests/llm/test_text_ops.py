@@ -234,6 +234,17 @@ def test_near_dup_against_brute_force(spark):
     assert near_dup.classes(d.limit(0)).count() == 0
 
 
+def test_near_copy_of_the_hottest_text(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    hot = text(104)  # 100 shingles, of which four changed words change eight
+    near = hot[:50] + text(4) + hot[54:]
+    rows = [" ".join(hot)] * 40 + [" ".join(near)] + [" ".join(text(30)) for _ in range(79)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dup.classes(d).collect()}
+    assert all(got[i] == (0, 41) for i in range(41)) and all(got[i] == (i, 1) for i in range(41, 120))
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(0)
     sh = np.sort(rng.integers(1, 2**62, 1200)).astype(np.uint64)
