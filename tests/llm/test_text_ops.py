@@ -245,6 +245,26 @@ def test_near_copy_of_the_hottest_text(spark):
     assert all(got[i] == (0, 41) for i in range(41)) and all(got[i] == (i, 1) for i in range(41, 120))
 
 
+def test_pairs_in_crowded_buckets(spark):
+    """Two alike texts that share one bucket with 30 texts met by chance."""
+    rng = np.random.default_rng(6)
+    draws = lambda: rng.integers(1, 2**62, near_dup.SAMPLES).astype(np.uint64)
+    rows, want = [], set()
+    for group in range(8):
+        first = draws()
+        for k in range(32):
+            own = first.copy() if k < 2 else draws()
+            own[:near_dup.ROWS] = first[:near_dup.ROWS]
+            if k == 1:  # no other band in common
+                own[near_dup.ROWS::near_dup.ROWS] = draws()[near_dup.ROWS::near_dup.ROWS]
+            rows.append((bytearray(f"{group:08d}{k:08d}".encode()), bytearray(own.tobytes()), None))
+        want.add((bytes(rows[-32][0]), bytes(rows[-31][0])))
+    texts = spark.createDataFrame(rows, "uid binary, whole binary, binned binary")
+    for block in (8, 128):
+        pairs = near_dup.met_pairs(near_dup.band_rows(texts), texts, block)
+        assert {(bytes(r.a), bytes(r.b)) for r in pairs.collect()} == want
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(0)
     sh = np.sort(rng.integers(1, 2**62, 1200)).astype(np.uint64)
