@@ -22,7 +22,6 @@ the benchmark needs.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,6 @@ _U = np.uint64
 SCHEMA = "doc_id long, item_id long, first_word long, distance long, item_chars long"
 MIN_WORDS = 5
 WALKS, TABLES, SAMPLED = 2, 8, 4
-MEETINGS = 2  # keys that must propose a place before it is verified,
-SHARED = 0.25  # and the share of the item's words that must be around it
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -142,7 +139,6 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.words = {i: [w for w in words_of(t) if w] for i, t in rows}
         self.words = {i: w for i, w in self.words.items() if len(w) >= MIN_WORDS}
-        self.bags = {i: Counter(w) for i, w in self.words.items()}
         keys, owners = [], []
         for item, words in self.words.items():
             data = lowered(np.frombuffer(" ".join(words).encode(), np.uint8))
@@ -196,16 +192,12 @@ def search(texts: pa.Array, items: Items, max_rate: float) -> Iterator[tuple[int
             for p in sorted(places):
                 if p <= seen:  # inside the stretch searched last
                     continue
-                if sum(n for q, n in places.items() if abs(q - p) <= slack) < MEETINGS:
-                    continue
                 lo, hi = max(p - slack, int(first[row])), min(p + len(words) + 2 * slack, int(first[row + 1]))
                 seen = p + slack
                 if hi <= lo:
                     continue
                 stretch = lowered(data[begin[lo]:end[hi - 1]]).tobytes().decode("utf-8", "replace").translate(_SPACES)
                 around = [w for w in stretch.split(" ") if w]
-                if sum((items.bags[item] & Counter(around)).values()) < SHARED * len(words):
-                    continue
                 d = semi_global(pattern, " ".join(around))
                 if best is None or d < best[0]:
                     best = d, max(p - int(first[row]), 0)
