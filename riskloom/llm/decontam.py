@@ -11,7 +11,8 @@ Symbols are words (lower-cased in ASCII).  A benchmark item of n words is cut
 into windows of a size that grows with the item (the power of two up to 2n/3,
 4 to 16), at every word that hashes lower than the next.  Documents are cut the
 same way at every such word, so an edit spoils only windows it lies in and the
-others still meet.  A document window that shares a key with an item window
+others still meet.  An item without such a window is cut at every word, and
+documents are then cut at every word for its size too.  A document window that shares a key with an item window
 gives a place in the document; the whole item is then searched around it by
 exact semi-global edit distance over characters (bit-parallel).
 
@@ -23,6 +24,7 @@ the benchmark needs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +73,13 @@ def embed(symbols: np.ndarray, start: np.ndarray, steps: int, walk: int) -> np.n
 
 def coordinates(size: int, walk: int, table: int) -> np.ndarray:
     """The sampled steps of a table: one in each quarter of the first 1.5 size
-    steps, in which a walk covers about three quarters of its window."""
+    steps, in which a walk covers about three quarters of its window.  Where a
+    quarter is one step, different sets of these steps; the first lies inside
+    the window, so that a copy meets in it whatever follows."""
+    if 3 * size // 2 < 2 * SAMPLED:
+        first, *others = combinations(range(3 * size // 2), SAMPLED)
+        order = np.random.default_rng([size, walk]).permutation(len(others))
+        return np.array(others[order[table - 1]] if table else first)
     rng = np.random.default_rng([size, walk, table])
     span = 3 * size // 2 // SAMPLED
     return np.arange(SAMPLED) * span + rng.integers(0, span, SAMPLED)
@@ -139,43 +147,60 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.words = {i: [w for w in words_of(t) if w] for i, t in rows}
         self.words = {i: w for i, w in self.words.items() if len(w) >= MIN_WORDS}
-        keys, owners = [], []
+        anchored, free = [], []
         for item, words in self.words.items():
             data = lowered(np.frombuffer(" ".join(words).encode(), np.uint8))
             hashes, text, _, _ = W.words(data, np.array([0, len(data)]))
             size = size_class(len(words))
             at = anchors(hashes, text)
             at = at[at + size <= len(words)]
+            own = anchored if len(at) else free
+            if not len(at):
+                at = np.arange(len(words) - size + 1)
             symbols, place = padded(hashes, text)
             for _, k in window_keys(symbols, place[at], [size]):
-                keys.append(k)
-                owners += [(item, int(a)) for a in at]
-        keys_ = np.concatenate(keys) if keys else np.zeros(0, _U)
-        order = np.argsort(keys_, kind="stable")
-        self.keys, self.owners = keys_[order], [owners[i] for i in order]
-        self.sizes = sorted({size_class(len(w)) for w in self.words.values()})
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.keys >> _U(42)).astype(np.int64)] = True
+                own.append((size, k, [(item, int(a)) for a in at]))
+        self.anchored, self.free = Keys(anchored), Keys(free)
 
     def places(self, hashes: np.ndarray, text: np.ndarray) -> dict[tuple[int, int], dict[int, int]]:
         """(text, item) -> word where the item would begin, which may be
         outside -> number of keys that say so."""
         out: dict[tuple[int, int], dict[int, int]] = {}
-        at = anchors(hashes, text)
-        if not len(at) or not len(self.keys):
-            return out
         symbols, place = padded(hashes, text)
-        for _, key in window_keys(symbols, place[at], self.sizes):
-            hit = np.flatnonzero(self.filter[(key >> _U(42)).view(np.int64)])
-            lo = np.searchsorted(self.keys, key[hit])
-            hi = np.searchsorted(self.keys, key[hit], side="right")
-            for h, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo]):
-                for item, offset in self.owners[a:b]:
-                    found, word = out.setdefault((int(text[at[h]]), item), {}), int(at[h]) - offset
-                    found[word] = found.get(word, 0) + 1
+        for own in (self.anchored, self.free):
+            if not own.sizes:
+                continue
+            at = anchors(hashes, text) if own is self.anchored else np.arange(len(hashes))
+            if not len(at):
+                continue
+            for _, key in window_keys(symbols, place[at], own.sizes):
+                for h, owners in own.hits(key):
+                    for item, offset in owners:
+                        found, word = out.setdefault((int(text[at[h]]), item), {}), int(at[h]) - offset
+                        found[word] = found.get(word, 0) + 1
         return out
 
 
+class Keys:
+    """Sorted window keys and the (item, offset) of each."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray, list[tuple]]]):
+        keys = np.concatenate([k for _, k, _ in parts]) if parts else np.zeros(0, _U)
+        owners = [o for _, _, own in parts for o in own]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], [owners[i] for i in order]
+        self.sizes = sorted({size for size, _, _ in parts})
+        self.filter = np.zeros(1 << 22 if parts else 0, bool)
+        self.filter[(self.keys >> _U(42)).astype(np.int64)] = True
+
+    def hits(self, key: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
+        hit = np.flatnonzero(self.filter[(key >> _U(42)).view(np.int64)])
+        lo = np.searchsorted(self.keys, key[hit])
+        hi = np.searchsorted(self.keys, key[hit], side="right")
+        for h, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo]):
+            yield h, self.owners[a:b]
+
+
 def search(texts: pa.Array, items: Items, max_rate: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, first word, distance, item's characters): the best place of
     every item within ``max_rate`` edits a character of the row's text."""

@@ -190,6 +190,17 @@ def test_leaks(spark, docs):
     assert decontam.leaks(docs, bench).count() == 0 and decontam.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(3, 9)))
+    rows = [((i, 0), " ".join(word() for _ in range(5 + i % 4))) for i in range(800)] + [((800, 0), "again " * 5 + "again"), ((801, 0), "once " * 20)]
+    texts = [" ".join([word() for _ in range(20)] + [t] + [word() for _ in range(20)]) for _, t in rows] + [rows[0][1]]
+    found = {(row, i[0]) for row, i, _, distance, _ in decontam.search(pa.array(texts), decontam.Items(rows), 0.2) if not distance}
+    assert {(i, i) for i in range(802)} | {(802, 0)} <= found
+    for walk in range(decontam.WALKS):
+        assert len({tuple(decontam.coordinates(4, walk, t)) for t in range(decontam.TABLES)}) == decontam.TABLES
+
+
 def test_near_dup_against_brute_force(spark):
     rng = random.Random(8)
     text = lambda n: [str(rng.randrange(5000)) for _ in range(n)]
