@@ -262,16 +262,18 @@ def cover(held: list[list[str]], times: int = 3, least: int = 5) -> list[str]:
     return chosen
 
 
-def learn_stems(sample: DataFrame, min_texts: int = 5, purity: float = 0.9, max_candidates: int = 40_000) -> dict[str, int]:
+def learn_stems(sample: DataFrame, min_texts: int = 5, purity: float = 0.9) -> dict[str, int]:
     toxic, clean = sample.where("_y = 1"), sample.where("_y = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
-    rows = _counted(toxic, None).where(F.col("n") >= min_texts).orderBy(F.desc("n"), "stem").limit(max_candidates).collect()
+    # what the cover asks of a stem at least; a text of S stems leaves at most 100 S candidates
+    least = max(min_texts, math.ceil(0.01 * n_toxic))
+    rows = _counted(toxic, None).where(F.col("n") >= least).collect()
     n1 = {r["stem"]: r["n"] for r in rows}
     n0 = {r["stem"]: r["n"] for r in _counted(clean, frozenset(n1)).collect()}
     pure = frozenset(s for s, n in n1.items() if n / n_toxic >= purity * (n / n_toxic + n0.get(s, 0) / n_clean) and n >= purity * (n + n0.get(s, 0)))
-    chosen = cover(_held(toxic, pure), least=max(min_texts, math.ceil(0.01 * n_toxic)))
+    chosen = cover(_held(toxic, pure), least=least)
     return {s[:-2]: int(s[-1]) for s in chosen}
 
 

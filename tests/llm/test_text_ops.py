@@ -143,6 +143,13 @@ def test_toxicity_learns_stems(spark):
     assert all(r.score == 0.5 for r in toxicity.score_texts(d, empty).collect())
 
 
+def test_rare_stem_among_many_frequent_ones(spark):
+    filler = " ".join("".join(chr(97 + k // 26**j % 26) for j in range(3)) + "qrstu" for k in range(9000))
+    rows = [(f"{filler} {'zoblek' if i < 12 else ''} n{i}", 1) for i in range(30)] + [(f"{filler} c{i}", 0) for i in range(30)]
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "text string, _y int"))
+    assert any("zoblek".startswith(s) for s in stems)
+
+
 def edited(rng, text, n):
     w = list(text)
     for _ in range(n):
