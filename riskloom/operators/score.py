@@ -56,7 +56,7 @@ def model_frame(prepared: DataFrame, features: list[str]) -> DataFrame:
     cols = [F.col("user_id"), F.col("churned").cast("double").alias("label")]
     cols += [F.col(c).cast("double").alias(c) for c in features if c not in cats]
     cols += [F.coalesce(F.col(c), F.lit("nan")).alias(f"{c}__s") for c in cats]
-    return evaluate.stratified_split(prepared.select(*cols))
+    return evaluate.stratified_split(prepared.select(*cols), label="label")
 
 
 def weighted(train: DataFrame) -> DataFrame:
