@@ -13,6 +13,7 @@ SCHEMAS = {
     "pages": "page_id BIGINT, url STRING, html STRING",
     "benchmark": "item_id BIGINT, text STRING",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
 }
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,6 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that no later job reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def crc_mod5(doc_id) -> F.Column:
     """crc32 of the doc_id's decimal text, modulo 5 (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(5)
