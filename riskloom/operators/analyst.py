@@ -242,9 +242,10 @@ def context_blocks(questions: DataFrame, segments: DataFrame, view: DataFrame,
 
 
 def recent_turns(conversations: DataFrame, n: int = S.RECENT_TURNS) -> DataFrame:
-    """Last n messages of every conversation (all of them when shorter).
+    """Last n messages of every conversation (all of them when shorter);
+    messages of one turn by role, then text.
     row_number <= n is planned as a window group limit, so each task keeps
     only its n latest rows per conversation before the shuffle."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc(), "role", "text")
     return (conversations.withColumn("rn", F.row_number().over(w))
             .where(F.col("rn") <= n).drop("rn"))

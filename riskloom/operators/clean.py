@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
-from riskloom.operators.rank import layout_of, quantile_values, quantiles_from_ranks, rank_columns
+from riskloom.operators import selection
+from riskloom.session import materialize
 
 
 def clean_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -19,32 +20,29 @@ def clean_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select([X.coerce_numeric(c, types[c]) if c in wanted else F.col(c) for c in df.columns])
 
 
-def exact_quantiles(df: DataFrame, key: str, columns: list[str], probs: list[float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles of several columns in ONE
-    distributed sort: (column, prob, value).  Memory per task is bounded by
-    its partition, whatever the number of distinct values."""
-    ranked = rank_columns(df, key, [(c, c, False) for c in columns], num_partitions)
-    return quantiles_from_ranks(ranked, columns, probs)
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of several columns by selection:
+    (column, prob, value).  No sort and no shuffle of rows, whatever the number
+    of distinct values."""
+    found = selection.quantiles(df, columns, probs)
+    rows = [(c, float(p), found[c, float(p)]) for c in columns for p in probs]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
 
 
-def winsorize(df: DataFrame, key: str = "user_id", columns: list[str] | None = None,
-              q: float = S.CAP_QUANTILE, ranked: DataFrame | None = None) -> DataFrame:
+def winsorize(df: DataFrame, columns: list[str] | None = None, q: float = S.CAP_QUANTILE) -> DataFrame:
     """clip(upper=quantile(q)) per column.  The caps are one row of k
-    scalars (size fixed by the column list, not by the data): fetched once
+    scalars (size fixed by the column list, not by the data): found once
     and inlined as literals, so later jobs do not re-run the quantile plan.
-    Decimal columns are clipped at the cap rounded to their own scale, so
-    they stay exact."""
+    ``df`` is read a few times: hand over a written table.  Decimal columns are
+    clipped at the cap rounded to their own scale, so they stay exact."""
     cols = columns or S.CAP_COLUMNS
-    if ranked is None:
-        ranked = rank_columns(df, key, [(c, c, False) for c in cols])
-    vals = quantile_values(ranked, cols, [q])
+    vals = selection.quantiles(df, cols, [q])
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in df.columns:
         if c in cols:
             t = types[c]
-            cap = F.lit(vals.get((c, float(q)))).cast("double")
+            cap = F.lit(vals[c, float(q)]).cast("double")
             if isinstance(t, T.DecimalType):
                 out.append(X.clip_upper(c, cap.cast(t)).alias(c))
             else:
@@ -62,31 +60,26 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.select(stack).where(F.col("null_count") > 0)
 
 
-def describe(df: DataFrame, key: str = "user_id", columns: list[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """pandas describe() per numeric column, rounded to 2: count, mean, std,
     min, 25%, 50%, 75%, max (nulls and NaN skipped, as pandas does).
 
-    One pass over ``df``: the columns are ranked in one distributed sort
-    (for the exact quartiles) and the moments are aggregated from that
-    written numbering, so the input plan (for ``feature_base``: every fact
-    table) is not evaluated a second time."""
+    The wanted columns are written once, one row a row; the moments are one
+    aggregate over them and the quartiles of all columns come from the same few
+    counting passes, so nothing is sorted or unpivoted."""
     numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                T.DoubleType, T.DecimalType, T.BooleanType)
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, numeric)]
-    specs = [(c, F.col(c).cast("double"), False) for c in cols]
-    ranked = rank_columns(df, key, specs)
-    numbered = layout_of(ranked).numbered
-    m = (numbered.groupBy("ci")
-         .agg(F.count(F.lit(1)).alias("count"), F.avg("sv").alias("mean"), F.stddev_samp("sv").alias("std"),
-              F.min("sv").alias("min"), F.max("sv").alias("max")))
-    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "ci int, column string")
-    qs = quantiles_from_ranks(ranked, cols, [0.25, 0.5, 0.75])
-    qw = (qs.groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-          .toDF("column", "p25", "p50", "p75"))
-    j = names.join(m, "ci", "left").join(qw, "column", "left")
-    return j.select(
-        "column", F.coalesce(F.col("count"), F.lit(0)).cast("double").alias("count"),
-        *[X.round_double(c, 2).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
+    held = materialize(df.select([F.col(c).cast("double").alias(c) for c in cols]), "describe")
+    measures = [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
+    moments = held.agg(*[f(selection.number(c)).alias(f"{m}{i}") for i, c in enumerate(cols) for m, f in measures]).first()
+    probs = [0.25, 0.5, 0.75]
+    found = selection.quantiles(held, cols, probs)
+    rows = [(c, float(moments[f"count{i}"]), *(moments[f"{m}{i}"] for m in ("mean", "std", "min")), *(found[c, p] for p in probs), moments[f"max{i}"])
+            for i, c in enumerate(cols)]
+    out = df.sparkSession.createDataFrame(
+        rows, "column string, count double, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
+    return out.select("column", "count", *[X.round_double(c, 2).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
 
 
 def table_profile(df: DataFrame) -> DataFrame:

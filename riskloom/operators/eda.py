@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
+from riskloom.operators import selection
 from riskloom.operators.rank import value_quintile_label
 
 
@@ -53,12 +54,10 @@ def churn_by_state(df: DataFrame, min_count: int = S.STATE_MIN_CUSTOMERS, top: i
 
 def churn_by_rpd(df: DataFrame) -> DataFrame:
     """Churn by revenue-per-day quintile Q1..Q5 (value cut, right-closed).
-    The four inner edges come from one exact distributed quantile pass; they
+    The four inner edges are exact quantiles, found by counting passes; they
     are four scalars, inlined as literals."""
-    from riskloom.operators.rank import quantile_values, rank_columns
     probs = [0.2, 0.4, 0.6, 0.8]
-    got = quantile_values(rank_columns(df, "user_id", [("revenue_per_day", "revenue_per_day", False)]),
-                          ["revenue_per_day"], probs)  # q-1 scalars
+    got = selection.quantiles(df, ["revenue_per_day"], probs)  # q-1 scalars
     edges = F.array(*[F.lit(got.get(("revenue_per_day", p))).cast("double") for p in probs])
     labeled = df.withColumn("rev_per_day_bucket", value_quintile_label("revenue_per_day", edges))
     return churn_by(labeled, "rev_per_day_bucket")
@@ -93,18 +92,21 @@ def class_comparison(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def histogram(df: DataFrame, value: str, clip: float, bins: int, by: str = "churned") -> DataFrame:
-    """numpy-style histogram of min(value, clip) per class: equal-width bins
-    between the class's own min and max, last bin closed.  Bounds are one
-    row per class (broadcast); the binning is one expression."""
+    """numpy-style histogram of min(value, clip) per class, with the edges of
+    every bin: equal-width bins between the class's own min and max, last bin
+    closed.  Bounds are one row per class, joined as the planner sees fit; the
+    binning is one expression."""
     v = F.least(F.col(value).cast("double"), F.lit(float(clip)))
     x = df.where(F.col(value).isNotNull()).select(F.col(by), v.alias("x"))
     bounds = x.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo = F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5)
-    hi = F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5)
-    raw = F.floor((F.col("x") - lo) * F.lit(bins) / (hi - lo))
+    flat = ~(F.col("hi") > F.col("lo"))
+    bounds = bounds.select(by, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+                           F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    raw = F.floor((F.col("x") - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo")))
     b = F.least(raw, F.lit(bins - 1)).cast("int")
-    return (x.join(F.broadcast(bounds), by)
-            .groupBy(by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    counted = x.join(bounds, by).groupBy(by, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
+    edge = lambda n: F.col("lo") + (F.col("hi") - F.col("lo")) * n / F.lit(bins)
+    return counted.select(by, "bin", "count", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"))
 
 
 def clipped_means(df: DataFrame) -> DataFrame:

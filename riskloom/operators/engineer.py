@@ -9,18 +9,19 @@ from pyspark.sql import types as T
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
-from riskloom.operators.rank import distributed_rank, quintiles_from_ranks, rank_columns
+from riskloom.operators.rank import distributed_rank
+from riskloom.operators.selection import quintile_scores
 
 
 def rfm_scores(df: DataFrame, key: str = "user_id", with_recency: bool = True) -> DataFrame:
     """Frequency (total_orders) and monetary (total_revenue, capped upstream)
     quintiles 1..5, recency quintile with the most recent order = 5, and
-    their sum rfm_total -- all from ONE distributed sort (rank_columns)."""
+    their sum rfm_total -- all from the same counting passes over ``df`` (a
+    written table), without a sort or a join."""
     specs = [("rfm_frequency_score", "total_orders", False), ("rfm_monetary_score", "total_revenue", False)]
     if with_recency:
         specs.append(("rfm_recency_score", "days_since_last_order", True))
-    ranked = rank_columns(df, key, specs)
-    out = df.join(quintiles_from_ranks(ranked, key, [n for n, _, _ in specs]), key, "inner")
+    out = quintile_scores(df, key, specs)
     if with_recency:
         out = out.withColumn("rfm_total", F.col("rfm_frequency_score") + F.col("rfm_monetary_score")
                              + F.col("rfm_recency_score"))

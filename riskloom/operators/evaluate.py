@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
+from riskloom.operators import selection
 from riskloom.operators.rank import distributed_rank
 from riskloom.session import materialize
 
@@ -29,20 +30,23 @@ def split_hash(key: str, seed: int = S.RANDOM_SEED) -> F.Column:
 def stratified_split(df: DataFrame, key: str = "user_id", test_share: float = S.SPLIT_TEST_SHARE,
                      seed: int = S.RANDOM_SEED, label: str = "churned") -> DataFrame:
     """Adds ``split`` = 'test' / 'train': of every class exactly the first
-    round(test_share * size) rows in hash order are test rows.
-
-    Only (key, label) is ranked, by one distributed rank over (label, hash,
-    key); a row's place in its class is its rank less the rows of the classes
-    before (one row per class), so no task sees a whole class."""
-    order = [F.col(label).asc_nulls_first(), split_hash(key, seed).asc(), F.col(key).asc()]
-    ranked = materialize(distributed_rank(df.select(key, label), order, "_sr", None), "split")
-    sizes = ranked.groupBy(label).agg(F.min("_sr").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    round(test_share * size) rows in (hash, key) order are test rows.
+
+    The last test row of a class is found by counting passes over (label, key),
+    written once; every row is then compared with its class's place (one literal
+    pair a class), so nothing is sorted and nothing is joined back."""
+    slim = materialize(df.select(key, label), "split")
+    sizes = slim.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    place = split_hash(key, seed).cast("double")
+    member = [F.col(label).eqNullSafe(F.lit(r[label])) for r in sizes]
+    last = [math.floor(test_share * r["n"] + 0.5) for r in sizes]
+    found = selection.places(slim, [(F.when(m, place), [n] if n else []) for m, n in zip(member, last)], key)
     test = F.lit(False)
-    for r in sizes:
-        last = r["first"] + math.floor(test_share * r["n"] + 0.5)
-        test = test | (F.col("_sr").between(r["first"], last - 1))
-    split = ranked.select(key, F.when(test, F.lit("test")).otherwise(F.lit("train")).alias("split"))
-    return df.join(split, key)
+    for m, n, own in zip(member, last, found):
+        if n:
+            value, at = own[n]
+            test = test | (m & ((place < F.lit(value)) | ((place == F.lit(value)) & (F.col(key) <= F.lit(at)))))
+    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def split_sizes(split: DataFrame, label: str = "churned") -> DataFrame:
@@ -67,10 +71,13 @@ def with_class_weight(df: DataFrame, balance: DataFrame, label: str = "churned")
             .drop("weight_0", "weight_1"))
 
 
-def classification_report(scored: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+def classification_report(scored: DataFrame, label: str = "label", pred: str = "prediction",
+                          by: list[str] | None = None) -> DataFrame:
     """precision / recall / f1 / support per class, accuracy, macro and
-    weighted averages, from the 2x2 confusion counts (zero division -> 0)."""
-    c = scored.agg(
+    weighted averages, from the 2x2 confusion counts (zero division -> 0);
+    one report for each value of ``by`` (e.g. the model), in one aggregate."""
+    by = by or []
+    c = scored.groupBy(*by).agg(
         F.count_if((F.col(label) == 1) & (F.col(pred) == 1)).alias("tp"),
         F.count_if((F.col(label) == 0) & (F.col(pred) == 1)).alias("fp"),
         F.count_if((F.col(label) == 1) & (F.col(pred) == 0)).alias("fn"),
@@ -101,8 +108,8 @@ def classification_report(scored: DataFrame, label: str = "label", pred: str = "
         row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
         row("weighted avg", w(p0, p1), w(r0, r1), w(f0, f1), n),
     )
-    out = c.select(F.explode(rows).alias("r")).select("r.*")
-    return out.select("class", *[F.round(F.col(k), 6).alias(k) for k in ("precision", "recall", "f1")],
+    out = c.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    return out.select(*by, "class", *[F.round(F.col(k), 6).alias(k) for k in ("precision", "recall", "f1")],
                       F.col("support").cast("long").alias("support"))
 
 
@@ -118,20 +125,27 @@ def auc_of_totals(twice_rank_sum: F.Column, p: F.Column, n: F.Column) -> F.Colum
     return F.try_divide(top.cast("double"), 2.0 * (_wide(p) * _wide(n)).cast("double"))
 
 
-def roc_auc(scored: DataFrame, key: str = "user_id", label: str = "label", score: str = "score") -> DataFrame:
+def roc_auc(scored: DataFrame, key: str = "user_id", label: str = "label", score: str = "score",
+            by: list[str] | None = None) -> DataFrame:
     """Exact ROC-AUC with ties as the Mann-Whitney statistic:
-    (sum of mid-ranks of positives - P(P+1)/2) / (P N).  Ranks come from the
-    distributed rank; tie groups are a plain group-by on the score."""
-    ranked = distributed_rank(scored.select(key, label, score), [F.col(score).asc(), F.col(key).asc()],
-                              "_r", None)
-    groups = ranked.groupBy(score).agg(
-        (F.min("_r") + F.max("_r")).alias("twice_mid_rank"),
+    (sum of mid-ranks of positives - P(P+1)/2) / (P N), for each value of ``by``.
+
+    One distributed sort over (by, score, key) ranks all segments together; a
+    row's rank within its segment is its rank less the rows before the segment,
+    which leaves the sum as a whole: no segment is one task.  Tie groups are a
+    plain group-by on (by, score)."""
+    by = by or []
+    order = [F.col(c).asc_nulls_first() for c in by] + [F.col(score).asc(), F.col(key).asc()]
+    ranked = distributed_rank(scored.select(*by, key, label, score), order, "_r", None)
+    groups = ranked.groupBy(*by, score).agg(
+        F.min("_r").alias("first"), (F.min("_r") + F.max("_r")).alias("twice_mid_rank"),
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"))
-    t = groups.agg(F.sum(_wide("twice_mid_rank") * _wide("pos")).alias("twice_rank_sum"),
-                   F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    auc = auc_of_totals(F.col("twice_rank_sum"), F.col("p"), F.col("n"))
-    return t.select(F.col("p").alias("positives"), F.col("n").alias("negatives"), auc.alias("roc_auc"))
+    t = groups.groupBy(*by).agg(F.sum(_wide("twice_mid_rank") * _wide("pos")).alias("twice_rank_sum"),
+                                (F.min("first") - 1).alias("before"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    own = F.col("twice_rank_sum") - _wide(F.col("before") * 2) * _wide("p")
+    auc = auc_of_totals(own, F.col("p"), F.col("n"))
+    return t.select(*by, F.col("p").alias("positives"), F.col("n").alias("negatives"), auc.alias("roc_auc"))
 
 
 def distributed_cumsum(df: DataFrame, order: list[F.Column], values: list[str]) -> DataFrame:
@@ -158,19 +172,39 @@ def distributed_cumsum(df: DataFrame, order: list[F.Column], values: list[str])
                       *[(F.col(f"_cs_{v}") + F.col(f"_off_{v}")).alias(f"cum_{v}") for v in values])
 
 
-def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def roc_curve(scored: DataFrame, label: str = "label", score: str = "score", by: str | None = None) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first: rates of
     rows scoring >= threshold; and the curve's start (0, 0), where no row is
-    called positive, with a null threshold (also for an empty table)."""
-    g = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                  F.count_if(F.col(label) == 0).alias("neg"))
-    cum = distributed_cumsum(g, [F.col(score).desc()], ["pos", "neg"])
-    # running sums never decrease, so their maxima are the class totals: read
+    called positive, with a null threshold (also for an empty table).
+
+    With ``by`` (a column of few values, e.g. the model) one curve for each
+    value: the running sums go through all segments in one sort, and a segment's
+    own are these less the totals of the segments before (one row a segment)."""
+    seg = [by] if by else []
+    g = scored.groupBy(*seg, score).agg(F.count_if(F.col(label) == 1).alias("pos"),
+                                        F.count_if(F.col(label) == 0).alias("neg"))
+    cum = distributed_cumsum(g, [F.col(c).asc_nulls_first() for c in seg] + [F.col(score).desc()], ["pos", "neg"])
+    # running sums never decrease, so their last values are the totals: read
     # from the written running sums instead of grouping the scores again
-    tot = cum.agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N"))
-    points = X.with_row_values(cum, tot).select(
-        F.col(score).cast("double").alias("threshold"),
-        F.try_divide(F.col("cum_neg").cast("double"), F.col("N")).alias("fpr"),
-        F.try_divide(F.col("cum_pos").cast("double"), F.col("P")).alias("tpr"))
-    start = scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    last = cum.groupBy(*seg).agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N")).collect()
+    rows, before = [], (0, 0)
+    for r in sorted(last, key=lambda r: (r["P"] or 0) + (r["N"] or 0)):
+        now = (r["P"] or 0, r["N"] or 0)
+        rows.append((*(r[c] for c in seg), *before, now[0] - before[0], now[1] - before[1]))
+        before = now
+    types = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
+    schema = ", ".join([f"{c} {types[c]}" for c in seg] + ["_bp long", "_bn long", "_P long", "_N long"])
+    totals = scored.sparkSession.createDataFrame(rows, schema)
+    if by:
+        joined = cum.join(F.broadcast(totals.withColumnRenamed(by, "_seg")), F.col(by).eqNullSafe(F.col("_seg")))
+    else:
+        joined = X.with_row_values(cum, totals)
+    points = joined.select(
+        *seg, F.col(score).cast("double").alias("threshold"),
+        F.try_divide((F.col("cum_neg") - F.col("_bn")).cast("double"), F.col("_N")).alias("fpr"),
+        F.try_divide((F.col("cum_pos") - F.col("_bp")).cast("double"), F.col("_P")).alias("tpr"))
+    if seg:
+        start = totals.select(*seg, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    else:
+        start = scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return start.unionByName(points)

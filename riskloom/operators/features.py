@@ -39,49 +39,36 @@ def _line_revenue_units() -> F.Column:
     return cents * (F.lit(100) - pct)
 
 
-def order_line_stats(t: RawTables) -> DataFrame:
-    """Per order: line revenue (1e-4 units), line count, returned-line count."""
-    return t.shared("order_line_stats", lambda: _order_line_stats(t))
-
-
-def _order_line_stats(t: RawTables) -> DataFrame:
-    return (t.lineitem
-            .groupBy("l_orderkey")
-            .agg(F.sum(_line_revenue_units()).alias("order_revenue_units"),
-                 F.count(F.lit(1)).alias("order_lines"),
-                 F.count_if(F.col("l_returnflag") == S.RETURN_FLAG).alias("order_returned_lines")))
-
-
-def order_category_lines(t: RawTables) -> DataFrame:
-    """Per (order, category): number of lines.  Part is joined at line level
-    (Spark broadcasts it only when its measured size is under the threshold)."""
-    return t.shared("order_category_lines", lambda: _order_category_lines(t))
-
-
-def _order_category_lines(t: RawTables) -> DataFrame:
-    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return (t.lineitem.select("l_orderkey", "l_partkey")
-            .join(parts, "l_partkey", "inner")
-            .groupBy("l_orderkey", "p_type")
-            .agg(F.count(F.lit(1)).alias("category_lines")))
+def order_lines(t: RawTables) -> DataFrame:
+    """Per order: line revenue (1e-4 units), line count, returned-line count, and
+    its categories with their number of lines."""
+    return t.shared("order_lines", lambda: _order_lines(t))
+
+
+def _order_lines(t: RawTables) -> DataFrame:
+    """One pass over the line table: lines meet their part (Spark broadcasts it
+    only when its measured size is under the threshold), are added up per
+    (order, category) with map-side partial sums, and these rolled up to the
+    order.  A line without a part counts for the order but has no category.  The
+    categories of an order are bounded by the category domain, not by its lines."""
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type", F.lit(True).alias("known"))
+    per_category = (t.lineitem.select("l_orderkey", "l_partkey", _line_revenue_units().alias("units"), "l_returnflag")
+                    .join(parts, "l_partkey", "left")
+                    .groupBy("l_orderkey", "p_type", F.coalesce("known", F.lit(False)).alias("known"))
+                    .agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("lines"),
+                         F.count_if(F.col("l_returnflag") == S.RETURN_FLAG).alias("returned")))
+    category = F.when(F.col("known"), F.struct("p_type", "lines"))  # collect_list leaves nulls out
+    return (per_category.groupBy("l_orderkey")
+            .agg(F.sum("units").alias("order_revenue_units"), F.sum("lines").alias("order_lines"),
+                 F.sum("returned").alias("order_returned_lines"), F.collect_list(category).alias("categories")))
 
 
 def share_order_facts(t: RawTables) -> RawTables:
-    """Write the per-order line totals and per-(order, category) line counts
-    once to the checkpoint folder, for plans that derive features several
-    times (e.g. a current run and an older snapshot): the line table is then
-    aggregated once, not once per snapshot."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark import inheritable_thread_target
-
+    """Write the per-order line totals once to the checkpoint folder, for plans
+    that derive features several times (e.g. a current run and an older
+    snapshot): the line table is then aggregated once, not once per snapshot."""
     from riskloom.session import materialize
-    write = inheritable_thread_target(t.spark)(materialize)
-    with ThreadPoolExecutor(max_workers=2) as pool:  # two independent writes, run side by side
-        lines = pool.submit(write, _order_line_stats(t), "order-lines")
-        cats = pool.submit(write, _order_category_lines(t), "order-categories")
-        t.derived["order_line_stats"] = lines.result()
-        t.derived["order_category_lines"] = cats.result()
+    t.derived["order_lines"] = materialize(_order_lines(t), "order-lines")
     return t
 
 
@@ -91,43 +78,44 @@ def order_facts(t: RawTables) -> DataFrame:
     partitioned on the order key, so only orders move for this join."""
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"),
                         "o_orderstatus", "o_orderdate")
-    return o.join(order_line_stats(t), "l_orderkey", "left")
+    return o.join(order_lines(t), "l_orderkey", "left")
 
 
 def customer_order_stats(t: RawTables) -> DataFrame:
-    """Per customer, one aggregate over its order facts: completed /
-    cancelled counts, first order of any status, last completed order, and
-    revenue and return counts over the lines of completed orders."""
+    """Per customer, from its order facts: completed / cancelled counts, first
+    order of any status, last completed order, revenue and return counts over
+    the lines of completed orders, distinct categories of these, and the
+    category with most lines (ties alphabetical).
+
+    An order stands in one row for each of its categories (one row when it has
+    none) and its own measures count in the first of them, so one linear plan,
+    summed per (customer, category) and then per customer, reads ``orders`` and
+    ``lineitem`` once."""
     complete = F.col("o_orderstatus") == S.STATUS_COMPLETE
-    on_complete = lambda c: F.when(complete, c)
-    return (order_facts(t).groupBy("user_id")
-            .agg(F.count_if(complete).alias("total_orders"),
-                 F.count_if(F.col("o_orderstatus") == S.STATUS_CANCELLED).alias("cancelled_orders"),
-                 F.min("o_orderdate").alias("first_order_ts"),
-                 F.max(on_complete(F.col("o_orderdate"))).alias("last_complete_ts"),
-                 (F.sum(on_complete(F.col("order_revenue_units").cast("decimal(38,0)"))) / F.lit(10000))
-                 .cast("decimal(18,2)").alias("line_revenue"),
-                 F.sum(on_complete(F.col("order_lines"))).alias("lines"),
-                 F.sum(on_complete(F.col("order_returned_lines"))).alias("returned_lines"),
-                 F.count_if(complete & (F.col("order_returned_lines") > 0)).alias("returned_orders"),
-                 F.count_if(complete & F.col("order_lines").isNotNull()).alias("orders_with_lines")))
-
-
-def _complete_orders(t: RawTables) -> DataFrame:
-    return (t.orders.where(F.col("o_orderstatus") == S.STATUS_COMPLETE)
-            .select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")))
-
-
-def customer_category_stats(t: RawTables) -> DataFrame:
-    """Per customer: distinct categories and the category with most lines
-    (ties alphabetical), from (customer, category) partial counts."""
-    per_cat = (order_category_lines(t).join(_complete_orders(t), "l_orderkey", "inner")
-               .groupBy("user_id", "p_type")
-               .agg(F.sum("category_lines").alias("category_lines")))
-    order_key = F.struct((-F.col("category_lines")).alias("neg_lines"), F.col("p_type").alias("name"))
-    return (per_cat.groupBy("user_id")
-            .agg(F.count(F.lit(1)).alias("distinct_categories"),
-                 F.min_by("p_type", order_key).alias("top_category")))
+    rows = order_facts(t).select(
+        "user_id", "o_orderdate", complete.alias("complete"), (F.col("o_orderstatus") == S.STATUS_CANCELLED).alias("cancelled"),
+        "order_revenue_units", "order_lines", "order_returned_lines", F.posexplode_outer("categories").alias("pos", "category"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    once = first & F.col("complete")
+    own = F.when(F.col("complete"), F.col("category"))  # categories of completed orders only
+    partial = (rows.groupBy("user_id", own["p_type"].alias("p_type"), own.isNotNull().alias("known"))
+               .agg(F.count_if(once).alias("total_orders"),
+                    F.count_if(first & F.col("cancelled")).alias("cancelled_orders"),
+                    F.min("o_orderdate").alias("first_order_ts"),
+                    F.max(F.when(F.col("complete"), F.col("o_orderdate"))).alias("last_complete_ts"),
+                    F.sum(F.when(once, F.col("order_revenue_units").cast("decimal(38,0)"))).alias("units"),
+                    F.sum(F.when(once, F.col("order_lines"))).alias("lines"),
+                    F.sum(F.when(once, F.col("order_returned_lines"))).alias("returned_lines"),
+                    F.count_if(once & (F.col("order_returned_lines") > 0)).alias("returned_orders"),
+                    F.count_if(once & F.col("order_lines").isNotNull()).alias("orders_with_lines"),
+                    F.sum(own["lines"]).alias("category_lines")))
+    counts = ["total_orders", "cancelled_orders", "lines", "returned_lines", "returned_orders", "orders_with_lines"]
+    order_key = F.when(F.col("known"), F.struct((-F.col("category_lines")).alias("neg_lines"), F.col("p_type").alias("name")))
+    return (partial.groupBy("user_id")
+            .agg(*[F.sum(c).alias(c) for c in counts], F.min("first_order_ts").alias("first_order_ts"),
+                 F.max("last_complete_ts").alias("last_complete_ts"),
+                 (F.sum("units") / F.lit(10000)).cast("decimal(18,2)").alias("line_revenue"),
+                 F.count_if("known").alias("distinct_categories"), F.min_by("p_type", order_key).alias("top_category")))
 
 
 def customer_event_stats(t: RawTables) -> DataFrame:
@@ -166,10 +154,8 @@ def feature_base(t: RawTables) -> DataFrame:
     """The wide feature table (FEATURE_SCHEMA), one row per customer."""
     dims = customer_dimensions(t)
     o = customer_order_stats(t)
-    cat = customer_category_stats(t)
     ev = customer_event_stats(t)
-    j = (dims.join(o, "user_id", "left")
-         .join(cat, "user_id", "left").join(ev, "user_id", "left"))
+    j = dims.join(o, "user_id", "left").join(ev, "user_id", "left")
 
     total_orders = F.coalesce(F.col("total_orders"), F.lit(0).cast("long"))
     revenue = F.coalesce(F.col("line_revenue"), F.lit(0).cast("decimal(18,2)"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import schemas as S
-from riskloom.operators import analyst, clean, eda, engineer, evaluate, features, store
+from riskloom.operators import analyst, clean, eda, engineer, evaluate, features, rollup, store
 from riskloom.plans import scoring
-from riskloom.session import scratch_path
-from riskloom.sources.tables import RawTables, read_table, write_table
+from riskloom.session import materialize, scratch_path
+from riskloom.sources.keyed_store import KeyedTable
+from riskloom.sources.tables import RawTables, read_table, scan_with_rejects, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SNAPSHOT_LAG_DAYS = 365  # the "existing" served tables are one year older
@@ -63,6 +65,37 @@ def q_scan_features(spark, d):
     return decimals_as_double(read_table(spark, path, S.FEATURE_SCHEMA, fmt="csv"))
 
 
+def _raw_csv(spark, d):
+    """The feature table as a raw CSV export with bad cells: by user_id some
+    numbers are text, fractions in a whole column, too large, or missing."""
+    fb = features.feature_base(_t(spark, d))
+    def bad(c, *cases):
+        text = F.col(c).cast("string")
+        for n, v in cases:
+            text = F.when(F.pmod(F.col("user_id"), F.lit(n)) == 0, F.lit(v)).otherwise(text)
+        return text.alias(c)
+    planted = {"total_revenue": [(17, "n/a"), (31, "99999999999999999999")], "total_orders": [(19, "12.5"), (29, " - ")],
+               "orders_per_month": [(23, "NaN"), (37, "")], "is_us_customer": [(41, "maybe")], "approx_sessions": [(43, "1e3x")]}
+    path = scratch_path(spark, "raw-csv")
+    write_table(fb.select([bad(c, *planted[c]) if c in planted else F.col(c) for c in fb.columns]), path, fmt="csv")
+    return scan_with_rejects(spark, path, S.FEATURE_SCHEMA, "user_id")
+
+
+@query("csv_rejects")
+def q_csv_rejects(spark, d):
+    """Every bad cell of a raw CSV: its row's key, column, text and cause."""
+    _, rejects = _raw_csv(spark, d)
+    return rejects.select(F.col("key").cast("long").alias("user_id"), "column", F.trim("value").alias("value"), "cause")
+
+
+@query("csv_coerced")
+def q_csv_coerced(spark, d):
+    """The same raw CSV cleaned: bad and missing numbers count as 0."""
+    rows, _ = _raw_csv(spark, d)
+    cleaned = decimals_as_double(clean.clean_numeric(rows))
+    return cleaned.select("user_id", "is_us_customer", "total_revenue", "total_orders", "orders_per_month", "approx_sessions")
+
+
 @query("clean_numeric")
 def q_clean_numeric(spark, d):
     return decimals_as_double(scoring.cleaned_buyers(_t(spark, d), materialize=False))
@@ -84,13 +117,13 @@ def q_describe(spark, d):
     fb = features.feature_base(_t(spark, d))
     cols = [f.name for f in fb.schema.fields
             if isinstance(f.dataType, (T.LongType, T.IntegerType, T.DoubleType, T.DecimalType))]
-    return clean.describe(fb, "user_id", cols)
+    return clean.describe(fb, cols)
 
 
 @query("table_profile")
 def q_table_profile(spark, d):
-    fb = features.feature_base(_t(spark, d))
-    return fb.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(fb.columns)))
+    """Shape and column types: one row per column."""
+    return clean.table_profile(features.feature_base(_t(spark, d)))
 
 
 # ------------------------------------------------------------ ranks, scores
@@ -235,10 +268,15 @@ def _split(spark, d):
 
 
 def _test_scored(spark, d):
+    """user_id, label, model, score and prediction of the hold-out rows under
+    three fixed scorers: the score formula, order frequency alone, revenue alone."""
     s = _split(spark, d).where(F.col("split") == "test")
-    p = scoring.base_probability_column()
-    return s.select("user_id", F.col("churned").alias("label"), p.alias("score"),
-                    (p >= 0.5).cast("int").alias("prediction"))
+    fixed = [("formula", scoring.base_probability_column()),
+             ("frequency", F.lit(1.0) - F.col("rfm_frequency_score").cast("double") / F.lit(5.0)),
+             ("revenue", F.lit(1.0) - F.col("rfm_monetary_score").cast("double") / F.lit(5.0))]
+    each = F.array(*[F.struct(F.lit(name).alias("model"), p.alias("score")) for name, p in fixed])
+    rows = s.select("user_id", F.col("churned").alias("label"), F.explode(each).alias("m"))
+    return rows.select("user_id", "label", "m.model", "m.score", (F.col("m.score") >= 0.5).cast("int").alias("prediction"))
 
 
 @query("stratified_split")
@@ -258,23 +296,24 @@ def q_class_balance(spark, d):
 
 @query("classification_report")
 def q_classification_report(spark, d):
-    return evaluate.classification_report(_test_scored(spark, d))
+    return evaluate.classification_report(_test_scored(spark, d), by=["model"])
 
 
 @query("roc_auc")
 def q_roc_auc(spark, d):
-    return evaluate.roc_auc(_test_scored(spark, d))
+    return evaluate.roc_auc(_test_scored(spark, d), by=["model"])
 
 
 @query("roc_curve")
 def q_roc_curve(spark, d):
-    return evaluate.roc_curve(_test_scored(spark, d))
+    return evaluate.roc_curve(_test_scored(spark, d), by="model")
 
 
 # ------------------------------------------------------------ served tables
 def served(t: RawTables):
     """(customers, risk_scores) payload tables of one scoring run."""
-    scored = scoring.with_base_score(scoring.prepared_buyers(t, with_recency=False))
+    # both tables are projections of the scored rows: these are written once
+    scored = materialize(scoring.with_base_score(scoring.prepared_buyers(t, with_recency=False)), "scored")
     customers = store.customers_table(scored, with_created_at=False)
     scores = store.risk_scores_table(scoring.predictions_from(scored), with_defaults=False)
     return customers, scores
@@ -429,6 +468,53 @@ def q_upsert_scores(spark, d):
     return decimals_as_double(merged)
 
 
+LOADS = [365, 180, 0]  # the stored tables are loaded as of these days before the latest order
+
+
+def _loads(spark, d):
+    """(reference date, customers, risk scores) of each load, oldest first.  The
+    line facts are shared; the runs are independent and built side by side."""
+    t = features.share_order_facts(_t(spark, d))
+    build = inheritable_thread_target(spark)(served)
+    snaps = [t.snapshot(lag) if lag else t for lag in LOADS]
+    with ThreadPoolExecutor(max_workers=len(snaps)) as pool:
+        runs = [pool.submit(build, s) for s in snaps]
+        return [(features.reference_date(s), *r.result()) for s, r in zip(snaps, runs)]
+
+
+@query("stored_customers")
+def q_stored_customers(spark, d):
+    """A stored table after three merges, read back: surrogate ids and the time
+    of first insertion stay, the payload is the last load's."""
+    table = KeyedTable(spark, scratch_path(spark, "stored-customers"), "user_id", identity="id")
+    for day, customers, _ in _loads(spark, d):
+        table.merge(customers, S.CUSTOMER_PAYLOAD, {"created_at": day})
+    return decimals_as_double(table.read())
+
+
+@query("stored_scores")
+def q_stored_scores(spark, d):
+    """Three loads merged as ordered batches in one step: the last batch of a
+    user wins, the first one gives the time of insertion."""
+    table = KeyedTable(spark, scratch_path(spark, "stored-scores"), "user_id", identity="id")
+    batches = [s.withColumn("batch", F.lit(i)).withColumn("day", day) for i, (day, _, s) in enumerate(_loads(spark, d))]
+    table.merge_batches(reduce(DataFrame.unionByName, batches), "batch", S.SCORE_PAYLOAD, {"scored_at": F.col("day")})
+    return decimals_as_double(table.read())
+
+
+@query("incremental_segments")
+def q_incremental_segments(spark, d):
+    """The segment roll-up after three merges of the served view, kept current
+    from each merge's changes; the table itself is never read again."""
+    table = KeyedTable(spark, scratch_path(spark, "stored-view"), "user_id")
+    held = None
+    for _, customers, scores in _loads(spark, d):
+        view = store.customer_risk(customers, scores)
+        done = table.merge(view, view.columns)
+        held = materialize(rollup.segment_changes(held, done.changes), "segment-sums")
+    return rollup.segment_summary(held, table.read().schema)
+
+
 @query("missing_scores")
 def q_missing_scores(spark, d):
     (_, old_s), (new_c, _) = _existing_and_incoming(spark, d)
@@ -485,10 +571,19 @@ def q_roundtrip(spark, d):
 
 
 # --------------------------------------------------------------------- models
+_TRAINED: dict = {}
+
+
 def _trained(spark, d, settings=None):
+    """(trained models, prepared buyers) of one data directory.  Training is
+    the dearest step, and all keys below describe the same models: they are
+    fitted once per application, directory and settings."""
     from riskloom.operators import score
-    prepared = _prepared(spark, d)
-    return score.train_models(prepared, settings), prepared
+    at = (spark.sparkContext.applicationId, d, repr(settings))
+    if at not in _TRAINED:
+        prepared = materialize(_prepared(spark, d), "prepared-buyers")
+        _TRAINED[at] = score.train_models(prepared, settings), prepared
+    return _TRAINED[at]
 
 
 @query("scaled_features")
@@ -500,19 +595,30 @@ def q_scaled_features(spark, d):
 @query("model_comparison")
 def q_model_comparison(spark, d):
     from riskloom.operators import score
-    tm, _ = _trained(spark, d)
-    return score.model_comparison(tm)
+    return score.model_comparison(_trained(spark, d)[0])
+
+
+@query("model_reports")
+def q_model_reports(spark, d):
+    """Classification report of each trained model on the hold-out split."""
+    from riskloom.operators import score
+    return evaluate.classification_report(score.held_out(_trained(spark, d)[0]), by=["model"])
+
+
+@query("model_curves")
+def q_model_curves(spark, d):
+    """ROC curve of each trained model on the hold-out split."""
+    from riskloom.operators import score
+    return evaluate.roc_curve(score.held_out(_trained(spark, d)[0]), by="model")
 
 
 @query("feature_drivers")
 def q_feature_drivers(spark, d):
     from riskloom.operators import score
-    tm, _ = _trained(spark, d, score.ModelSettings(models=["Gradient Boosted Trees"]))
-    return score.feature_importances(tm)
+    return score.feature_importances(_trained(spark, d)[0])
 
 
 @query("ml_scores")
 def q_ml_scores(spark, d):
     from riskloom.operators import score
-    tm, prepared = _trained(spark, d)
-    return score.score_all(tm, prepared)
+    return score.score_all(*_trained(spark, d))

@@ -290,7 +290,8 @@ def _hist_sql(col: str, clip: float, bins: int) -> str:
       bb AS (SELECT churned, CASE WHEN hi0 > lo0 THEN lo0 ELSE lo0 - 0.5e0 END AS lo,
                      CASE WHEN hi0 > lo0 THEN hi0 ELSE hi0 + 0.5e0 END AS hi FROM b)
       SELECT churned, CAST(least(floor((x - lo) * {bins} / (hi - lo)), {bins - 1}) AS INTEGER) AS bin,
-             count(*) AS count
+             count(*) AS count, any_value(lo) + any_value(hi - lo) * bin / {bins} AS bin_start,
+             any_value(lo) + any_value(hi - lo) * (bin + 1) / {bins} AS bin_end
       FROM x JOIN bb USING (churned) GROUP BY 1, 2""".replace("\n      , x AS", ", x AS"))
 
 
@@ -303,16 +304,19 @@ _HASH = "((((user_id + 42) % 2147483648 + 2147483648) % 2147483648) * 2654435761
 _SPLIT = (f"CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY {_HASH}, user_id) "
           f"<= floor({S.SPLIT_TEST_SHARE} * count(*) OVER (PARTITION BY churned) + 0.5) THEN 'test' ELSE 'train' END")
 _TEST = [f"spl AS (SELECT *, {_SPLIT} AS split FROM based)",
-         "tst AS (SELECT user_id, churned AS label, p_raw AS score, CAST(p_raw >= 0.5e0 AS INTEGER) AS prediction "
-         "FROM spl WHERE split = 'test')"]
+         """each AS (
+           SELECT user_id, churned AS label, 'formula' AS model, p_raw AS score FROM spl WHERE split = 'test' UNION ALL
+           SELECT user_id, churned, 'frequency', 1.0e0 - CAST(rfm_frequency_score AS DOUBLE) / 5.0e0 FROM spl WHERE split = 'test' UNION ALL
+           SELECT user_id, churned, 'revenue', 1.0e0 - CAST(rfm_monetary_score AS DOUBLE) / 5.0e0 FROM spl WHERE split = 'test')""",
+         "tst AS (SELECT *, CAST(score >= 0.5e0 AS INTEGER) AS prediction FROM each)"]
 
 
 def _report_sql() -> str:
     return _with_extra(_TEST + [
-        """c AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+        """c AS (SELECT model, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
                  count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
                  count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
-                 count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM tst)""",
+                 count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM tst GROUP BY model)""",
         """m AS (SELECT *,
                  coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS p1,
                  coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS r1,
@@ -321,11 +325,11 @@ def _report_sql() -> str:
                  tp + fn AS s1, tn + fp AS s0 FROM c)""",
         """f AS (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1,
                  coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0, s0 + s1 AS n FROM m)"""],
-        """SELECT '0' AS class, CAST(round(CAST(CAST(p0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS precision, CAST(round(CAST(CAST(r0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS recall, CAST(round(CAST(CAST(f0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS f1, s0 AS support FROM f
-           UNION ALL SELECT '1', CAST(round(CAST(CAST(p1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST(r1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST(f1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), s1 FROM f
-           UNION ALL SELECT 'accuracy', NULL, NULL, CAST(round(CAST(CAST(coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f
-           UNION ALL SELECT 'macro avg', CAST(round(CAST(CAST((p0 + p1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST((r0 + r1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST((f0 + f1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f
-           UNION ALL SELECT 'weighted avg', CAST(round(CAST(CAST(coalesce((p0 * s0 + p1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE),
+        """SELECT model, '0' AS class, CAST(round(CAST(CAST(p0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS precision, CAST(round(CAST(CAST(r0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS recall, CAST(round(CAST(CAST(f0 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) AS f1, s0 AS support FROM f
+           UNION ALL SELECT model, '1', CAST(round(CAST(CAST(p1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST(r1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST(f1 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), s1 FROM f
+           UNION ALL SELECT model, 'accuracy', NULL, NULL, CAST(round(CAST(CAST(coalesce(CAST(tp + tn AS DOUBLE) / nullif(n, 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f
+           UNION ALL SELECT model, 'macro avg', CAST(round(CAST(CAST((p0 + p1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST((r0 + r1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), CAST(round(CAST(CAST((f0 + f1) / 2 AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f
+           UNION ALL SELECT model, 'weighted avg', CAST(round(CAST(CAST(coalesce((p0 * s0 + p1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE),
                   CAST(round(CAST(CAST(coalesce((r0 * s0 + r1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE),
                   CAST(round(CAST(CAST(coalesce((f0 * s0 + f1 * s1) / nullif(CAST(n AS DOUBLE), 0), 0) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE), n FROM f""")
 
@@ -430,6 +434,18 @@ def _merge_sql(old: str, new: str, cols: list[str], dec: set[str]) -> str:
                       snapshot=True)
 
 
+def _stored_sql(table: str, columns: str, stamp: str, id_order: str) -> str:
+    """The table after loads as of 365, 180 and 0 days before the latest order:
+    last payload, date of the first load, ids in ``id_order``."""
+    ctes = chain("s_", 365) + chain("m_", 180) + chain("") + [
+        "loads AS (" + " UNION ALL ".join(f"SELECT {k} AS k, CAST((SELECT ref_ts FROM {p}ref) AS DATE) AS day, * FROM {p}{table}"
+                                         for k, p in enumerate(["s_", "m_", ""])) + ")",
+        "firsts AS (SELECT user_id, min(k) AS k, min(day) AS day FROM loads GROUP BY user_id)",
+        f"ids AS (SELECT user_id, day AS {stamp}, row_number() OVER (ORDER BY {id_order}) AS id FROM firsts)",
+        "lasts AS (SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)"]
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT {columns}, {stamp}, id FROM lasts JOIN ids USING (user_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     score_sel = _dbl(SCORE_COLS, {"churn_probability"})
     pred_cols = ", ".join(S.PREDICTION_COLUMNS)
@@ -446,7 +462,25 @@ def oracle_sql() -> dict[str, str]:
                                 "approx_sessions, customer_tenure_days FROM capped"),
         "null_profile": _null_profile_sql(),
         "describe": _describe_sql(),
-        "table_profile": with_chain(f"SELECT count(*) AS n_rows, {len(FEATURE_COLUMNS)} AS n_columns FROM feat"),
+        "table_profile": with_chain(
+            "SELECT position, name AS \"column\", dtype, (SELECT count(*) FROM feat) AS n_rows, "
+            f"{len(FEATURE_COLUMNS)} AS n_columns FROM (VALUES "
+            + ", ".join(f"({i}, '{f.name}', '{f.dataType.simpleString()}')" for i, f in enumerate(S.FEATURE_SCHEMA.fields))
+            + ") t(position, name, dtype)"),
+        "csv_rejects": with_chain(" UNION ALL ".join([
+            "SELECT user_id, 'total_revenue' AS \"column\", CASE WHEN user_id % 31 = 0 THEN '99999999999999999999' ELSE 'n/a' END AS value, "
+            "CASE WHEN user_id % 31 = 0 THEN 'out of range' ELSE 'not a number' END AS cause FROM feat WHERE user_id % 17 = 0 OR user_id % 31 = 0",
+            "SELECT user_id, 'total_orders', CASE WHEN user_id % 29 = 0 THEN '-' ELSE '12.5' END, "
+            "CASE WHEN user_id % 29 = 0 THEN 'not a number' ELSE 'not whole' END FROM feat WHERE user_id % 19 = 0 OR user_id % 29 = 0",
+            "SELECT user_id, 'orders_per_month', 'NaN', 'not a number' FROM feat WHERE user_id % 23 = 0 AND user_id % 37 <> 0",
+            "SELECT user_id, 'is_us_customer', 'maybe', 'not a boolean' FROM feat WHERE user_id % 41 = 0",
+            "SELECT user_id, 'approx_sessions', '1e3x', 'not a number' FROM feat WHERE user_id % 43 = 0"])),
+        "csv_coerced": with_chain(
+            "SELECT user_id, CASE WHEN user_id % 41 <> 0 THEN is_us_customer END AS is_us_customer, "
+            "CASE WHEN user_id % 17 = 0 OR user_id % 31 = 0 THEN 0.0e0 ELSE CAST(total_revenue AS DOUBLE) END AS total_revenue, "
+            "CASE WHEN user_id % 19 = 0 OR user_id % 29 = 0 THEN 0 ELSE total_orders END AS total_orders, "
+            "CASE WHEN user_id % 23 = 0 OR user_id % 37 = 0 THEN 0.0e0 ELSE orders_per_month END AS orders_per_month, "
+            "CASE WHEN user_id % 43 = 0 THEN 0 ELSE approx_sessions END AS approx_sessions FROM feat"),
         "global_rank": with_chain("SELECT user_id, total_orders, row_number() OVER (ORDER BY total_orders, user_id) "
                                   "AS rank, count(*) OVER () AS n_rows FROM cleaned"),
         "rfm_scores": with_chain("SELECT user_id, rfm_frequency_score, rfm_monetary_score, rfm_recency_score FROM eng"),
@@ -519,21 +553,21 @@ def oracle_sql() -> dict[str, str]:
                   FROM spl WHERE split = 'train')"""),
         "classification_report": _report_sql(),
         "roc_auc": _with_extra(_TEST + [
-            "rk AS (SELECT *, row_number() OVER (ORDER BY score, user_id) AS r FROM tst)",
-            "g AS (SELECT score, (min(r) + max(r)) / 2.0e0 AS mid_rank, count(*) FILTER (WHERE label = 1) AS pos, "
-            "count(*) FILTER (WHERE label = 0) AS neg FROM rk GROUP BY score)",
-            "t AS (SELECT sum(mid_rank * pos) AS rank_sum, CAST(sum(pos) AS BIGINT) AS p, "
-            "CAST(sum(neg) AS BIGINT) AS n FROM g)"],
-            "SELECT p AS positives, n AS negatives, (rank_sum - p * (p + 1) / 2.0e0) / nullif(CAST(p * n AS DOUBLE), 0) "
+            "rk AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score, user_id) AS r FROM tst)",
+            "g AS (SELECT model, score, (min(r) + max(r)) / 2.0e0 AS mid_rank, count(*) FILTER (WHERE label = 1) AS pos, "
+            "count(*) FILTER (WHERE label = 0) AS neg FROM rk GROUP BY model, score)",
+            "t AS (SELECT model, sum(mid_rank * pos) AS rank_sum, CAST(sum(pos) AS BIGINT) AS p, "
+            "CAST(sum(neg) AS BIGINT) AS n FROM g GROUP BY model)"],
+            "SELECT model, p AS positives, n AS negatives, (rank_sum - p * (p + 1) / 2.0e0) / nullif(CAST(p * n AS DOUBLE), 0) "
             "AS roc_auc FROM t"),
         "roc_curve": _with_extra(_TEST + [
-            "g AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg "
-            "FROM tst GROUP BY score)",
-            "t AS (SELECT sum(pos) AS tp, sum(neg) AS tn FROM g)"],
-            "SELECT CAST(score AS DOUBLE) AS threshold, "
-            "CAST(sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / tn AS fpr, "
-            "CAST(sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / tp AS tpr "
-            "FROM g CROSS JOIN t UNION ALL SELECT CAST(NULL AS DOUBLE), 0.0e0, 0.0e0"),
+            "g AS (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg "
+            "FROM tst GROUP BY model, score)",
+            "t AS (SELECT model, sum(pos) AS tp, sum(neg) AS tn FROM g GROUP BY model)"],
+            "SELECT model, CAST(score AS DOUBLE) AS threshold, "
+            "CAST(sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / tn AS fpr, "
+            "CAST(sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / tp AS tpr "
+            "FROM g JOIN t USING (model) UNION ALL SELECT model, CAST(NULL AS DOUBLE), 0.0e0, 0.0e0 FROM t"),
         "customers_table": with_chain(f"SELECT {_dbl(CUST_COLS, CUST_DEC)} FROM cust"),
         "risk_scores_table": with_chain(f"SELECT {score_sel} FROM scores"),
         "customer_risk": with_chain(f"SELECT {_dbl(VIEW_COLS, CUST_DEC | {'churn_probability'})} FROM view"),
@@ -580,9 +614,12 @@ def oracle_sql() -> dict[str, str]:
         "segment_lines": _segment_line_sql(),
         "context_block": _context_sql(),
         "recent_turns": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER "
-                        f"(PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= {S.RECENT_TURNS}",
+                        f"(PARTITION BY conv_id ORDER BY turn DESC, role, text) AS rn FROM conversations) WHERE rn <= {S.RECENT_TURNS}",
         "upsert_customers": _merge_sql("s_cust", "cust", CUST_COLS, CUST_DEC),
         "upsert_scores": _merge_sql("s_scores", "scores", SCORE_COLS, {"churn_probability"}),
+        "stored_customers": _stored_sql("cust", _dbl(CUST_COLS, CUST_DEC), "created_at", "k, user_id"),
+        "stored_scores": _stored_sql("scores", score_sel, "scored_at", "user_id"),
+        "incremental_segments": with_chain(f"SELECT {SEG_COLS} FROM seg"),
         "missing_scores": with_chain("SELECT DISTINCT user_id FROM cust WHERE user_id NOT IN "
                                      "(SELECT user_id FROM s_scores)", snapshot=True),
         "backfill_rows": with_chain(f"SELECT {score_sel} FROM scores WHERE user_id IN (SELECT user_id FROM cust "

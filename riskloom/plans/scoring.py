@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from riskloom import schemas as S
 from riskloom.functions import exprs as X
 from riskloom.operators import clean, engineer, features
-from riskloom.operators.rank import quintile_score, quintiles_from_ranks, rank_columns
 from riskloom.session import ensure_checkpoint_dir
 from riskloom.session import materialize as _materialize
 from riskloom.sources.tables import RawTables
@@ -37,23 +36,12 @@ def cleaned_buyers(t: RawTables, materialize: bool = True) -> DataFrame:
 def prepared_buyers(t: RawTables, with_recency: bool = True) -> DataFrame:
     """Cleaned, winsorised, scored and engineered buyer features.
 
-    Two distributed sorts in total: one ranks the four capped columns (for
-    their exact 0.99 quantiles) together with order count and recency (for
-    their quintiles); the second ranks capped revenue, which needs the caps.
+    The caps and the quintile places are found by counting passes over the
+    written buyer table; what follows is one projection of it with literals, so
+    nothing is sorted, ranked or joined.
     """
-    cleaned = cleaned_buyers(t)
-    specs = [(c, c, False) for c in S.CAP_COLUMNS] + [("rfm_frequency_score", "total_orders", False)]
-    if with_recency:
-        specs.append(("rfm_recency_score", "days_since_last_order", True))
-    ranked = rank_columns(cleaned, "user_id", specs)
-    capped = clean.winsorize(cleaned, ranked=ranked)
-    names = [n for n, _, _ in specs if n.startswith("rfm_")]
-    scored = capped.join(quintiles_from_ranks(ranked, "user_id", names), "user_id", "inner")
-    scored = quintile_score(scored, "user_id", "total_revenue", "rfm_monetary_score")
-    if with_recency:
-        scored = scored.withColumn("rfm_total", F.col("rfm_frequency_score") + F.col("rfm_monetary_score")
-                                   + F.col("rfm_recency_score"))
-    return engineer.engineered_features(scored)
+    capped = clean.winsorize(cleaned_buyers(t))
+    return engineer.engineered_features(engineer.rfm_scores(capped, with_recency=with_recency))
 
 
 def base_probability_column() -> F.Column:

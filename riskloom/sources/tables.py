@@ -130,6 +130,51 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df
 
 
+def _parsed(c: str, dtype: T.DataType) -> tuple[F.Column, F.Column]:
+    """A text cell as ``dtype``, and why it is not (null when it is, or when the
+    cell is empty)."""
+    text = F.trim(F.col(f"`{c}`"))
+    if isinstance(dtype, T.StringType):
+        return F.col(f"`{c}`"), F.lit(None).cast("string")
+    value = F.expr(f"try_cast(trim(`{c}`) as {dtype.simpleString()})")
+    as_number = F.expr(f"try_cast(trim(`{c}`) as double)")
+    if isinstance(dtype, T.BooleanType):
+        cause = F.lit("not a boolean")
+    elif isinstance(dtype, T.NumericType):
+        whole = isinstance(dtype, T.IntegralType)
+        fraction = as_number % F.lit(1.0)
+        if whole:  # 5.0 is whole; Spark would cut 12.5 to 12
+            value = F.when(fraction == 0, F.expr(f"try_cast(try_cast(trim(`{c}`) as decimal(38,9)) as {dtype.simpleString()})"))
+        bad = F.when(fraction != 0, F.lit("not whole")) if whole else F.lit(None).cast("string")
+        cause = F.when(as_number.isNull() | F.isnan(as_number), F.lit("not a number"))
+        cause = F.when(cause.isNotNull(), cause).when(bad.isNotNull(), bad).otherwise(F.lit("out of range"))
+        if isinstance(dtype, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(value), value)
+    else:
+        cause = F.lit(f"not a {dtype.simpleString()}")
+    return value, F.when(value.isNull() & text.isNotNull() & (text != ""), cause)
+
+
+def scan_with_rejects(spark: SparkSession, path: str, schema: T.StructType, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a CSV with a header that may hold bad cells.
+
+    Every cell is read as text (nothing is inferred, no row is lost) and cast on
+    its own: a bad cell is null in ``rows`` and one row (key as written, column,
+    value, cause) in ``rejects``; empty cells are null and no reject.  A record
+    with too few or too many cells keeps what it has, and is one reject with the
+    whole record as its value.  Both are projections of one scan."""
+    corrupt = "_record"
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(corrupt, T.StringType())])
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).schema(as_text).csv(path)
+    cells = {f.name: _parsed(f.name, f.dataType) for f in schema.fields}
+    rows = raw.select(*[v.alias(c) for c, (v, _) in cells.items()])
+    each = [F.when(cause.isNotNull(), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"), cause.alias("cause")))
+            for c, (_, cause) in cells.items()]
+    each.append(F.when(F.col(corrupt).isNotNull(), F.struct(F.lit("").alias("column"), F.col(corrupt).alias("value"), F.lit("wrong number of cells").alias("cause"))))
+    rejects = raw.select(F.col(f"`{key}`").alias("key"), F.explode(F.array(*each)).alias("r")).where("r IS NOT NULL").select("key", "r.*")
+    return rows, rejects
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None, sort_within: list[str] | None = None) -> None:
     """Write a table.  Never point ``path`` at a table the plan still reads:
