@@ -71,3 +71,14 @@ def segment_summary(held: DataFrame, view_schema: T.StructType) -> DataFrame:
         F.when(F.col("n_total_revenue") > 0, X.round_double("sum_total_revenue", 2)).alias("total_revenue_at_risk"),
         _mean("total_orders", t["total_orders"], 1).alias("avg_orders"), _mean("orders_per_month", t["orders_per_month"], 2).alias("avg_orders_per_month"),
         _mean("return_rate", t["return_rate"], 3).alias("avg_return_rate"), F.col("sum_one_time").cast("long").alias("one_time_buyers"))
+
+
+def tier_summary(held: DataFrame, view_schema: T.StructType) -> DataFrame:
+    """``analyst.tier_summary`` read from the held segment sums."""
+    t = {f.name: f.dataType for f in view_schema.fields}
+    names = ["rows", "sum_churn_probability", "n_churn_probability", "sum_total_revenue", "n_total_revenue"]
+    per = held.groupBy("risk_tier").agg(*[F.sum(c).alias(c) for c in names])
+    revenue = F.when(F.col("n_total_revenue") > 0, X.round_double("sum_total_revenue", 2))
+    return (per.select("risk_tier", F.col("rows").alias("users"), _mean("churn_probability", t["churn_probability"], 3).alias("avg_score"),
+                       revenue.alias("revenue_at_risk"))
+            .orderBy(F.col("avg_score").desc(), F.col("risk_tier")))

@@ -74,7 +74,7 @@ def _raw_csv(spark, d):
         for n, v in cases:
             text = F.when(F.pmod(F.col("user_id"), F.lit(n)) == 0, F.lit(v)).otherwise(text)
         return text.alias(c)
-    planted = {"total_revenue": [(17, "n/a"), (31, "99999999999999999999")], "total_orders": [(19, "12.5"), (29, " - ")],
+    planted = {"total_revenue": [(17, "n/a"), (31, "99999999999999999999"), (47, "123456789.50")], "total_orders": [(19, "12.5"), (29, " - ")],
                "orders_per_month": [(23, "NaN"), (37, "")], "is_us_customer": [(41, "maybe")], "approx_sessions": [(43, "1e3x")]}
     path = scratch_path(spark, "raw-csv")
     write_table(fb.select([bad(c, *planted[c]) if c in planted else F.col(c) for c in fb.columns]), path, fmt="csv")
@@ -502,17 +502,33 @@ def q_stored_scores(spark, d):
     return decimals_as_double(table.read())
 
 
-@query("incremental_segments")
-def q_incremental_segments(spark, d):
-    """The segment roll-up after three merges of the served view, kept current
-    from each merge's changes; the table itself is never read again."""
+def _held_segments(spark, d):
+    """(segment sums, the view's schema) after three merges of the served view,
+    kept current from each merge's changes; the table itself is never read."""
     table = KeyedTable(spark, scratch_path(spark, "stored-view"), "user_id")
     held = None
     for _, customers, scores in _loads(spark, d):
         view = store.customer_risk(customers, scores)
         done = table.merge(view, view.columns)
         held = materialize(rollup.segment_changes(held, done.changes), "segment-sums")
-    return rollup.segment_summary(held, table.read().schema)
+    return held, view.schema
+
+
+@query("incremental_segments")
+def q_incremental_segments(spark, d):
+    return rollup.segment_summary(*_held_segments(spark, d))
+
+
+@query("incremental_tiers")
+def q_incremental_tiers(spark, d):
+    """The tier roll-up, from the same held sums."""
+    return rollup.tier_summary(*_held_segments(spark, d))
+
+
+@query("incremental_overview")
+def q_incremental_overview(spark, d):
+    """The KPIs, from the same held sums."""
+    return analyst.overview_stats(rollup.segment_summary(*_held_segments(spark, d)))
 
 
 @query("missing_scores")
@@ -553,14 +569,21 @@ def q_duplicate_keys(spark, d):
 
 @query("check_violations")
 def q_check_violations(spark, d):
-    (_, old_s), (_, new_s) = _existing_and_incoming(spark, d)
-    return decimals_as_double(store.check_violations(store.backfill(old_s, new_s, new_s)))
+    """A raw export of the scores, before any repair: some tiers are not of the
+    domain, some are missing (which CHECK lets pass)."""
+    _, scores = served(_t(spark, d))
+    tier = F.when(F.pmod(F.col("user_id"), F.lit(17)) == 0, F.lit("")).when(F.pmod(F.col("user_id"), F.lit(13)) == 0, F.lower("risk_tier"))
+    path = scratch_path(spark, "raw-scores")
+    write_table(scores.withColumn("risk_tier", F.coalesce(tier, F.col("risk_tier"))), path, fmt="csv")
+    rows, _ = scan_with_rejects(spark, path, scores.schema, "user_id")
+    return decimals_as_double(store.check_violations(rows))
 
 
 @query("precision_violations")
 def q_precision_violations(spark, d):
-    fb = features.buyers(features.feature_base(_t(spark, d)))
-    return store.precision_violations(fb, S.CUSTOMER_DECIMALS)
+    """Buyers of the raw CSV whose numbers do not fit the store's precisions."""
+    rows, _ = _raw_csv(spark, d)
+    return store.precision_violations(features.buyers(clean.clean_numeric(rows)), S.CUSTOMER_DECIMALS)
 
 
 @query("roundtrip_scores")

@@ -434,6 +434,16 @@ def _merge_sql(old: str, new: str, cols: list[str], dec: set[str]) -> str:
                       snapshot=True)
 
 
+# the feature table as the planted CSV gives it back, bad cells as 0
+_RAW = """raw AS (SELECT * REPLACE (
+              CASE WHEN user_id % 41 <> 0 THEN is_us_customer END AS is_us_customer,
+              CASE WHEN user_id % 47 = 0 THEN 123456789.5e0 WHEN user_id % 17 = 0 OR user_id % 31 = 0 THEN 0.0e0
+                   ELSE CAST(total_revenue AS DOUBLE) END AS total_revenue,
+              CASE WHEN user_id % 19 = 0 OR user_id % 29 = 0 THEN 0 ELSE total_orders END AS total_orders,
+              CASE WHEN user_id % 23 = 0 OR user_id % 37 = 0 THEN 0.0e0 ELSE orders_per_month END AS orders_per_month,
+              CASE WHEN user_id % 43 = 0 THEN 0 ELSE approx_sessions END AS approx_sessions) FROM feat)"""
+
+
 def _stored_sql(table: str, columns: str, stamp: str, id_order: str) -> str:
     """The table after loads as of 365, 180 and 0 days before the latest order:
     last payload, date of the first load, ids in ``id_order``."""
@@ -469,18 +479,14 @@ def oracle_sql() -> dict[str, str]:
             + ") t(position, name, dtype)"),
         "csv_rejects": with_chain(" UNION ALL ".join([
             "SELECT user_id, 'total_revenue' AS \"column\", CASE WHEN user_id % 31 = 0 THEN '99999999999999999999' ELSE 'n/a' END AS value, "
-            "CASE WHEN user_id % 31 = 0 THEN 'out of range' ELSE 'not a number' END AS cause FROM feat WHERE user_id % 17 = 0 OR user_id % 31 = 0",
+            "CASE WHEN user_id % 31 = 0 THEN 'out of range' ELSE 'not a number' END AS cause FROM feat "
+            "WHERE (user_id % 17 = 0 OR user_id % 31 = 0) AND user_id % 47 <> 0",
             "SELECT user_id, 'total_orders', CASE WHEN user_id % 29 = 0 THEN '-' ELSE '12.5' END, "
             "CASE WHEN user_id % 29 = 0 THEN 'not a number' ELSE 'not whole' END FROM feat WHERE user_id % 19 = 0 OR user_id % 29 = 0",
             "SELECT user_id, 'orders_per_month', 'NaN', 'not a number' FROM feat WHERE user_id % 23 = 0 AND user_id % 37 <> 0",
             "SELECT user_id, 'is_us_customer', 'maybe', 'not a boolean' FROM feat WHERE user_id % 41 = 0",
             "SELECT user_id, 'approx_sessions', '1e3x', 'not a number' FROM feat WHERE user_id % 43 = 0"])),
-        "csv_coerced": with_chain(
-            "SELECT user_id, CASE WHEN user_id % 41 <> 0 THEN is_us_customer END AS is_us_customer, "
-            "CASE WHEN user_id % 17 = 0 OR user_id % 31 = 0 THEN 0.0e0 ELSE CAST(total_revenue AS DOUBLE) END AS total_revenue, "
-            "CASE WHEN user_id % 19 = 0 OR user_id % 29 = 0 THEN 0 ELSE total_orders END AS total_orders, "
-            "CASE WHEN user_id % 23 = 0 OR user_id % 37 = 0 THEN 0.0e0 ELSE orders_per_month END AS orders_per_month, "
-            "CASE WHEN user_id % 43 = 0 THEN 0 ELSE approx_sessions END AS approx_sessions FROM feat"),
+        "csv_coerced": _with_extra([_RAW], "SELECT user_id, is_us_customer, total_revenue, total_orders, orders_per_month, approx_sessions FROM raw"),
         "global_rank": with_chain("SELECT user_id, total_orders, row_number() OVER (ORDER BY total_orders, user_id) "
                                   "AS rank, count(*) OVER () AS n_rows FROM cleaned"),
         "rfm_scores": with_chain("SELECT user_id, rfm_frequency_score, rfm_monetary_score, rfm_recency_score FROM eng"),
@@ -635,14 +641,13 @@ def oracle_sql() -> dict[str, str]:
             "SELECT user_id, count(*) AS n_rows FROM (SELECT user_id FROM s_scores UNION ALL "
             "SELECT user_id FROM scores) GROUP BY user_id HAVING count(*) > 1", snapshot=True),
         "check_violations": with_chain(
-            f"SELECT {score_sel} FROM (SELECT * FROM s_scores UNION ALL SELECT * FROM scores WHERE user_id IN "
-            "(SELECT user_id FROM scores EXCEPT SELECT user_id FROM s_scores)) "
-            "WHERE risk_tier IS NOT NULL AND risk_tier NOT IN ('High', 'Medium', 'Low')", snapshot=True),
-        "precision_violations": with_chain(" UNION ALL ".join(
-            f"SELECT user_id, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM buyers "
-            f"WHERE {c} IS NOT NULL AND TRY_CAST(round({c}, {s}) AS DECIMAL({p},{s})) IS NULL"
+            f"SELECT {score_sel.replace('risk_tier', 'lower(risk_tier) AS risk_tier')} FROM scores WHERE user_id % 13 = 0 AND user_id % 17 <> 0"),
+        "precision_violations": _with_extra([_RAW], " UNION ALL ".join(
+            f"SELECT user_id, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM raw "
+            f"WHERE total_orders >= 1 AND {c} IS NOT NULL AND TRY_CAST(round({c}, {s}) AS DECIMAL({p},{s})) IS NULL"
             for c, (p, s) in S.CUSTOMER_DECIMALS.items())),
     }
+    q["incremental_tiers"], q["incremental_overview"] = q["tier_summary"], q["overview_stats"]
     feats_enc = [f"{c}_code" if c in ENCODED else c for c in MODEL_FEATURES]
     stats = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{i}, stddev_pop(CAST({f} AS DOUBLE)) AS s_{i}"
                       for i, f in enumerate(feats_enc))

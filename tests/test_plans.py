@@ -21,7 +21,14 @@ def test_feature_plan_prunes_and_pushes_down(spark):
         if "lineitem.parquet" in line:
             schema = line.split("ReadSchema: ")[1]
             assert "l_shipdate" not in schema and "l_comment" not in schema and "l_tax" not in schema
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in plan
+    older = _plan(features.feature_base(scoring.tables(spark, SF_SMALL).snapshot(365)))
+    assert "PushedFilters: [IsNotNull(o_orderdate), LessThanOrEqual(o_orderdate" in older
+
+
+def test_feature_plan_reads_each_fact_table_once(spark):
+    plan = _plan(features.feature_base(scoring.tables(spark, SF_SMALL)))
+    for name in ("lineitem", "orders", "events", "customer"):
+        assert sum("FileScan" in line and f"{name}.parquet" in line for line in plan.splitlines()) == 1, name
 
 
 @pytest.mark.parametrize("key", ["predictions", "segment_summary", "top_at_risk", "upsert_scores"])
