@@ -74,7 +74,8 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     measures = [("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
     moments = held.agg(*[f(selection.number(c)).alias(f"{m}{i}") for i, c in enumerate(cols) for m, f in measures]).first()
     probs = [0.25, 0.5, 0.75]
-    found = selection.quantiles(held, cols, probs)
+    known = [selection.Spread(moments[f"count{i}"], moments[f"min{i}"], moments[f"max{i}"]) for i in range(len(cols))]
+    found = selection.quantiles(held, cols, probs, known)
     rows = [(c, float(moments[f"count{i}"]), *(moments[f"{m}{i}"] for m in ("mean", "std", "min")), *(found[c, p] for p in probs), moments[f"max{i}"])
             for i, c in enumerate(cols)]
     out = df.sparkSession.createDataFrame(

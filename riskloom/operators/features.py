@@ -9,7 +9,7 @@ costs one pre-aggregated row per task, not a hot reducer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import schemas as S
@@ -39,46 +39,45 @@ def _line_revenue_units() -> F.Column:
     return cents * (F.lit(100) - pct)
 
 
-def order_lines(t: RawTables) -> DataFrame:
-    """Per order: line revenue (1e-4 units), line count, returned-line count, and
-    its categories with their number of lines."""
-    return t.shared("order_lines", lambda: _order_lines(t))
+def order_category_lines(t: RawTables) -> DataFrame:
+    """Per (order, category): line revenue (1e-4 units), lines and returned lines."""
+    return t.shared("order_category_lines", lambda: _order_category_lines(t))
 
 
-def _order_lines(t: RawTables) -> DataFrame:
+def _order_category_lines(t: RawTables) -> DataFrame:
     """One pass over the line table: lines meet their part (Spark broadcasts it
-    only when its measured size is under the threshold), are added up per
-    (order, category) with map-side partial sums, and these rolled up to the
-    order.  A line without a part counts for the order but has no category.  The
-    categories of an order are bounded by the category domain, not by its lines."""
-    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type", F.lit(True).alias("known"))
-    per_category = (t.lineitem.select("l_orderkey", "l_partkey", _line_revenue_units().alias("units"), "l_returnflag")
-                    .join(parts, "l_partkey", "left")
-                    .groupBy("l_orderkey", "p_type", F.coalesce("known", F.lit(False)).alias("known"))
-                    .agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("lines"),
-                         F.count_if(F.col("l_returnflag") == S.RETURN_FLAG).alias("returned")))
-    category = F.when(F.col("known"), F.struct("p_type", "lines"))  # collect_list leaves nulls out
-    return (per_category.groupBy("l_orderkey")
-            .agg(F.sum("units").alias("order_revenue_units"), F.sum("lines").alias("order_lines"),
-                 F.sum("returned").alias("order_returned_lines"), F.collect_list(category).alias("categories")))
+    only when its measured size is under the threshold) and are added up per
+    (order, category) with map-side partial sums.  A line without a part, or
+    whose part has no type, counts for its order but has no category."""
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return (t.lineitem.select("l_orderkey", "l_partkey", _line_revenue_units().alias("units"), "l_returnflag")
+            .join(parts, "l_partkey", "left")
+            .groupBy("l_orderkey", "p_type")
+            .agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("lines"),
+                 F.count_if(F.col("l_returnflag") == S.RETURN_FLAG).alias("returned")))
 
 
 def share_order_facts(t: RawTables) -> RawTables:
-    """Write the per-order line totals once to the checkpoint folder, for plans
-    that derive features several times (e.g. a current run and an older
+    """Write the (order, category) totals once to the checkpoint folder, for
+    plans that derive features several times (e.g. a current run and an older
     snapshot): the line table is then aggregated once, not once per snapshot."""
     from riskloom.session import materialize
-    t.derived["order_lines"] = materialize(_order_lines(t), "order-lines")
+    t.derived["order_category_lines"] = materialize(_order_category_lines(t), "order-categories")
     return t
 
 
 def order_facts(t: RawTables) -> DataFrame:
-    """One row per order: customer, status, date and its line totals (null
-    for an order without lines).  The per-order line table is already
-    partitioned on the order key, so only orders move for this join."""
+    """One row per (order, category), and one for an order without lines: customer,
+    status, date and line totals.  ``first`` marks one row of every order, where
+    its own measures count; ``order_returned`` is the order's total.  Both come
+    from a window over the order key, by which the join has placed and sorted
+    the rows; an order's rows are bounded by the category domain."""
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"),
                         "o_orderstatus", "o_orderdate")
-    return o.join(order_lines(t), "l_orderkey", "left")
+    own = Window.partitionBy("l_orderkey")
+    return (o.join(order_category_lines(t), "l_orderkey", "left")
+            .withColumn("first", F.row_number().over(own.orderBy("l_orderkey")) == 1)
+            .withColumn("order_returned", F.sum("returned").over(own)))
 
 
 def customer_order_stats(t: RawTables) -> DataFrame:
@@ -87,35 +86,29 @@ def customer_order_stats(t: RawTables) -> DataFrame:
     the lines of completed orders, distinct categories of these, and the
     category with most lines (ties alphabetical).
 
-    An order stands in one row for each of its categories (one row when it has
-    none) and its own measures count in the first of them, so one linear plan,
-    summed per (customer, category) and then per customer, reads ``orders`` and
-    ``lineitem`` once."""
+    One linear plan, summed per (customer, category) and then per customer: it
+    reads ``orders`` and ``lineitem`` once."""
     complete = F.col("o_orderstatus") == S.STATUS_COMPLETE
-    rows = order_facts(t).select(
-        "user_id", "o_orderdate", complete.alias("complete"), (F.col("o_orderstatus") == S.STATUS_CANCELLED).alias("cancelled"),
-        "order_revenue_units", "order_lines", "order_returned_lines", F.posexplode_outer("categories").alias("pos", "category"))
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    once = first & F.col("complete")
-    own = F.when(F.col("complete"), F.col("category"))  # categories of completed orders only
-    partial = (rows.groupBy("user_id", own["p_type"].alias("p_type"), own.isNotNull().alias("known"))
+    once = complete & F.col("first")
+    category = F.when(complete, F.col("p_type"))  # of completed orders only
+    partial = (order_facts(t).groupBy("user_id", category.alias("p_type"))
                .agg(F.count_if(once).alias("total_orders"),
-                    F.count_if(first & F.col("cancelled")).alias("cancelled_orders"),
+                    F.count_if(F.col("first") & (F.col("o_orderstatus") == S.STATUS_CANCELLED)).alias("cancelled_orders"),
                     F.min("o_orderdate").alias("first_order_ts"),
-                    F.max(F.when(F.col("complete"), F.col("o_orderdate"))).alias("last_complete_ts"),
-                    F.sum(F.when(once, F.col("order_revenue_units").cast("decimal(38,0)"))).alias("units"),
-                    F.sum(F.when(once, F.col("order_lines"))).alias("lines"),
-                    F.sum(F.when(once, F.col("order_returned_lines"))).alias("returned_lines"),
-                    F.count_if(once & (F.col("order_returned_lines") > 0)).alias("returned_orders"),
-                    F.count_if(once & F.col("order_lines").isNotNull()).alias("orders_with_lines"),
-                    F.sum(own["lines"]).alias("category_lines")))
-    counts = ["total_orders", "cancelled_orders", "lines", "returned_lines", "returned_orders", "orders_with_lines"]
-    order_key = F.when(F.col("known"), F.struct((-F.col("category_lines")).alias("neg_lines"), F.col("p_type").alias("name")))
+                    F.max(F.when(complete, F.col("o_orderdate"))).alias("last_complete_ts"),
+                    F.sum(F.when(complete, F.col("units").cast("decimal(38,0)"))).alias("units"),
+                    F.sum(F.when(complete, F.col("lines"))).alias("lines"),
+                    F.sum(F.when(complete, F.col("returned"))).alias("returned_lines"),
+                    F.count_if(once & (F.col("order_returned") > 0)).alias("returned_orders"),
+                    F.count_if(once & F.col("lines").isNotNull()).alias("orders_with_lines")))
+    counts = ["total_orders", "cancelled_orders", "returned_lines", "returned_orders", "orders_with_lines"]
+    order_key = F.when(F.col("p_type").isNotNull(), F.struct((-F.col("lines")).alias("neg_lines"), F.col("p_type").alias("name")))
     return (partial.groupBy("user_id")
             .agg(*[F.sum(c).alias(c) for c in counts], F.min("first_order_ts").alias("first_order_ts"),
                  F.max("last_complete_ts").alias("last_complete_ts"),
                  (F.sum("units") / F.lit(10000)).cast("decimal(18,2)").alias("line_revenue"),
-                 F.count_if("known").alias("distinct_categories"), F.min_by("p_type", order_key).alias("top_category")))
+                 F.count("p_type").alias("distinct_categories"), F.min_by("p_type", order_key).alias("top_category"),
+                 F.sum("lines").alias("lines")))
 
 
 def customer_event_stats(t: RawTables) -> DataFrame:

@@ -68,46 +68,48 @@ def _bucket(v: Column, lo, hi, buckets: int) -> Column:
 
 
 def at_ranks(df: DataFrame, values: list[Column], ranks: list[list[int]], known: list[Spread] | None = None,
-             buckets: int = 512) -> list[dict[int, Found]]:
+             buckets: int = 512, few: int = 20_000) -> list[dict[int, Found]]:
     """For every column the value at each of its 1-based ``ranks`` (nulls are
     left out; a rank beyond the count is not answered).  ``values`` are all
-    doubles without NaN or all longs."""
+    doubles without NaN or all longs.  When the intervals hold no more than
+    ``few`` rows in all, their different values are counted, which ends the search."""
     known = known or spreads(df, values)
     out: list[dict[int, Found]] = [{} for _ in values]
-    # (column, lo, hi, rows before, ranks wanted in it)
+    # (column, lo, hi, rows before, ranks wanted in it, rows)
     todo = []
     for c, (spread, wanted) in enumerate(zip(known, ranks)):
         inside = sorted({r for r in wanted if 1 <= r <= spread.n})
         if inside and spread.lo == spread.hi:
             out[c] = {r: Found(spread.lo, 0, spread.n) for r in inside}
         elif inside:
-            todo.append((c, spread.lo, spread.hi, 0, inside))
+            todo.append((c, spread.lo, spread.hi, 0, inside, spread.n))
     while todo:
-        inside = [values[c].between(F.lit(lo), F.lit(hi)) for c, lo, hi, _, _ in todo]
-        cells = [F.when(hit, F.struct(F.lit(i).alias("i"), _bucket(values[c], lo, hi, buckets).alias("b"), values[c].alias("v")))
-                 for i, (hit, (c, lo, hi, _, _)) in enumerate(zip(inside, todo))]
+        inside = [values[c].between(F.lit(lo), F.lit(hi)) for c, lo, hi, *_ in todo]
+        last = sum(rows for *_, rows in todo) <= few
+        cells = [F.when(hit, F.struct(F.lit(i).alias("i"), (values[c] if last else _bucket(values[c], lo, hi, buckets)).alias("b"), values[c].alias("v")))
+                 for i, (hit, (c, lo, hi, *_)) in enumerate(zip(inside, todo))]
         counted = (df.where(reduce(or_, inside)).select(F.explode(F.array(*cells)).alias("s")).where("s IS NOT NULL")
                    .groupBy("s.i", "s.b").agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi")).collect())
         per: dict[int, list] = {}
         for r in sorted(counted, key=lambda r: r["lo"]):
             per.setdefault(r["i"], []).append(r)
         following = []
-        for i, (c, _, _, before, wanted) in enumerate(todo):
+        for i, (c, _, _, before, wanted, _) in enumerate(todo):
             for r in per.get(i, []):
                 inside = [k for k in wanted if before < k <= before + r["n"]]
                 if inside and r["lo"] == r["hi"]:
                     out[c] |= {k: Found(r["lo"], before, r["n"]) for k in inside}
                 elif inside:
-                    following.append((c, r["lo"], r["hi"], before, inside))
+                    following.append((c, r["lo"], r["hi"], before, inside, r["n"]))
                 before += r["n"]
         todo = following
     return out
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[tuple[str, float], float | None]:
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], known: list[Spread] | None = None) -> dict[tuple[str, float], float | None]:
     """{(column, prob): exact linear-interpolation quantile}; None without values."""
     values = [number(c) for c in columns]
-    known = spreads(df, values)
+    known = known or spreads(df, values)
     places = [{p: float(p) * float(max(s.n - 1, 0)) for p in probs} for s in known]
     wanted = [[math.floor(x) + 1 for x in own.values()] + [math.ceil(x) + 1 for x in own.values()] for own in places]
     found = at_ranks(df, values, wanted, known)
@@ -122,21 +124,22 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[tup
     return out
 
 
-def places(df: DataFrame, specs: list[tuple[Column, list[int]]], key: str) -> list[dict[int, tuple]]:
+def places(df: DataFrame, specs: list[tuple[Column, list[int]]], key: str, known: list[Spread] | None = None) -> list[dict[int, tuple]]:
     """For every (value, ranks) the (value, key) of the row at each rank in the
-    order (value, key).  ``key`` is an integer column; values are doubles."""
-    values = [v for v, _ in specs]
-    first = at_ranks(df, values, [r for _, r in specs])
+    order (value, key).  ``key`` is an integer column; values are doubles.
+    ``known``: the spreads of the values and, last, of the key."""
+    values, k = [v for v, _ in specs], F.col(key).cast("long")
+    *known, keys = known or spreads(df, [*values, k])
+    first = at_ranks(df, values, [r for _, r in specs], known)
     ties, owner = [], []
     out: list[dict[int, tuple]] = [{} for _ in specs]
-    k = F.col(key).cast("long")
     for i, found in enumerate(first):
         for rank, f in found.items():
             # among the rows with this value the key at the rest of the rank
-            ties.append((F.when(values[i] == F.lit(f.value), k), rank - f.before))
+            ties.append((F.when(values[i] == F.lit(f.value), k), rank - f.before, f.equal))
             owner.append((i, rank, f.value))
-    got = at_ranks(df, [t for t, _ in ties], [[r] for _, r in ties])
-    for (i, rank, value), answer, (_, r) in zip(owner, got, ties):
+    got = at_ranks(df, [t for t, *_ in ties], [[r] for _, r, _ in ties], [Spread(n, keys.lo, keys.hi) for *_, n in ties])
+    for (i, rank, value), answer, (_, r, _) in zip(owner, got, ties):
         out[i][rank] = (value, answer[r].value)
     return out
 
@@ -149,9 +152,9 @@ def quintile_scores(df: DataFrame, key: str, specs: list[tuple[str, str | Column
     The score changes after the ranks ``1 + floor(j (n - 1) / q)``, so the rows at
     these ranks are found and every row is compared with them."""
     values = [-number(v) if desc else number(v) for _, v, desc in specs]
-    known = spreads(df, values)
-    ranks = [[1 + j * (s.n - 1) // q for j in range(1, q)] if s.n > 1 else [] for s in known]
-    found = places(df, list(zip(values, ranks)), key)
+    known = spreads(df, [*values, F.col(key).cast("long")])
+    ranks = [[1 + j * (s.n - 1) // q for j in range(1, q)] if s.n > 1 else [] for s in known[:-1]]
+    found = places(df, list(zip(values, ranks)), key, known)
     out = df
     for (name, _, _), v, s, own, edges in zip(specs, values, known, ranks, found):
         score = F.lit(1)

@@ -49,7 +49,7 @@ def chain(p: str = "", lag_days: int | None = None) -> list[str]:
               count(*) AS orders_with_lines
             FROM {p}o_line ol JOIN {p}f_ord f ON f.o_orderkey = ol.l_orderkey GROUP BY f.user_id)""",
         f"""{p}c_cat1 AS (SELECT f.user_id, pt.p_type, count(*) AS category_lines
-            FROM lineitem l JOIN part pt ON pt.p_partkey = l.l_partkey
+            FROM lineitem l JOIN part pt ON pt.p_partkey = l.l_partkey AND pt.p_type IS NOT NULL
             JOIN {p}f_ord f ON f.o_orderkey = l.l_orderkey GROUP BY f.user_id, pt.p_type)""",
         f"""{p}c_cat AS (SELECT user_id, count(*) AS distinct_categories,
               first(p_type ORDER BY category_lines DESC, p_type ASC) AS top_category
