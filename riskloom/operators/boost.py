@@ -34,6 +34,8 @@ from riskloom.session import materialize
 BINS = 255          # bin numbers 1..255, 0 is missing: one byte
 FIXED = 1 << 24     # gradients and hessians are summed in units of 2^-24
 LEAST_GAIN = 1e-6
+ROWS_A_TASK = 50_000
+FEW_TASKS = 8
 STATE = "key long, y double, w double, b binary, margin double"
 
 
@@ -132,8 +134,9 @@ def best_split(g: np.ndarray, h: np.ndarray, s: BoostSettings) -> tuple | None:
 
 
 def grow_level(tree: Tree, open_: list[int], sums: np.ndarray, columns: list[int], s: BoostSettings) -> list[int]:
-    """Split every open node that gains; the new open nodes.  ``sums``: open
-    node x feature x bin x (gradient, hessian)."""
+    """Split every open node that gains; the new open nodes, those with hessian
+    enough for two children.  ``sums``: open node x feature x bin x (gradient,
+    hessian)."""
     children: list[int] = []
     for node, gh in zip(open_, sums):
         found = best_split(gh[..., 0], gh[..., 1], s)
@@ -141,7 +144,8 @@ def grow_level(tree: Tree, open_: list[int], sums: np.ndarray, columns: list[int
             continue
         gain, f, cut, ml, gl, hl, g, h = found
         weights = (-s.rate * gl / (hl + s.l2), -s.rate * (g - gl) / (h - hl + s.l2))
-        children += tree.split(node, columns[f], cut, ml, gain, weights)
+        pair = tree.split(node, columns[f], cut, ml, gain, weights)
+        children += [c for c, weight in zip(pair, (hl, h - hl)) if weight >= 2 * s.min_child]
     return children
 
 
@@ -202,9 +206,11 @@ def _batch(batch: pa.RecordBatch, n_features: int, pending: list[Tree]) -> tuple
     return b, margin
 
 
-def level_sums(state: DataFrame, pending: list[Tree], tree: Tree, number: int, open_: list[int], columns: list[int],
+def level_sums(state: DataFrame, tasks: int, pending: list[Tree], tree: Tree, number: int, open_: list[int], columns: list[int],
                n_features: int, s: BoostSettings) -> np.ndarray:
-    """Gradient and hessian sums (open node x feature x bin x 2) of one level: one job."""
+    """Gradient and hessian sums (open node x feature x bin x 2) of one level: one
+    job.  The tables of up to ``FEW_TASKS`` tasks are added here; those of more
+    tasks are added by Spark first, so one table comes back."""
     width = len(columns) * (BINS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +233,13 @@ def level_sums(state: DataFrame, pending: list[Tree], tree: Tree, number: int, o
         used = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], names=["slot", "g", "h"])
 
-    found = (state.select("key", "y", "w", "b", "margin").mapInArrow(run, "slot long, g long, h long")
-             .groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow())
-    sums = np.zeros((len(open_) * width, 2))
-    at = found.column("slot").to_numpy()
-    sums[at, 0], sums[at, 1] = found.column("g").to_numpy(), found.column("h").to_numpy()
+    found = state.mapInArrow(run, "slot long, g long, h long")
+    if tasks > FEW_TASKS:
+        found = found.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    table = found.toArrow()
+    sums = np.zeros((len(open_) * width, 2), np.int64)
+    for i, side in enumerate(("g", "h")):
+        np.add.at(sums[:, i], table.column("slot").to_numpy(), table.column(side).to_numpy())
     return sums.reshape(len(open_), len(columns), BINS + 1, 2)
 
 
@@ -262,21 +270,24 @@ def fit(train: DataFrame, n_features: int, s: BoostSettings | None = None) -> Bo
     w (weight) and x (array of ``n_features`` doubles; null or NaN is missing)."""
     s = s or BoostSettings()
     edges = bin_edges(train, n_features)
-    state = materialize(_binned_rows(train, edges), "boost").persist()
+    state = materialize(_binned_rows(train, edges), "boost")
+    # a job a level: tasks of few rows would cost more than the rows
+    tasks = max(1, state.count() // ROWS_A_TASK)
+    state = state.coalesce(tasks).persist()  # fewer partitions, never more
     trees: list[Tree] = []
     pending: list[Tree] = []
     for number in range(s.rounds):
         columns = sampled_columns(n_features, number, s)
         tree, open_ = Tree(), [0]
         for _ in range(s.depth):
-            sums = level_sums(state, pending, tree, number, open_, columns, n_features, s)
+            sums = level_sums(state, tasks, pending, tree, number, open_, columns, n_features, s)
             open_ = grow_level(tree, open_, sums, columns, s)
             if not open_:
                 break
         trees.append(tree)
         pending.append(tree)
         if len(pending) == s.refresh and number + 1 < s.rounds:
-            newer = materialize(_with_margins(state, pending, n_features), "boost").persist()
+            newer = materialize(_with_margins(state, pending, n_features), "boost").coalesce(tasks).persist()
             state.unpersist()
             state, pending = newer, []
     state.unpersist()
