@@ -25,9 +25,7 @@ def docs(spark):
 def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def plain(path, text, end):
@@ -45,6 +43,19 @@ def test_cached_encoding_is_the_library_s(path):
             enc.trim()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_random_texts_and_spelled_out_tokens_are_the_library_s(path):
+    import random
+    rng = random.Random(8)
+    alphabet = ["a", "b", "é", "ß", "Ω", "İ", "ŉ", "e\u0301", "中", "😀", ".", ",", "'", "'s", "1", "23", "-", "\n", "\t", "\u00a0", "\x1f", "\x85", "|", "<", "##", "A"]
+    spelled = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<unk>", "<|end", "[UNK]"]
+    texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 7))) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    texts += [t + rng.choice(["", " ", "\n"]) + s + rng.choice(["", " x", "."]) for t in texts[:60] for s in spelled]
+    enc = Encoder(path)
+    for text in texts:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain(path, text, 0)[:-1], repr(text)
+
+
 def test_encoding_of_the_test_table(spark):
     texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     for path in (BYTE, WORD):
