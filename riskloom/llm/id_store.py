@@ -239,5 +239,6 @@ def read_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                      pa.array(shard.offsets[docs + 1] - shard.offsets[docs]), pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return (manifest.select("path", "start_id").repartition(F.col("path"))
+    # a number of partitions, since the few bytes of the manifest would be merged into one task
+    return (manifest.select("path", "start_id").repartition(max(1, manifest.count()), F.col("path"))
             .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
