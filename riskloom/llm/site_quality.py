@@ -33,7 +33,7 @@ def prepared(docs: DataFrame, host: str = "source", path: str = "lang") -> DataF
     s = F.col("_s")
     b = [v.alias(f) for f, v in bins().items()]
     h, p = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host, path))
-    inner = docs.select(F.struct("*").alias("d"), h.alias("h"), p.alias("p"), doc_stats(F.col("text")).alias("_s"))
+    inner = docs.drop(OWN).select(F.struct("*").alias("d"), h.alias("h"), p.alias("p"), doc_stats(F.col("text")).alias("_s"))
     return written(inner.select("d", "h", "p", *flat(s)).select("d.*", F.struct(F.col("h").alias("host"), F.col("p").alias("path"), *b).alias(OWN)), "site-quality")
 
 
@@ -96,7 +96,8 @@ def site_rates(own: DataFrame, prior: float, soft_weight: float) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", soft_weight: float = 0.1) -> DataFrame:
     """``docs`` with the struct column ``_site_quality``: evidence, site_rate
-    and quality, the posterior probability that the document is good.
+    and quality, the posterior probability that the document is good.  All other
+    columns stay as they are, whatever their names; one of that name is replaced.
 
     Without labels of both classes the evidence is 0 and the prior 0.5 or the
     one class's share with add-one smoothing.  A null or empty text is binned
@@ -115,9 +116,12 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     prior_logit = math.log(prior / (1 - prior))
     p = F.round(_sigmoid(evidence(table) + prior_logit), 6)
     rates = site_rates(narrow.select(f"{OWN}.host", f"{OWN}.path", "_y", p.alias("_p")), prior, soft_weight)
-    rates = rates.select(F.col("host").alias("_h"), F.col("path").alias("_pa"), F.col("rate").alias("_rate"))
-    out = ready.join(rates, (F.col(f"{OWN}.host") == F.col("_h")) & (F.col(f"{OWN}.path") == F.col("_pa")), "left")
-    rate = F.least(F.greatest(F.col("_rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    site = "_site"
+    while site in ready.columns:  # no column of the documents may clash
+        site += "_"
+    rates = rates.select(F.struct("host", "path", "rate").alias(site))
+    out = ready.join(rates, (F.col(f"{OWN}.host") == F.col(f"{site}.host")) & (F.col(f"{OWN}.path") == F.col(f"{site}.path")), "left")
+    rate = F.least(F.greatest(F.col(f"{site}.rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
     e = evidence(table)
-    return out.withColumn(OWN, F.struct(F.col(f"{OWN}.host"), F.col(f"{OWN}.path"), e.alias("evidence"), F.col("_rate").alias("site_rate"),
-                                        _sigmoid(e + _logit(rate)).alias("quality"))).drop("_h", "_pa", "_rate")
+    return out.withColumn(OWN, F.struct(F.col(f"{OWN}.host"), F.col(f"{OWN}.path"), e.alias("evidence"), F.col(f"{site}.rate").alias("site_rate"),
+                                        _sigmoid(e + _logit(rate)).alias("quality"))).drop(site)
