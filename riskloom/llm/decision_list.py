@@ -117,14 +117,18 @@ def _prefix_counts(cells: DataFrame, rule: Rule) -> list[tuple[int, int]]:
     return [(row[f"c{k}_0"] or 0, row[f"c{k}_1"] or 0) for k in range(1, len(rule) + 1)]
 
 
-def learn(cells: DataFrame, max_rules: int = 8, max_conditions: int = 3, min_cover: int = 3, min_precision: float = 0.8) -> list[Rule]:
-    """Ordered rules for class 0.  Without labels of both classes: none."""
+def learn(cells: DataFrame, min_cover: int = 3, min_precision: float = 0.8) -> list[Rule]:
+    """Ordered rules for class 0.  Without labels of both classes: none.
+
+    A rule grows until no condition gains, and rules are added until the next
+    one does not hold up on the pruning fold.  Both end: a condition that gains
+    leaves rows out, and a rule that holds up takes rows of class 0 away."""
     rules: list[Rule] = []
     left = cells
-    while len(rules) < max_rules:
+    while True:
         rule: Rule = ()
         grow = left.where(~F.col("pruning"))
-        while len(rule) < max_conditions:
+        while True:
             _, condition = _best(_by_bin(grow.where(all_of(rule, Condition.on_bin))), rule)
             if condition is None:
                 break

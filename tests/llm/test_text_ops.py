@@ -315,3 +315,62 @@ def test_long_reply_chain(spark):
     rows = [(1, 0, "u", "m0")] + [(1, t, "u", f"> m{t - 1}\nm{t}") for t in range(1, 40)]
     got = quotes.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert all(r.thread_turn == 0 and r.position == r.turn + 1 for r in got)
+
+
+def plain_rules(train, prune, min_cover=3, min_precision=0.8):
+    """Sequential covering over rows of (bins, y), by the same gain and the same folds."""
+    grid = decision_list.GRID
+
+    def holds(row, rule):
+        return all((row[0][f] <= cut) == below for f, cut, below in rule)
+
+    rules, train, prune = [], list(train), list(prune)
+    while True:
+        rule, own = [], train
+        while True:
+            p0, n0 = (sum(y == k for _, y in own) for k in (0, 1))
+            best = (0.0, None)
+            if p0 and n0:
+                for f in grid:
+                    for cut in range(len(grid[f])):
+                        for below in (False, True):
+                            inside = [y for b, y in own if (b[f] <= cut) == below]
+                            p, n = inside.count(0), inside.count(1)
+                            gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+                            if gain > best[0] + 1e-9:
+                                best = gain, (f, cut, below)
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            own = [r for r in own if holds(r, rule)]
+        if not rule:
+            return rules
+        worth = []
+        for k in range(1, len(rule) + 1):
+            ys = [y for b, y in prune if holds((b, y), rule[:k])]
+            p, n = ys.count(0), ys.count(1)
+            worth.append(((p - n) / (p + n) if p + n else -1.0, p, n))
+        keep = max(range(len(rule)), key=lambda k: (worth[k][0], -k))
+        _, p, n = worth[keep]
+        if p < min_cover or p / (p + n) < min_precision:
+            return rules
+        rules.append(rule[:keep + 1])
+        train, prune = ([r for r in rows if not holds(r, rules[-1])] for rows in (train, prune))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_learned_list_equals_plain_covering(spark, seed):
+    rng = random.Random(seed)
+    grid = decision_list.GRID
+    names = list(grid)
+    rows = []
+    for i in range(900):
+        b = {f: rng.randrange(len(grid[f]) + 1) for f in names}
+        bad = (b[names[0]] > 1 and b[names[1]] <= 1) or b[names[2]] == 0 or rng.random() < 0.03
+        rows.append((i % 3 == 0, 0 if bad else 1, *b.values()))
+    cells = spark.createDataFrame(rows, "pruning boolean, y int, " + ", ".join(f"{f} int" for f in names))
+    cells = cells.groupBy("pruning", "y", *names).agg(F.count(F.lit(1)).alias("n"))
+    train, prune = ([(dict(zip(names, r[2:])), r[1]) for r in rows if r[0] == fold] for fold in (False, True))
+    got = [[(c.feature, c.cut, c.below) for c in rule] for rule in decision_list.learn(cells)]
+    want = [list(r) for r in plain_rules(train, prune)]
+    assert got == want and len(want) >= 2
