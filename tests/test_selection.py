@@ -6,7 +6,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskloom.functions import exprs as X
 from riskloom.operators import evaluate, selection
 from riskloom.plans import catalog, scoring
 from conftest import SF_SMALL
@@ -89,4 +88,3 @@ def test_scores_equal_the_rank_formula(spark):
         m = len(order)
         want = [max(1, -(-5 * r // (m - 1))) for r in range(m)]
         assert order[name].tolist() == want
-    assert X.qcut_from_rank is not None
