@@ -242,7 +242,7 @@ def test_customer_and_segment_lines_keep_null_fields(spark):
 def test_describe_matches_pandas_and_skips_nulls(spark):
     rows = [(1, 3.0, None, 10), (2, None, None, 20), (3, 7.4, None, 30), (4, 1.25, None, 40), (5, 2.0, None, 50)]
     df = spark.createDataFrame(rows, "user_id long, a double, b double, c long")
-    got = {r["column"]: r.asDict() for r in clean.describe(df, "user_id", ["a", "b", "c"]).collect()}
+    got = {r["column"]: r.asDict() for r in clean.describe(df, ["a", "b", "c"]).collect()}
     pdf = pd.DataFrame(rows, columns=["user_id", "a", "b", "c"]).astype({"b": float})
     for c in ["a", "c"]:
         d = pdf[c].describe()
