@@ -4,17 +4,23 @@ The CGK embedding walks along a string and copies its symbols; at step t it
 moves on when a random bit of (t, symbol) is 1 and repeats the symbol when it
 is 0.  Two strings that differ by few edits fall back into step soon after an
 edit, so the edit distance becomes a Hamming distance between walks.  Sampling
-a few coordinates of a walk as a key then is a locality-sensitive hash; several
+coordinates of a walk as a key then is a locality-sensitive hash, and several
 keys of several walks bring the recall to its target.
 
-Symbols are words (lower-cased in ASCII).  A benchmark item of n words is cut
-into windows of a size that grows with the item (the power of two up to 2n/3,
-4 to 16), at every word that hashes lower than the next.  Documents are cut the
-same way at every such word, so an edit spoils only windows it lies in and the
-others still meet.  An item without such a window is cut at every word, and
-documents are then cut at every word for its size too.  A document window that shares a key with an item window
-gives a place in the document; the whole item is then searched around it by
-exact semi-global edit distance over characters (bit-parallel).
+Symbols are the bytes of the text, lower-cased in ASCII, white space as one
+blank.  At one edit in five characters a walk over a whole item hardly ever
+ends in step, so an item is embedded from many of its places (those whose next
+three symbols hash low), and the document from the same ones.  A shared key
+proposes an item-sized window of the document.  A proposal must first match a
+piece of 64 symbols around the key (an item within r edits a symbol has a piece
+within r); then the whole item is searched in its window by exact semi-global
+edit distance over characters (bit-parallel).
+
+How many places and walks an item gets follows from the target recall: copies
+of items with ``max_rate`` random edits are searched on the driver for every
+length class, with rising effort until the target is reached.  Items too short
+for it are searched exactly: of k + 1 parts of an item with at most k edits one
+is intact, and all occurrences of the parts are verified.
 
 One narrow pass over whole texts per block of items; nothing is shuffled.
 Items are bounded by ``block_bytes`` a block, and there are as many blocks as
@@ -23,8 +29,8 @@ the benchmark needs.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,81 +41,92 @@ from riskloom.llm import wordhash as W
 
 _U = np.uint64
 SCHEMA = "doc_id long, item_id long, first_word long, distance long, item_chars long"
-MIN_WORDS = 5
-WALKS, TABLES, SAMPLED = 2, 8, 4
+STEPS, SAMPLED, TABLES = 32, 16, 2
+# (share of places embedded, walks), by rising effort
+EFFORTS = ((0.125, 1), (0.125, 2), (0.25, 2), (0.5, 2), (1.0, 3))
+PIECE, STRIDE, DRIFT = 64, 16, 16
+_RUN = 1 << 15
+_SPACES = {c: " " for c in range(0x09, 0x0E)}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER[9:14] = 32
 
 
-def size_class(n_words: int) -> int:
-    return min(16, max(4, 1 << (2 * n_words // 3).bit_length() - 1))
-
-
-def anchors(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Words that hash lower than the next word of the same text."""
-    return np.flatnonzero((hashes[:-1] < hashes[1:]) & (text[:-1] == text[1:]))
-
-
-def padded(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words with a 0 behind every text, on which a walk stays; and the place
-    of each word there."""
-    place = np.arange(len(hashes)) + text
-    out = np.zeros(int(place[-1]) + 2 if len(place) else 1, _U)
-    out[place] = hashes
-    return out, place
+def symbols_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of texts that lie end to end in ``data``, two zeros behind each;
+    first and last+1 symbol of every text."""
+    low = _LOWER[data]
+    space = low == 32
+    drop = space.copy()
+    drop[1:] &= space[:-1]
+    inner = starts[:-1][starts[:-1] < len(low)]
+    drop[inner] = space[inner]  # blanks that begin a text
+    gone = np.flatnonzero(drop)
+    at = starts - np.searchsorted(gone, starts)
+    shift = 2 * np.arange(len(starts))
+    return np.insert(low[~drop], np.repeat(at[1:], 2), 0), (at + shift)[:-1], (at[1:] + shift[:-1])
 
 
-def embed(symbols: np.ndarray, start: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """The first ``steps`` steps of the CGK walk from every place in ``start``."""
-    bits = W.mix(symbols, 20 + walk)  # bit t decides the move after step t
-    bits[symbols == 0] = 0
-    out = np.empty((steps, len(start)), _U)
-    here = start.astype(np.int64)
-    for t in range(steps):
-        np.take(symbols, here, out=out[t])
-        here += ((np.take(bits, here) >> _U(t)) & _U(1)).view(np.int64)
-    return out
-
+def normal(text: str) -> str:
+    return " ".join(w for w in lowered(text).split(" ") if w)
 
-def coordinates(size: int, walk: int, table: int) -> np.ndarray:
-    """The sampled steps of a table: one in each quarter of the first 1.5 size
-    steps, in which a walk covers about three quarters of its window.  Where a
-    quarter is one step, different sets of these steps; the first lies inside
-    the window, so that a copy meets in it whatever follows."""
-    if 3 * size // 2 < 2 * SAMPLED:
-        first, *others = combinations(range(3 * size // 2), SAMPLED)
-        order = np.random.default_rng([size, walk]).permutation(len(others))
-        return np.array(others[order[table - 1]] if table else first)
-    rng = np.random.default_rng([size, walk, table])
-    span = 3 * size // 2 // SAMPLED
-    return np.arange(SAMPLED) * span + rng.integers(0, span, SAMPLED)
 
+def lowered(text: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in text).translate(_SPACES)
 
-def window_keys(symbols: np.ndarray, start: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(size, keys of all windows), once per size, walk and table; one walk
-    serves all sizes."""
-    for walk in range(WALKS if sizes else 0):
-        e = embed(symbols, start, 3 * max(sizes) // 2, walk)
-        for size in sizes:
-            for table in range(TABLES):
-                key = np.full(len(start), 1000 * size + 10 * walk + table, _U)
-                for c in coordinates(size, walk, table):
-                    key *= _U(W._STEP)
-                    key += e[c]
-                yield size, W.mix(key, 30)
 
+def anchors(symbols: np.ndarray, share: float) -> np.ndarray:
+    """Places whose next three symbols hash below ``share``."""
+    s = symbols.astype(np.uint32)
+    g = s[:-2] | s[1:-1] << np.uint32(8) | s[2:] << np.uint32(16)
+    g *= np.uint32(0x9E3779B1)
+    g ^= g >> np.uint32(15)
+    g *= np.uint32(0x85EBCA77)
+    g ^= g >> np.uint32(13)
+    at = np.flatnonzero(g <= np.uint32(share * 0xFFFFFFFF))
+    return at[symbols[at] > 0]
 
-def lowered(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
 
+def embed(symbols: np.ndarray, walk: int) -> np.ndarray:
+    """Every symbol in the low byte, the move after step t in bit 8 + t; a walk
+    stays on a zero."""
+    move = np.random.default_rng([walk, STEPS]).integers(0, 1 << STEPS, 256, dtype=np.uint64) << _U(8)
+    move[0] = 0
+    return np.take(move | np.arange(256, dtype=np.uint64), symbols)
 
-def words_of(text: str) -> list[str]:
-    """White-space words, lower-cased in ASCII like the hashes."""
-    data = lowered(np.frombuffer(text.encode("utf-8", "replace"), np.uint8)).tobytes()
-    return data.decode("utf-8", "replace").translate(_SPACES).split(" ")
 
-
-_SPACES = {c: " " for c in range(0x09, 0x0E)}
+def steps(embedded: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
+    """The CGK walk from every place in ``start``, step by step."""
+    here = start.astype(np.int64)
+    for t in range(STEPS):
+        step = embedded[here]
+        yield step
+        step = step >> _U(8 + t)
+        step &= _U(1)
+        here += step.view(np.int64)
+
+
+def coordinates(walk: int, table: int) -> np.ndarray:
+    """The sampled steps of a table."""
+    return np.sort(np.random.default_rng([walk, table]).choice(STEPS, SAMPLED, replace=False))
+
+
+def window_keys(symbols: np.ndarray, start: np.ndarray, walks: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number of walk and table, first place, keys of the windows from there
+    on), in runs of places, so that a long text needs no more memory."""
+    sampled = [[set(coordinates(walk, table).tolist()) for table in range(TABLES)] for walk in range(walks)]
+    for walk in range(walks):
+        embedded = embed(symbols, walk)
+        for a in range(0, len(start), _RUN):
+            own = start[a:a + _RUN]
+            keys = [np.full(len(own), 1 + walk * TABLES + table, _U) for table in range(TABLES)]
+            for t, step in enumerate(steps(embedded, own)):
+                for key, taken in zip(keys, sampled[walk]):
+                    if t in taken:
+                        key *= _U(W._STEP)
+                        key += step
+            for table, key in enumerate(keys):
+                yield walk * TABLES + table, a, W.mix(key, 30)
 
 
 def semi_global(pattern: str, text: str) -> int:
@@ -141,122 +158,254 @@ def semi_global(pattern: str, text: str) -> int:
     return best
 
 
-class Items:
-    """Window keys of a block of benchmark items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.words = {i: [w for w in words_of(t) if w] for i, t in rows}
-        self.words = {i: w for i, w in self.words.items() if len(w) >= MIN_WORDS}
-        anchored, free = [], []
-        for item, words in self.words.items():
-            data = lowered(np.frombuffer(" ".join(words).encode(), np.uint8))
-            hashes, text, _, _ = W.words(data, np.array([0, len(data)]))
-            size = size_class(len(words))
-            at = anchors(hashes, text)
-            at = at[at + size <= len(words)]
-            own = anchored if len(at) else free
-            if not len(at):
-                at = np.arange(len(words) - size + 1)
-            symbols, place = padded(hashes, text)
-            for _, k in window_keys(symbols, place[at], [size]):
-                own.append((size, k, [(item, int(a)) for a in at]))
-        self.anchored, self.free = Keys(anchored), Keys(free)
-
-    def places(self, hashes: np.ndarray, text: np.ndarray) -> dict[tuple[int, int], dict[int, int]]:
-        """(text, item) -> word where the item would begin, which may be
-        outside -> number of keys that say so."""
-        out: dict[tuple[int, int], dict[int, int]] = {}
-        symbols, place = padded(hashes, text)
-        for own in (self.anchored, self.free):
-            if not own.sizes:
-                continue
-            at = anchors(hashes, text) if own is self.anchored else np.arange(len(hashes))
-            if not len(at):
-                continue
-            for _, key in window_keys(symbols, place[at], own.sizes):
-                for h, owners in own.hits(key):
-                    for item, offset in owners:
-                        found, word = out.setdefault((int(text[at[h]]), item), {}), int(at[h]) - offset
-                        found[word] = found.get(word, 0) + 1
-        return out
+class Pieces:
+    """Pieces of ``PIECE`` symbols of every item, compared with many stretches
+    at once: one machine word a piece, bit-parallel over its symbols.  Symbols
+    that agree in their last five bits count as equal, which can only lower a
+    distance."""
+
+    def __init__(self, items: list[bytes]):
+        self.first, self.last, self.begin, size = [], [], [], []
+        masks = []
+        for b in items:
+            self.first.append(len(masks))
+            end = max(0, len(b) - PIECE)
+            for s in [*range(0, end, STRIDE), end]:
+                mask = np.zeros(33, _U)
+                for i, c in enumerate(b[s:s + PIECE]):
+                    mask[c & 31] |= _U(1 << i)
+                masks.append(mask)
+                self.begin.append(s)
+                size.append(min(PIECE, len(b)))
+            self.last.append(len(masks) - 1)
+        self.first, self.last, self.begin = (np.array(x, np.int64) for x in (self.first, self.last, self.begin))
+        self.size = np.array(size, np.int64)
+        self.masks = np.array(masks, _U).reshape(-1)
+
+    def distance(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, offset: np.ndarray,
+                 at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edit distance of the item's piece around ``offset`` to the text
+        [low, high) around ``at``, and the piece's size."""
+        want = np.maximum(offset + SAMPLED // 2 - PIECE // 2, 0)
+        piece = np.minimum(self.first[item] + (want + STRIDE // 2) // STRIDE, self.last[item])
+        size = self.size[piece]
+        begin = at - offset + self.begin[piece] - DRIFT
+        mask_at = piece * 33
+        pv, mv = np.full(len(at), ~_U(0)), np.zeros(len(at), _U)
+        score = size.copy()
+        best = size.copy()
+        top = (size - 1).astype(_U)
+        for t in range(PIECE + 2 * DRIFT):
+            p = begin + t
+            c = np.take(symbols, p, mode="clip") & 31
+            c = np.where((p >= low) & (p < high), c, 32)
+            eq = np.take(self.masks, mask_at + c)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv)
+            mh = pv & xh
+            score += ((ph >> top) & _U(1)).view(np.int64)
+            score -= ((mh >> top) & _U(1)).view(np.int64)
+            ph <<= _U(1)
+            mh <<= _U(1)
+            pv = mh | ~(xv | ph)
+            mv = ph & xv
+            np.minimum(best, score, out=best)
+        return best, size
 
 
 class Keys:
-    """Sorted window keys and the (item, offset) of each."""
+    """Sorted window keys of one table and the (item, offset) of each."""
 
-    def __init__(self, parts: list[tuple[int, np.ndarray, list[tuple]]]):
-        keys = np.concatenate([k for _, k, _ in parts]) if parts else np.zeros(0, _U)
-        owners = [o for _, _, own in parts for o in own]
+    def __init__(self, keys: np.ndarray, item: np.ndarray, offset: np.ndarray):
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owners = keys[order], [owners[i] for i in order]
-        self.sizes = sorted({size for size, _, _ in parts})
-        self.filter = np.zeros(1 << 22 if parts else 0, bool)
-        self.filter[(self.keys >> _U(42)).astype(np.int64)] = True
+        self.keys, self.item, self.offset = keys[order], item[order], offset[order]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[(self.keys >> _U(44)).astype(np.int64)] = True
 
-    def hits(self, key: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
-        hit = np.flatnonzero(self.filter[(key >> _U(42)).view(np.int64)])
+    def hits(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the window, index of the owner) of every shared key."""
+        hit = np.flatnonzero(np.take(self.filter, (key >> _U(44)).view(np.int64)))
         lo = np.searchsorted(self.keys, key[hit])
-        hi = np.searchsorted(self.keys, key[hit], side="right")
-        for h, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo]):
-            yield h, self.owners[a:b]
-
-
-def search(texts: pa.Array, items: Items, max_rate: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, first word, distance, item's characters): the best place of
-    every item within ``max_rate`` edits a character of the row's text."""
-    for a, _, data, starts in W.blocks(texts, 1 << 20):
-        hashes, text, begin, end = W.words(lowered(data), starts)
-        if len(hashes) < 2:
-            continue
-        first = np.searchsorted(text, np.arange(len(starts)))
-        for (row, item), places in sorted(items.places(hashes, text).items()):
-            words = items.words[item]
-            pattern = " ".join(words)
-            slack = max(2, int(len(words) * max_rate) + 1)
-            best, seen = None, -1
-            for p in sorted(places):
-                if p <= seen:  # inside the stretch searched last
+        n = np.searchsorted(self.keys, key[hit], side="right") - lo
+        run = np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(hit, n), np.repeat(lo, n) + np.arange(int(n.sum())) - run
+
+
+class Items:
+    """Window keys of a block of benchmark items, (item_id, text) each.  An item
+    without a word holds nothing and is never found."""
+
+    def __init__(self, rows: list[tuple[int | None, str]], max_rate: float, target: float = 0.95, effort: dict[int, int] | None = None):
+        self.max_rate = max_rate
+        rows = [(i, n) for i, n in ((i, normal(t)) for i, t in rows) if n]
+        self.ids, self.texts = [i for i, _ in rows], [t for _, t in rows]
+        self.most = [int(max_rate * len(t)) for t in self.texts]
+        raw = [t.encode("utf-8", "replace") for t in self.texts]
+        self.size = np.array([len(b) for b in raw], np.int64)
+        self.slack = 4 * np.array(self.most, np.int64) + 8  # a character has up to four bytes
+        effort = efforts(self.texts, max_rate, target) if effort is None else effort
+        level = np.array([effort[len(b).bit_length()] for b in raw], np.int64)
+        self.exact = [j for j in range(len(raw)) if level[j] == len(EFFORTS)]
+        self.pieces = Pieces(raw)
+        self.share, self.walks = 0.0, 0
+        found: dict[int, list[tuple]] = {}
+        for own in sorted(set(level.tolist()) - {len(EFFORTS)}):
+            share, walks = EFFORTS[own]
+            self.share, self.walks = max(self.share, share), max(self.walks, walks)
+            mine = np.flatnonzero(level == own)
+            data = np.frombuffer(b"".join(raw[j] for j in mine), np.uint8)
+            symbols, first, _ = symbols_of(data, np.concatenate([[0], np.cumsum(self.size[mine])]))
+            at = anchors(symbols, share)
+            k = np.searchsorted(first, at, side="right") - 1
+            for table, a, key in window_keys(symbols, at, walks):
+                run = slice(a, a + len(key))
+                found.setdefault(table, []).append((key, mine[k[run]], (at - first[k])[run]))
+        self.tables = {table: Keys(*(np.concatenate(x) for x in zip(*parts))) for table, parts in found.items()}
+
+    def proposals(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, symbol where the item would begin), sorted, of all hits
+        whose piece is near enough."""
+        parts = []
+        places = anchors(symbols, self.share) if self.tables else np.zeros(0, np.int64)
+        for k, a, key in window_keys(symbols, places, self.walks):
+            if k in self.tables:
+                window, owner = self.tables[k].hits(key)
+                parts.append((places[a + window], self.tables[k].item[owner], self.tables[k].offset[owner]))
+        if not parts:
+            return (np.zeros(0, np.int64),) * 3
+        at, item, offset = (np.concatenate(p) for p in zip(*parts))
+        # one hit for each 16 places along and across the diagonal
+        across = (at - offset) // 16
+        order = np.lexsort((offset, across, item))
+        at, item, offset, across = at[order], item[order], offset[order], across[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (item[1:] != item[:-1]) | (across[1:] != across[:-1]) | (offset[1:] // 16 != offset[:-1] // 16)
+        at, item, offset = at[new], item[new], offset[new]
+        text = np.searchsorted(first, at, side="right") - 1
+        near = np.zeros(len(at), bool)
+        for a in range(0, len(at), _RUN // 4):
+            s = slice(a, a + _RUN // 4)
+            d, size = self.pieces.distance(symbols, first[text[s]], last[text[s]], item[s], offset[s], at[s])
+            near[s] = d <= 1.5 * self.max_rate * size
+        text, item, begin = text[near], item[near], (at - offset)[near]
+        order = np.lexsort((begin, item, text))
+        return text[order], item[order], begin[order]
+
+    def stretch(self, symbols: np.ndarray, lo: int, hi: int, item: int) -> int:
+        return semi_global(self.texts[item], symbols[lo:hi].tobytes().decode("utf-8", "replace"))
+
+    def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, first word, distance): the best place of every item within
+        ``max_rate`` edits a character of the row's text."""
+        for a, _, data, starts in W.blocks(texts, 1 << 18):
+            symbols, first, last = symbols_of(data, starts)
+            if len(symbols) < 3:
+                continue
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            before, seen = None, -1
+            for row, item, begin in zip(*(x.tolist() for x in self.proposals(symbols, first, last))):
+                if (row, item) == before and begin <= seen:  # inside the stretch searched last
                     continue
-                lo, hi = max(p - slack, int(first[row])), min(p + len(words) + 2 * slack, int(first[row + 1]))
-                seen = p + slack
-                if hi <= lo:
+                slack = int(self.slack[item])
+                before, seen = (row, item), begin + slack // 2
+                lo, hi = max(begin - slack, int(first[row])), min(begin + int(self.size[item]) + 2 * slack, int(last[row]))
+                found = self.stretch(symbols, lo, hi, item), max(begin, int(first[row]))
+                if found[0] <= self.most[item]:
+                    best[row, item] = min(found, best.get((row, item), found))
+            for row in range(len(first)) if self.exact else ():
+                best.update(self.short(symbols, int(first[row]), int(last[row]), row))
+            for (row, item), (distance, begin) in sorted(best.items()):
+                yield a + row, item, int(np.count_nonzero(symbols[first[row]:begin] == 32)), distance
+
+    def short(self, symbols: np.ndarray, first: int, last: int, row: int) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+        """Items too short for the target recall: of most + 1 parts one is intact."""
+        text = symbols[first:last].tobytes().decode("utf-8", "replace")
+        for item in self.exact:
+            pattern, most, best = self.texts[item], self.most[item], None
+            m = len(pattern)
+            cuts = [m * j // (most + 1) for j in range(most + 2)]
+            where = set()
+            for lo, hi in zip(cuts, cuts[1:]):
+                p = text.find(pattern[lo:hi])
+                while p >= 0:
+                    where.add(max(p - lo, 0))
+                    p = text.find(pattern[lo:hi], p + 1)
+            seen = -1
+            for p in sorted(where):
+                if p <= seen:
                     continue
-                stretch = lowered(data[begin[lo]:end[hi - 1]]).tobytes().decode("utf-8", "replace").translate(_SPACES)
-                around = [w for w in stretch.split(" ") if w]
-                d = semi_global(pattern, " ".join(around))
-                if best is None or d < best[0]:
-                    best = d, max(p - int(first[row]), 0)
-            if best and best[0] <= max_rate * len(pattern):
-                yield a + row, item, best[1], best[0], len(pattern)
+                seen = p + m  # one stretch serves the places up to here
+                d = semi_global(pattern, text[max(p - most, 0):seen + m + most])
+                if d <= most and (best is None or d < best[0]):
+                    best = d, first + len(text[:p].encode("utf-8", "replace"))
+            if best:
+                yield (row, item), best
+
+
+def edited(text: str, edits: int, rng: random.Random) -> str:
+    """The text after that many random substitutions, insertions and removals
+    of characters; new ones are drawn from the text."""
+    out = list(text)
+    for _ in range(edits):
+        k, kind = rng.randrange(len(out)) if out else 0, rng.randrange(3)
+        out[k:k + (kind != 1)] = [rng.choice(text)] if kind < 2 else []
+    return "".join(out)
+
+
+def efforts(texts: list[str], max_rate: float, target: float, sample: int = 120) -> dict[int, int]:
+    """Length class -> least effort at which ``target`` of the edited copies of
+    its items are found inside other text; ``len(EFFORTS)``: none is enough.
+    ``sample`` copies a class, of items spread over the class."""
+    rng, out = random.Random(1), {}
+    classes: dict[int, list[str]] = {}
+    for t in texts:
+        classes.setdefault(len(t.encode("utf-8", "replace")).bit_length(), []).append(t)
+    for own, members in sorted(classes.items()):
+        members = [members[j * len(members) // sample] for j in range(sample)]
+        around = [rng.choice(members) for _ in members]
+        copies = pa.array([normal(f"{b} {edited(t, int(max_rate * len(t)), rng)} {b}") for t, b in zip(members, around)])
+        for level in range(len(EFFORTS) + 1):
+            out[own] = level
+            if level == len(EFFORTS):
+                break
+            items = Items([(0, t) for t in members], max_rate, effort={own: level})
+            found = {(row, items.texts[item]) for row, item, _, _ in items.search(copies)}
+            held = [semi_global(t, c) <= int(max_rate * len(t)) for t, c in zip(members, copies.to_pylist())]
+            if sum((r, t) in found for r, t in enumerate(members) if held[r]) >= target * sum(held):
+                break
+    return out
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = 16 << 20) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, max_rate: float, target: float, block_bytes: int = 4 << 20) -> Iterator[Items]:
     """The benchmark in blocks of about ``block_bytes``; one row per item_id and
-    text.  Null texts, and items of fewer than ``MIN_WORDS`` words, hold nothing
-    that could be called a leaked passage and are left out."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    text.  Null texts and texts without a word hold nothing that could be called
+    a leaked passage and are left out; a null item_id is an id like any other."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         # a repeated item_id counts as several items
-        yield Items([((r["item_id"], j), r["text"]) for j, r in enumerate(own)])
+        yield Items([(r["item_id"], r["text"]) for r in own], max_rate, target)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, target: float = 0.95) -> DataFrame:
     """doc_id, item_id, first_word, distance, item_chars: one row per document
-    row and benchmark item that it holds within ``max_rate`` edits a character.
+    row and benchmark item that it holds within ``max_rate`` edits a character;
+    of such places with evenly spread edits a share of ``target`` is found.
+    first_word is the word that the best place begins in, as the key sees it.
 
-    Null or empty texts hold nothing; null doc_ids stay null; repeated rows are
-    searched each; without documents or items there are no rows; extra columns
-    are ignored."""
+    Null or empty texts hold nothing; null doc_ids and item_ids stay null;
+    repeated rows are searched each; without documents or items there are no
+    rows; extra columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for items in item_blocks(benchmark):
+    for items in item_blocks(benchmark, max_rate, target):
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[r], i[0], *more) for r, i, *more in search(batch.column(1), items, max_rate)]
+                found = [(ids[r], items.ids[i], word, d, len(items.texts[i])) for r, i, word, d in items.search(batch.column(1))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)],
                                                      names=["doc_id", "item_id", "first_word", "distance", "item_chars"])
@@ -266,20 +415,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2) -> DataF
     return out
 
 
-def holds_item(text: Column, benchmark: DataFrame, max_rate: float = 0.2) -> Column:
-    """Boolean column: the text holds some benchmark item; for filters."""
+def holds_item(text: Column, benchmark: DataFrame, max_rate: float = 0.2, target: float = 0.95) -> Column:
+    """Boolean column: the text holds some benchmark item; for filters.  False
+    for null and empty texts and for a benchmark without items."""
     out = F.lit(False)
-    for items in item_blocks(benchmark):
-        out = out | _holds(items, max_rate)(text.cast("string"))
+    for items in item_blocks(benchmark, max_rate, target):
+        out = out | _holds(items)(text.cast("string"))
     return out
 
 
-def _holds(items: Items, max_rate: float):
+def _holds(items: Items):
     @F.arrow_udf("boolean")
     def leaked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
             hit = np.zeros(len(t), bool)
-            hit[[r for r, *_ in search(t, items, max_rate)]] = True
+            hit[[r for r, *_ in items.search(t)]] = True
             yield pa.array(hit)
 
     return leaked

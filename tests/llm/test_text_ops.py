@@ -200,12 +200,60 @@ def test_leaks(spark, docs):
 def test_leaks_of_short_items():
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(3, 9)))
-    rows = [((i, 0), " ".join(word() for _ in range(5 + i % 4))) for i in range(800)] + [((800, 0), "again " * 5 + "again"), ((801, 0), "once " * 20)]
+    rows = [(i, " ".join(word() for _ in range(5 + i % 4))) for i in range(800)] + [(800, "again " * 5 + "again"), (801, "once " * 20)]
     texts = [" ".join([word() for _ in range(20)] + [t] + [word() for _ in range(20)]) for _, t in rows] + [rows[0][1]]
-    found = {(row, i[0]) for row, i, _, distance, _ in decontam.search(pa.array(texts), decontam.Items(rows), 0.2) if not distance}
+    items = decontam.Items(rows, 0.2)
+    found = {(row, items.ids[i]) for row, i, _, distance in items.search(pa.array(texts)) if not distance}
     assert {(i, i) for i in range(802)} | {(802, 0)} <= found
-    for walk in range(decontam.WALKS):
-        assert len({tuple(decontam.coordinates(4, walk, t)) for t in range(decontam.TABLES)}) == decontam.TABLES
+    for walk in range(3):
+        assert len({tuple(decontam.coordinates(walk, t)) for t in range(decontam.TABLES)}) == decontam.TABLES
+
+
+@pytest.mark.parametrize("rate", [0, 0.05, 0.1, 0.15, 0.19])
+def test_leaks_at_the_promised_rate(rate):
+    """Recall of edited copies inside other text, up to the rate promised."""
+    rng = random.Random(11)
+    syllables = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiouéñ")) for _ in range(60)]
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(n))
+    rows = [(i, prose(rng.randrange(12, 70))) for i in range(150)]
+    items = decontam.Items(rows, 0.2)
+    texts = [f"{prose(30)}\n{edited(rng, t, int(rate * len(t)))} {prose(30)}" for _, t in rows]
+    found = {(row, items.ids[i]): d for row, i, _, d in items.search(pa.array(texts))}
+    for (row, i), d in found.items():  # never wrong, whatever the key said
+        assert d <= 0.2 * len(items.texts[i]) and d >= decontam.semi_global(items.texts[i], decontam.normal(texts[row]))
+    assert sum((i, i) in found for i in range(150)) >= (0.95 if rate else 1) * 150
+
+
+def test_leaks_against_brute_force():
+    """Items below the length at which keys suffice: every text and item."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 6))) for _ in range(n))
+    rows = [(i, prose(1 + i % 4)) for i in range(30)] + [(None, "zebra xylophone"), (None, "zebra xylophone"), (40, ""), (41, " \n")]
+    items = decontam.Items(rows, 0.2, effort={k: len(decontam.EFFORTS) for k in range(12)})
+    texts = [prose(40) for _ in range(40)] + ["", None, "a ZEBRA \n xylofone b"]
+    found = {(r, i): d for r, i, _, d in items.search(pa.array(texts))}
+    want = {}
+    for r, t in enumerate(texts):
+        for i, pattern in enumerate(items.texts):
+            d = decontam.semi_global(pattern, decontam.normal(t or ""))
+            if d <= items.most[i]:
+                want[r, i] = d
+    assert found == want and sum(items.ids[i] is None for _, i in found) == 2
+
+
+def test_leaks_of_awkward_rows(spark):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(n))
+    item, other = prose(30), prose(25)
+    long_text = f"{prose(400_000)} {item} {prose(100_000)}"  # megabytes, the passage far inside
+    docs = spark.createDataFrame([(1, long_text, 5), (1, item, 6), (1, item, 7), (None, other, 8), (2, None, 9), (3, "", 9), (4, prose(50), 9)],
+                                 "doc_id long, text string, item_id long")
+    bench = spark.createDataFrame([(7, item, "x"), (7, other, "y"), (None, item, "z"), (None, None, "z"), (9, "", "z")],
+                                  "item_id long, text string, doc_id string")
+    got = sorted(((r.doc_id, r.item_id, r.first_word, r.distance) for r in decontam.leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 7, 400_000, 0), (1, None, 400_000, 0), (1, 7, 0, 0), (1, 7, 0, 0), (1, None, 0, 0), (1, None, 0, 0), (None, 7, 0, 0)], key=str)
+    assert docs.where(decontam.holds_item(F.col("text"), bench)).count() == 4
+    assert docs.where(decontam.holds_item(F.col("text"), bench.limit(0))).count() == 0
 
 
 def test_near_dup_against_brute_force(spark):
