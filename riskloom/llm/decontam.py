@@ -362,17 +362,17 @@ def efforts(texts: list[str], max_rate: float, target: float, sample: int = 120)
     for t in texts:
         classes.setdefault(len(t.encode("utf-8", "replace")).bit_length(), []).append(t)
     for own, members in sorted(classes.items()):
+        members = sorted(set(members))
         members = [members[j * len(members) // sample] for j in range(sample)]
         around = [rng.choice(members) for _ in members]
-        copies = pa.array([normal(f"{b} {edited(t, int(max_rate * len(t)), rng)} {b}") for t, b in zip(members, around)])
-        for level in range(len(EFFORTS) + 1):
-            out[own] = level
-            if level == len(EFFORTS):
+        copies = [normal(f"{b} {edited(t, int(max_rate * len(t)), rng)} {b}") for t, b in zip(members, around)]
+        held = {r for r, t in enumerate(members) if semi_global(t, copies[r]) <= int(max_rate * len(t))}
+        for out[own] in range(len(EFFORTS) + 1):
+            if out[own] == len(EFFORTS):
                 break
-            items = Items([(0, t) for t in members], max_rate, effort={own: level})
-            found = {(row, items.texts[item]) for row, item, _, _ in items.search(copies)}
-            held = [semi_global(t, c) <= int(max_rate * len(t)) for t, c in zip(members, copies.to_pylist())]
-            if sum((r, t) in found for r, t in enumerate(members) if held[r]) >= target * sum(held):
+            items = Items([(0, t) for t in sorted(set(members))], max_rate, effort=out)
+            found = {(row, items.texts[item]) for row, item, _, _ in items.search(pa.array(copies))}
+            if sum((r, members[r]) in found for r in held) >= target * len(held):
                 break
     return out
 
