@@ -13,9 +13,13 @@ at the best one.  A leaf's weight is ``-rate * G / (H + l2)``.
 
 Gradients are summed as 64-bit fixed-point integers, so the sums, and with them
 the trees, do not depend on how rows are dealt over tasks or on retries.  Rows
-and columns of a tree are sampled by hash.  Margins lie in the written training
-table; the trees since are evaluated on the fly, and every ``refresh`` trees the
-table is written anew, which also bounds what a lost executor costs.
+and columns of a tree are sampled by hash.
+
+The binned training table is written once, a row per block of up to
+``ROWS_A_TASK`` training rows, and held as an RDD of arrays, so a level's job has
+no plan to make and no rows to convert.  Margins lie in the blocks: the first job
+of a tree adds the tree before to them.  Every ``refresh`` trees the blocks are
+checkpointed, which bounds what a lost executor costs.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +40,11 @@ BINS = 255          # bin numbers 1..255, 0 is missing: one byte
 FIXED = 1 << 24     # gradients and hessians are summed in units of 2^-24
 LEAST_GAIN = 1e-6
 ROWS_A_TASK = 50_000
-FEW_TASKS = 8
-STATE = "key long, y double, w double, b binary, margin double"
+LEAST_ROWS = 10_000  # fewer rows would cost less than their task
+FEW_TASKS = 32
+PARTS = ("key", "y", "w", "b", "margin")
+STATE = ", ".join(f"{c} binary" for c in PARTS)
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bins: feature x row
 
 
 @dataclass
@@ -198,69 +206,85 @@ class BoostedTrees:
         return (mean / mean.sum()).tolist() if mean.sum() else mean.tolist()
 
 
-def _batch(batch: pa.RecordBatch, n_features: int, pending: list[Tree]) -> tuple[np.ndarray, ...]:
-    b = np.frombuffer(b"".join(batch.column("b").to_pylist()), np.uint8).reshape(batch.num_rows, n_features)
-    margin = batch.column("margin").to_numpy(zero_copy_only=False)
-    for t in pending:
-        margin = margin + t.values_of(b)
-    return b, margin
-
-
-def level_sums(state: DataFrame, tasks: int, pending: list[Tree], tree: Tree, number: int, open_: list[int], columns: list[int],
-               n_features: int, s: BoostSettings) -> np.ndarray:
+def _after(block: Block, tree: Tree) -> Block:
+    """The block with the tree added to its margins."""
+    return *block[:4], block[4] + tree.values_of(block[3].T)
+
+
+def block_sums(blocks: Iterator[Block], tree: Tree, number: int, open_: list[int], columns: list[int], bins: int,
+               s: BoostSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and hessian sums of one task's rows by (open node, feature, bin)
+    in one line: the places that hold any, and their sums (2 x places)."""
+    width = len(columns) * (bins + 1)
+    total = np.zeros((2, len(open_), len(columns), bins + 1), np.int64)
+    place = np.full(len(tree.feature), -1)
+    place[open_] = np.arange(len(open_))
+    for key, y, w, b, margin in blocks:
+        at = place[tree.node_of(b.T)]
+        rows = np.flatnonzero((at >= 0) & sampled_rows(key, number, s))
+        sides = gradients(margin[rows], y[rows], w[rows])
+        slot = at[rows] * (bins + 1)
+        for c, column in enumerate(columns):
+            own = slot + b[column, rows]
+            for side, v in enumerate(sides):
+                total[side, :, c] += np.bincount(own, v, len(open_) * (bins + 1)).astype(np.int64).reshape(len(open_), bins + 1)
+    flat = total.reshape(2, len(open_) * width)
+    used = np.flatnonzero(flat.any(0))
+    return used, flat[:, used]
+
+
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of sums as one."""
+    used, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    out = np.zeros((2, len(used)), np.int64)
+    out[:, at[:len(a[0])]] = a[1]
+    out[:, at[len(a[0]):]] += b[1]
+    return used, out
+
+
+def level_sums(state: RDD, tasks: int, tree: Tree, number: int, open_: list[int], columns: list[int], s: BoostSettings) -> np.ndarray:
     """Gradient and hessian sums (open node x feature x bin x 2) of one level: one
     job.  The tables of up to ``FEW_TASKS`` tasks are added here; those of more
-    tasks are added by Spark first, so one table comes back."""
-    width = len(columns) * (BINS + 1)
+    tasks are added by Spark first, so few tables come back."""
+    bins = BINS
+    found = state.mapPartitions(lambda blocks: [block_sums(blocks, tree, number, open_, columns, bins, s)])
+    tables = [found.treeReduce(_added)] if tasks > FEW_TASKS else found.collect()
+    sums = np.zeros((len(open_) * len(columns) * (bins + 1), 2), np.int64)
+    for used, values in tables:
+        sums[used] += values.T
+    return sums.reshape(len(open_), len(columns), bins + 1, 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(open_) * width), np.int64)
-        place = np.full(len(tree.feature), -1)
-        place[open_] = np.arange(len(open_))
-        offsets = np.arange(len(columns)) * (BINS + 1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            b, margin = _batch(batch, n_features, pending)
-            at = place[tree.node_of(b)]
-            rows = np.flatnonzero((at >= 0) & sampled_rows(batch.column("key").to_numpy(), number, s))
-            if not len(rows):
-                continue
-            y, w = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("y", "w"))
-            slots = (at[rows, None] * width + offsets + b[np.ix_(rows, columns)]).ravel()
-            for side, v in enumerate(gradients(margin[rows], y, w)):
-                total[side] += np.bincount(slots, np.repeat(v, len(columns)), total.shape[1]).astype(np.int64)
-        used = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], names=["slot", "g", "h"])
-
-    found = state.mapInArrow(run, "slot long, g long, h long")
-    if tasks > FEW_TASKS:
-        found = found.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    table = found.toArrow()
-    sums = np.zeros((len(open_) * width, 2), np.int64)
-    for i, side in enumerate(("g", "h")):
-        np.add.at(sums[:, i], table.column("slot").to_numpy(), table.column(side).to_numpy())
-    return sums.reshape(len(open_), len(columns), BINS + 1, 2)
-
-
-def _with_margins(state: DataFrame, pending: list[Tree], n_features: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, margin = _batch(batch, n_features, pending)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margin)], names=batch.schema.names)
 
-    return state.mapInArrow(run, STATE)
+def _block_row(parts: list[np.ndarray]) -> pa.RecordBatch:
+    """One row of the written table."""
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts], names=list(PARTS))
+
+
+def _blocks(rows: DataFrame, n_features: int) -> RDD:
+    """The written blocks as arrays."""
+    def block(r) -> Block:
+        key, y, w, margin = (np.frombuffer(r[c], np.int64 if c == "key" else np.float64) for c in ("key", "y", "w", "margin"))
+        return key, y, w, np.frombuffer(r["b"], np.uint8).reshape(n_features, len(key)), margin
+
+    return rows.rdd.map(block)
 
 
-def _binned_rows(train: DataFrame, edges: list[list[float]]) -> DataFrame:
+def _binned_rows(train: DataFrame, edges: list[list[float]], most: int) -> DataFrame:
+    """Blocks of up to ``most`` rows: key, y, w, bins (feature by feature) and a margin of 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            if batch.num_rows:
-                b = binned(matrix(batch.column("x"), len(edges)), edges)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("key", "y", "w")), pa.array([r.tobytes() for r in b], pa.binary()), pa.array(np.zeros(len(b)))],
-                    names=["key", "y", "w", "b", "margin"])
+            for a in range(0, batch.num_rows, most):
+                part = batch.slice(a, most)
+                if rows + part.num_rows > most:
+                    yield _block_row([np.concatenate(p, -1) for p in zip(*held)])
+                    held, rows = [], 0
+                b = binned(matrix(part.column("x"), len(edges)), edges)
+                held.append([*(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "y", "w")), b.T, np.zeros(len(b))])
+                rows += part.num_rows
+        if held:
+            yield _block_row([np.concatenate(p, -1) for p in zip(*held)])
 
     return train.select("key", "y", "w", "x").mapInArrow(run, STATE)
 
@@ -270,25 +294,29 @@ def fit(train: DataFrame, n_features: int, s: BoostSettings | None = None) -> Bo
     w (weight) and x (array of ``n_features`` doubles; null or NaN is missing)."""
     s = s or BoostSettings()
     edges = bin_edges(train, n_features)
-    state = materialize(_binned_rows(train, edges), "boost")
-    # a job a level: tasks of few rows would cost more than the rows
-    tasks = max(1, state.count() // ROWS_A_TASK)
-    state = state.coalesce(tasks).persist()  # fewer partitions, never more
+    sc = train.sparkSession.sparkContext
+    # a job a level: tasks of few rows would cost more than the rows, and full waves end together
+    rows, cores = train.count(), sc.defaultParallelism
+    tasks = max(1, min(rows // min(LEAST_ROWS, ROWS_A_TASK), -(-rows // (ROWS_A_TASK * cores)) * cores))
+    table = materialize(_binned_rows(train.repartition(tasks), edges, ROWS_A_TASK), "boost")
+    state = _blocks(table, n_features).persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[Tree] = []
-    pending: list[Tree] = []
     for number in range(s.rounds):
         columns = sampled_columns(n_features, number, s)
-        tree, open_ = Tree(), [0]
+        tree, open_, before = Tree(), [0], None
+        if trees:
+            before, last = state, trees[-1]
+            state = before.map(lambda block, last=last: _after(block, last)).persist(StorageLevel.MEMORY_AND_DISK)
+            if number % s.refresh == 0:
+                state.checkpoint()
         for _ in range(s.depth):
-            sums = level_sums(state, tasks, pending, tree, number, open_, columns, n_features, s)
+            sums = level_sums(state, tasks, tree, number, open_, columns, s)
+            if before is not None:
+                before.unpersist()  # the first level's job has made the margins
+                before = None
             open_ = grow_level(tree, open_, sums, columns, s)
             if not open_:
                 break
         trees.append(tree)
-        pending.append(tree)
-        if len(pending) == s.refresh and number + 1 < s.rounds:
-            newer = materialize(_with_margins(state, pending, n_features), "boost").coalesce(tasks).persist()
-            state.unpersist()
-            state, pending = newer, []
     state.unpersist()
     return BoostedTrees(edges, trees)

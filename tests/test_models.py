@@ -98,6 +98,24 @@ def test_boosting_does_not_depend_on_the_partitioning(spark, monkeypatch):
     assert boost.fit(d.repartition(13), 5, s).trees == one
 
 
+def test_a_level_is_one_job_over_several_tasks_and_margins_need_no_job(spark, monkeypatch):
+    key, y, w, x = training_data(5, 400)
+    d = frame(spark, key, y, w, x)
+    monkeypatch.setattr(boost, "LEAST_ROWS", 200)
+    levels = []
+    real = boost.level_sums
+    monkeypatch.setattr(boost, "level_sums", lambda state, *rest: (levels.append(state), real(state, *rest))[1])
+    s = boost.BoostSettings(rounds=5, depth=2, refresh=2)
+    sc = spark.sparkContext
+    sc.setJobGroup("boost-levels", "")
+    trees = boost.fit(d, 5, s).trees
+    jobs = len(sc.statusTracker().getJobIdsForGroup("boost-levels"))
+    sc.setJobGroup("", "")
+    assert {state.getNumPartitions() for state in levels} == {2}  # was 1 for any table under 50,000 rows
+    assert len(levels) <= s.rounds * s.depth and jobs <= len(levels) + 2 * (s.rounds // s.refresh) + 10
+    assert boost.fit(d, 5, boost.BoostSettings(rounds=5, depth=2, refresh=1)).trees == trees
+
+
 def test_boosting_on_one_class_and_on_missing_values_only(spark):
     key, y, w, x = training_data(2, 60)
     one = boost.fit(frame(spark, key, np.zeros(60), w, x), 5, boost.BoostSettings(rounds=2))
