@@ -9,6 +9,9 @@ costs one pre-aggregated row per task, not a hot reducer.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +43,9 @@ def _line_revenue_units() -> F.Column:
 
 
 def order_category_lines(t: RawTables) -> DataFrame:
-    """Per (order, category): line revenue (1e-4 units), lines and returned lines."""
-    return t.shared("order_category_lines", lambda: _order_category_lines(t))
-
+    """Per (order, category): line revenue (1e-4 units), lines and returned lines.
 
-def _order_category_lines(t: RawTables) -> DataFrame:
-    """One pass over the line table: lines meet their part (Spark broadcasts it
+    One pass over the line table: lines meet their part (Spark broadcasts it
     only when its measured size is under the threshold) and are added up per
     (order, category) with map-side partial sums.  A line without a part, or
     whose part has no type, counts for its order but has no category."""
@@ -57,58 +57,89 @@ def _order_category_lines(t: RawTables) -> DataFrame:
                  F.count_if(F.col("l_returnflag") == S.RETURN_FLAG).alias("returned")))
 
 
-def share_order_facts(t: RawTables) -> RawTables:
-    """Write the (order, category) totals once to the checkpoint folder, for
-    plans that derive features several times (e.g. a current run and an older
-    snapshot): the line table is then aggregated once, not once per snapshot."""
+def share_order_facts(t: RawTables, lags: list[int]) -> RawTables:
+    """For plans that derive features of several snapshots (``lags`` in days; 0 is
+    the current run): the order statistics of all of them from one pass over the
+    fact tables, and the event statistics, which no cut of the orders changes, are
+    written once to the checkpoint folder."""
     from riskloom.session import materialize
-    t.derived["order_category_lines"] = materialize(_order_category_lines(t), "order-categories")
+    snaps = {lag: t.snapshot(lag) if lag else t for lag in lags}
+    t.derived["event_stats"] = materialize(customer_event_stats(t), "event-stats")
+    held = materialize(_order_stats(t, {lag: s.visible() for lag, s in snaps.items()}), "order-stats")
+    for lag in lags:
+        t.derived["order_stats", lag] = held.where(F.col(f"rows_{lag}") > 0).select("user_id", *[F.col(f"{c}_{lag}").alias(c) for c in ORDER_STATS])
     return t
 
 
-def order_facts(t: RawTables) -> DataFrame:
+ORDER_STATS = ["total_orders", "cancelled_orders", "returned_lines", "returned_orders", "orders_with_lines", "first_order_ts",
+               "last_complete_ts", "line_revenue", "distinct_categories", "top_category", "lines"]
+
+
+def order_facts(t: RawTables, visible: dict[int, F.Column]) -> DataFrame:
     """One row per (order, category), and one for an order without lines: customer,
-    status, date and line totals.  ``first`` marks one row of every order, where
-    its own measures count; ``order_returned`` is the order's total.  Both come
-    from a window over the order key, by which the join has placed and sorted
-    the rows; an order's rows are bounded by the category domain."""
-    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"),
-                        "o_orderstatus", "o_orderdate")
+    status, date and line totals, and for every snapshot (name: which orders it
+    sees) whether it sees the row (``seen``), whether the row is the one of its
+    order where the order's own measures count (``first``), and the order's
+    returned lines.  The last two come from windows over the order key, by which the
+    join has placed and sorted the rows; an order's rows are bounded by the category
+    domain."""
+    o = t.table("orders").where(reduce(or_, visible.values())).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"),
+                                 "o_orderstatus", "o_orderdate", *[F.coalesce(v, F.lit(False)).alias(f"seen_{k}") for k, v in visible.items()])
+    out = o.join(order_category_lines(t), "l_orderkey", "left")
+    # the join's own order serves every window: nothing is sorted again
     own = Window.partitionBy("l_orderkey")
-    return (o.join(order_category_lines(t), "l_orderkey", "left")
-            .withColumn("first", F.row_number().over(own.orderBy("l_orderkey")) == 1)
-            .withColumn("order_returned", F.sum("returned").over(own)))
+    so_far = own.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = {f"place_{k}": F.sum(F.col(f"seen_{k}").cast("int")).over(so_far) for k in visible}
+    returned = {f"order_returned_{k}": F.sum(F.when(F.col(f"seen_{k}"), F.col("returned"))).over(own) for k in visible}
+    out = out.withColumns(places).withColumns(returned)
+    return out.withColumns({f"first_{k}": F.col(f"seen_{k}") & (F.col(f"place_{k}") == 1) for k in visible})
 
 
 def customer_order_stats(t: RawTables) -> DataFrame:
     """Per customer, from its order facts: completed / cancelled counts, first
     order of any status, last completed order, revenue and return counts over
     the lines of completed orders, distinct categories of these, and the
-    category with most lines (ties alphabetical).
+    category with most lines (ties alphabetical)."""
+    lag = t.orders_lag_days or 0
+    return t.shared(("order_stats", lag), lambda: _order_stats(t, {lag: t.visible()}).where(F.col(f"rows_{lag}") > 0).select(
+        "user_id", *[F.col(f"{c}_{lag}").alias(c) for c in ORDER_STATS]))
+
+
+def _order_stats(t: RawTables, visible: dict[int, F.Column]) -> DataFrame:
+    """``customer_order_stats`` of every snapshot, side by side, and the rows each sees.
 
     One linear plan, summed per (customer, category) and then per customer: it
-    reads ``orders`` and ``lineitem`` once."""
+    reads ``orders`` and ``lineitem`` once.  Orders that no snapshot sees are left
+    out at the scan."""
     complete = F.col("o_orderstatus") == S.STATUS_COMPLETE
-    once = complete & F.col("first")
     category = F.when(complete, F.col("p_type"))  # of completed orders only
-    partial = (order_facts(t).groupBy("user_id", category.alias("p_type"))
-               .agg(F.count_if(once).alias("total_orders"),
-                    F.count_if(F.col("first") & (F.col("o_orderstatus") == S.STATUS_CANCELLED)).alias("cancelled_orders"),
-                    F.min("o_orderdate").alias("first_order_ts"),
-                    F.max(F.when(complete, F.col("o_orderdate"))).alias("last_complete_ts"),
-                    F.sum(F.when(complete, F.col("units").cast("decimal(38,0)"))).alias("units"),
-                    F.sum(F.when(complete, F.col("lines"))).alias("lines"),
-                    F.sum(F.when(complete, F.col("returned"))).alias("returned_lines"),
-                    F.count_if(once & (F.col("order_returned") > 0)).alias("returned_orders"),
-                    F.count_if(once & F.col("lines").isNotNull()).alias("orders_with_lines")))
-    counts = ["total_orders", "cancelled_orders", "returned_lines", "returned_orders", "orders_with_lines"]
-    order_key = F.when(F.col("p_type").isNotNull(), F.struct((-F.col("lines")).alias("neg_lines"), F.col("p_type").alias("name")))
-    return (partial.groupBy("user_id")
-            .agg(*[F.sum(c).alias(c) for c in counts], F.min("first_order_ts").alias("first_order_ts"),
-                 F.max("last_complete_ts").alias("last_complete_ts"),
-                 (F.sum("units") / F.lit(10000)).cast("decimal(18,2)").alias("line_revenue"),
-                 F.count("p_type").alias("distinct_categories"), F.min_by("p_type", order_key).alias("top_category"),
-                 F.sum("lines").alias("lines")))
+
+    def partial(k) -> list[F.Column]:
+        seen = F.col(f"seen_{k}")
+        once = complete & F.col(f"first_{k}")
+        aggs = {"rows": F.count_if(seen),
+                "total_orders": F.count_if(once),
+                "cancelled_orders": F.count_if(F.col(f"first_{k}") & (F.col("o_orderstatus") == S.STATUS_CANCELLED)),
+                "first_order_ts": F.min(F.when(seen, F.col("o_orderdate"))),
+                "last_complete_ts": F.max(F.when(seen & complete, F.col("o_orderdate"))),
+                "units": F.sum(F.when(seen & complete, F.col("units").cast("decimal(38,0)"))),
+                "lines": F.sum(F.when(seen & complete, F.col("lines"))),
+                "returned_lines": F.sum(F.when(seen & complete, F.col("returned"))),
+                "returned_orders": F.count_if(once & (F.col(f"order_returned_{k}") > 0)),
+                "orders_with_lines": F.count_if(once & F.col("lines").isNotNull())}
+        return [c.alias(f"{name}_{k}") for name, c in aggs.items()]
+
+    def total(k) -> list[F.Column]:
+        counts = ["rows", "total_orders", "cancelled_orders", "returned_lines", "returned_orders", "orders_with_lines", "lines"]
+        name = F.when(F.col(f"rows_{k}") > 0, F.col("p_type"))
+        order_key = F.when(name.isNotNull(), F.struct((-F.col(f"lines_{k}")).alias("neg_lines"), name.alias("name")))
+        return [*[F.sum(f"{c}_{k}").alias(f"{c}_{k}") for c in counts], F.min(f"first_order_ts_{k}").alias(f"first_order_ts_{k}"),
+                F.max(f"last_complete_ts_{k}").alias(f"last_complete_ts_{k}"),
+                (F.sum(f"units_{k}") / F.lit(10000)).cast("decimal(18,2)").alias(f"line_revenue_{k}"),
+                F.count(name).alias(f"distinct_categories_{k}"), F.min_by(name, order_key).alias(f"top_category_{k}")]
+
+    per = order_facts(t, visible).groupBy("user_id", category.alias("p_type")).agg(*[c for k in visible for c in partial(k)])
+    return per.groupBy("user_id").agg(*[c for k in visible for c in total(k)])
 
 
 def customer_event_stats(t: RawTables) -> DataFrame:
@@ -147,7 +178,7 @@ def feature_base(t: RawTables) -> DataFrame:
     """The wide feature table (FEATURE_SCHEMA), one row per customer."""
     dims = customer_dimensions(t)
     o = customer_order_stats(t)
-    ev = customer_event_stats(t)
+    ev = t.shared("event_stats", lambda: customer_event_stats(t))
     j = dims.join(o, "user_id", "left").join(ev, "user_id", "left")
 
     total_orders = F.coalesce(F.col("total_orders"), F.lit(0).cast("long"))

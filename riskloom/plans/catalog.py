@@ -439,11 +439,11 @@ def q_recent_turns(spark, d):
 # -------------------------------------------------- merge, backfill, checks
 def _existing_and_incoming(spark, d):
     """Served tables of the one-year-older run (existing) and of the current
-    run (incoming).  The two runs share the per-order line facts and are
+    run (incoming).  The two runs share one pass over the fact tables and are
     otherwise independent, so they are built from two threads: their jobs
     (writes, sorts, count collects) run side by side on the cluster instead
     of one after the other.  Thread-local job properties are inherited."""
-    t = features.share_order_facts(_t(spark, d))
+    t = features.share_order_facts(_t(spark, d), [SNAPSHOT_LAG_DAYS, 0])
     build = inheritable_thread_target(spark)(served)
     with ThreadPoolExecutor(max_workers=2) as pool:
         existing = pool.submit(build, t.snapshot(SNAPSHOT_LAG_DAYS))
@@ -473,8 +473,8 @@ LOADS = [365, 180, 0]  # the stored tables are loaded as of these days before th
 
 def _loads(spark, d):
     """(reference date, customers, risk scores) of each load, oldest first.  The
-    line facts are shared; the runs are independent and built side by side."""
-    t = features.share_order_facts(_t(spark, d))
+    pass over the fact tables is shared; the runs are independent and built side by side."""
+    t = features.share_order_facts(_t(spark, d), LOADS)
     build = inheritable_thread_target(spark)(served)
     snaps = [t.snapshot(lag) if lag else t for lag in LOADS]
     with ThreadPoolExecutor(max_workers=len(snaps)) as pool:

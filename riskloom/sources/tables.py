@@ -52,7 +52,7 @@ class RawTables:
         """The same tables as of ``lag_days`` before the latest order: orders
         after the cut are invisible, so every derived feature is as it was
         then (an earlier load of the served tables).  Intermediate tables that
-        do not depend on the cut (per-order line totals) are shared."""
+        do not depend on the cut (event totals) are shared, as are those made for it."""
         return RawTables(self.spark, self.root, lag_days, self.derived, self.scans)
 
     def shared(self, name: str, build):
@@ -73,10 +73,11 @@ class RawTables:
 
     @property
     def orders(self) -> DataFrame:
-        o = self.table("orders")
-        if self.orders_lag_days:
-            o = o.where(F.col("o_orderdate") <= self._orders_cut())
-        return o
+        return self.table("orders").where(self.visible()) if self.orders_lag_days else self.table("orders")
+
+    def visible(self) -> F.Column:
+        """Whether an order lies before the cut."""
+        return F.col("o_orderdate") <= self._orders_cut() if self.orders_lag_days else F.lit(True)
 
     def _orders_cut(self) -> F.Column:
         """Latest order time minus the lag, as a literal: computed once (one

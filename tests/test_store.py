@@ -157,3 +157,32 @@ def test_bad_cells_are_rejected_one_by_one(spark, tmp_path):
     bad = sorted((r.key, r["column"], r.cause) for r in rejects.collect())
     assert bad == sorted([("2", "d", "not a number"), ("2", "flag", "not a boolean"), ("3", "n", "not whole"), ("3", "x", "not a number"),
                           ("3", "d", "out of range"), ("4", "n", "out of range"), ("5", "", "wrong number of cells"), ("6", "", "wrong number of cells")])
+
+
+def test_snapshots_share_one_pass_over_the_facts(spark, tmp_path):
+    """Order statistics of all loads at once equal those of each load alone, also
+    for repeated orders and orders without lines; the facts are read before."""
+    from datetime import datetime
+    from pyspark.sql import functions as F
+    from riskloom.operators import features
+    from riskloom.sources.tables import RAW_SCHEMAS, RawTables
+    day = lambda m, d: datetime(2020, m, d)
+    orders = [(1, 7, "F", 1.0, day(1, 5), "x"), (2, 7, "F", 1.0, day(6, 5), "x"), (3, 8, "P", 1.0, day(9, 1), "x"), (3, 8, "P", 1.0, day(9, 1), "x"),
+              (4, 9, "F", 1.0, day(12, 31), "x"), (5, 7, "F", 1.0, None, "x"), (6, 9, "F", 1.0, day(2, 1), "x")]
+    lines = [(o, p, 1, n, 1.0, 10.0 * n, 0.1, 0.0, f, "O", day(1, 1)) for o, p, n, f in
+             [(1, 1, 1, "R"), (1, 2, 2, "N"), (2, 2, 1, "N"), (3, 1, 1, "R"), (4, 2, 1, "R"), (5, 1, 3, "N")]]
+    rows = {"orders": orders, "lineitem": lines, "part": [(1, "a", "b", "T1", 1, 1.0), (2, "a", "b", "T2", 1, 1.0)],
+            "events": [(1, day(1, 1), 7, "purchase", 1.0, "")]}
+    for name, own in rows.items():
+        spark.createDataFrame(own, RAW_SCHEMAS[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    lags = [200, 30, 0]
+    def stats(t):
+        return sorted(map(tuple, features.customer_order_stats(t).select("user_id", *features.ORDER_STATS).collect()))
+    alone = {lag: stats(RawTables(spark, str(tmp_path)).snapshot(lag)) for lag in lags}
+    t = features.share_order_facts(RawTables(spark, str(tmp_path)), lags)
+    for lag in lags:
+        assert stats(t.snapshot(lag)) == alone[lag]
+        read = " ".join(features.customer_order_stats(t.snapshot(lag)).inputFiles())
+        assert "lineitem" not in read and "orders.parquet" not in read
+    assert {lag: [(r[0], r[1]) for r in alone[lag]] for lag in lags} == {200: [(7, 2), (9, 1)], 30: [(7, 2), (8, 0), (9, 1)], 0: [(7, 3), (8, 0), (9, 2)]}
+    assert "events.parquet" not in " ".join(t.derived["event_stats"].inputFiles())
