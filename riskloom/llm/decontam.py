@@ -9,14 +9,13 @@ keys of several walks bring the recall to its target.
 
 Symbols are the bytes of the text, lower-cased in ASCII, white space as one
 blank.  At one edit in five characters a walk over a whole item hardly ever
-ends in step, so an item is embedded from many of its places (those whose next
-three symbols hash low), and the document from the same ones.  A shared key
-proposes an item-sized window of the document.  A proposal must first match a
+ends in step, so an item is embedded from all of its places, and the document
+from all of its own.  A shared key proposes an item-sized window of the document.  A proposal must first match a
 piece of 64 symbols around the key (an item within r edits a symbol has a piece
 within r); then the whole item is searched in its window by exact semi-global
 edit distance over characters (bit-parallel).
 
-How many places and walks an item gets follows from the target recall: copies
+How many walks an item gets follows from the target recall: copies
 of items with ``max_rate`` random edits are searched on the driver for every
 length class, with rising effort until the target is reached.  Items too short
 for it are searched exactly: of k + 1 parts of an item with at most k edits one
@@ -42,10 +41,10 @@ from riskloom.llm import wordhash as W
 _U = np.uint64
 SCHEMA = "doc_id long, item_id long, first_word long, distance long, item_chars long"
 STEPS, SAMPLED, TABLES = 32, 16, 2
-# (share of places embedded, walks), by rising effort
-EFFORTS = ((0.125, 1), (0.125, 2), (0.25, 2), (0.5, 2), (1.0, 3))
+# walks from every place, by rising effort
+EFFORTS = (1, 2, 3)
 PIECE, STRIDE, DRIFT = 64, 16, 16
-_RUN = 1 << 15
+_RUN = 1 << 13  # places at a time: what a walk touches stays in the cache
 _SPACES = {c: " " for c in range(0x09, 0x0E)}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -75,16 +74,9 @@ def lowered(text: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in text).translate(_SPACES)
 
 
-def anchors(symbols: np.ndarray, share: float) -> np.ndarray:
-    """Places whose next three symbols hash below ``share``."""
-    s = symbols.astype(np.uint32)
-    g = s[:-2] | s[1:-1] << np.uint32(8) | s[2:] << np.uint32(16)
-    g *= np.uint32(0x9E3779B1)
-    g ^= g >> np.uint32(15)
-    g *= np.uint32(0x85EBCA77)
-    g ^= g >> np.uint32(13)
-    at = np.flatnonzero(g <= np.uint32(share * 0xFFFFFFFF))
-    return at[symbols[at] > 0]
+def places(symbols: np.ndarray) -> np.ndarray:
+    """The places of all symbols, without the zeros between texts."""
+    return np.flatnonzero(symbols)
 
 
 def embed(symbols: np.ndarray, walk: int) -> np.ndarray:
@@ -123,10 +115,10 @@ def window_keys(symbols: np.ndarray, start: np.ndarray, walks: int) -> Iterator[
             for t, step in enumerate(steps(embedded, own)):
                 for key, taken in zip(keys, sampled[walk]):
                     if t in taken:
-                        key *= _U(W._STEP)
                         key += step
+                        key *= _U(W._STEP)
             for table, key in enumerate(keys):
-                yield walk * TABLES + table, a, W.mix(key, 30)
+                yield walk * TABLES + table, a, key
 
 
 def semi_global(pattern: str, text: str) -> int:
@@ -220,12 +212,12 @@ class Keys:
     def __init__(self, keys: np.ndarray, item: np.ndarray, offset: np.ndarray):
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.offset = keys[order], item[order], offset[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.keys >> _U(44)).astype(np.int64)] = True
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[(self.keys >> _U(42)).astype(np.int64)] = True
 
     def hits(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the window, index of the owner) of every shared key."""
-        hit = np.flatnonzero(np.take(self.filter, (key >> _U(44)).view(np.int64)))
+        hit = np.flatnonzero(np.take(self.filter, (key >> _U(42)).view(np.int64)))
         lo = np.searchsorted(self.keys, key[hit])
         n = np.searchsorted(self.keys, key[hit], side="right") - lo
         run = np.repeat(np.cumsum(n) - n, n)
@@ -248,15 +240,15 @@ class Items:
         level = np.array([effort[len(b).bit_length()] for b in raw], np.int64)
         self.exact = [j for j in range(len(raw)) if level[j] == len(EFFORTS)]
         self.pieces = Pieces(raw)
-        self.share, self.walks = 0.0, 0
+        self.walks = 0
         found: dict[int, list[tuple]] = {}
         for own in sorted(set(level.tolist()) - {len(EFFORTS)}):
-            share, walks = EFFORTS[own]
-            self.share, self.walks = max(self.share, share), max(self.walks, walks)
+            walks = EFFORTS[own]
+            self.walks = max(self.walks, walks)
             mine = np.flatnonzero(level == own)
             data = np.frombuffer(b"".join(raw[j] for j in mine), np.uint8)
             symbols, first, _ = symbols_of(data, np.concatenate([[0], np.cumsum(self.size[mine])]))
-            at = anchors(symbols, share)
+            at = places(symbols)
             k = np.searchsorted(first, at, side="right") - 1
             for table, a, key in window_keys(symbols, at, walks):
                 run = slice(a, a + len(key))
@@ -267,11 +259,11 @@ class Items:
         """(text, item, symbol where the item would begin), sorted, of all hits
         whose piece is near enough."""
         parts = []
-        places = anchors(symbols, self.share) if self.tables else np.zeros(0, np.int64)
-        for k, a, key in window_keys(symbols, places, self.walks):
+        starts = places(symbols) if self.tables else np.zeros(0, np.int64)
+        for k, a, key in window_keys(symbols, starts, self.walks):
             if k in self.tables:
                 window, owner = self.tables[k].hits(key)
-                parts.append((places[a + window], self.tables[k].item[owner], self.tables[k].offset[owner]))
+                parts.append((starts[a + window], self.tables[k].item[owner], self.tables[k].offset[owner]))
         if not parts:
             return (np.zeros(0, np.int64),) * 3
         at, item, offset = (np.concatenate(p) for p in zip(*parts))
@@ -284,8 +276,8 @@ class Items:
         at, item, offset = at[new], item[new], offset[new]
         text = np.searchsorted(first, at, side="right") - 1
         near = np.zeros(len(at), bool)
-        for a in range(0, len(at), _RUN // 4):
-            s = slice(a, a + _RUN // 4)
+        for a in range(0, len(at), _RUN):
+            s = slice(a, a + _RUN)
             d, size = self.pieces.distance(symbols, first[text[s]], last[text[s]], item[s], offset[s], at[s])
             near[s] = d <= 1.5 * self.max_rate * size
         text, item, begin = text[near], item[near], (at - offset)[near]

@@ -422,3 +422,16 @@ def test_learned_list_equals_plain_covering(spark, seed):
     got = [[(c.feature, c.cut, c.below) for c in rule] for rule in decision_list.learn(cells)]
     want = [list(r) for r in plain_rules(train, prune)]
     assert got == want and len(want) >= 2
+
+
+def test_every_place_of_items_and_documents_is_embedded():
+    from riskloom.llm import decontam as D
+    text = "the quick brown fox jumps over the lazy dog while seven other animals watch it from the hill behind the old mill"
+    items = D.Items([(1, text)], 0.2, effort={len(text).bit_length(): 0})
+    assert items.tables
+    for keys in items.tables.values():  # a share of one in eight before
+        assert sorted(keys.offset.tolist()) == list(range(len(text)))
+    data = np.frombuffer(f"{text} {text}".encode(), np.uint8)
+    symbols, first, last = D.symbols_of(data, np.array([0, len(text), len(data)]))
+    seen = [first[0] + i for i in range(len(text))] + [p for p in range(int(first[1]), int(last[1]))]
+    assert D.places(symbols).tolist() == seen
