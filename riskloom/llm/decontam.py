@@ -255,9 +255,9 @@ class Items:
                 found.setdefault(table, []).append((key, mine[k[run]], (at - first[k])[run]))
         self.tables = {table: Keys(*(np.concatenate(x) for x in zip(*parts))) for table, parts in found.items()}
 
-    def proposals(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, symbol where the item would begin), sorted, of all hits
-        whose piece is near enough."""
+    def proposals(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, symbol where the item would begin, keys that say so),
+        sorted, of all hits whose piece is near enough."""
         parts = []
         starts = places(symbols) if self.tables else np.zeros(0, np.int64)
         for k, a, key in window_keys(symbols, starts, self.walks):
@@ -265,24 +265,30 @@ class Items:
                 window, owner = self.tables[k].hits(key)
                 parts.append((starts[a + window], self.tables[k].item[owner], self.tables[k].offset[owner]))
         if not parts:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 4
         at, item, offset = (np.concatenate(p) for p in zip(*parts))
-        # one hit for each 16 places along and across the diagonal
+        order = np.lexsort((at - offset, item))
+        at, item, offset = at[order], item[order], offset[order]
+        own = np.ones(len(at), bool)
+        own[1:] = (item[1:] != item[:-1]) | ((at - offset)[1:] != (at - offset)[:-1])
+        said = np.diff(np.append(np.flatnonzero(own), len(at)))
+        said = np.repeat(said, said)
+        # one hit for each 16 places along and across the diagonal, of the beginning most keys say
         across = (at - offset) // 16
-        order = np.lexsort((offset, across, item))
-        at, item, offset, across = at[order], item[order], offset[order], across[order]
+        order = np.lexsort((offset, -said, offset // 16, across, item))
+        at, item, offset, across, said = at[order], item[order], offset[order], across[order], said[order]
         new = np.ones(len(at), bool)
         new[1:] = (item[1:] != item[:-1]) | (across[1:] != across[:-1]) | (offset[1:] // 16 != offset[:-1] // 16)
-        at, item, offset = at[new], item[new], offset[new]
+        at, item, offset, said = at[new], item[new], offset[new], said[new]
         text = np.searchsorted(first, at, side="right") - 1
         near = np.zeros(len(at), bool)
         for a in range(0, len(at), _RUN):
             s = slice(a, a + _RUN)
             d, size = self.pieces.distance(symbols, first[text[s]], last[text[s]], item[s], offset[s], at[s])
             near[s] = d <= 1.5 * self.max_rate * size
-        text, item, begin = text[near], item[near], (at - offset)[near]
+        text, item, begin, said = text[near], item[near], (at - offset)[near], said[near]
         order = np.lexsort((begin, item, text))
-        return text[order], item[order], begin[order]
+        return text[order], item[order], begin[order], said[order]
 
     def stretch(self, symbols: np.ndarray, lo: int, hi: int, item: int) -> int:
         return semi_global(self.texts[item], symbols[lo:hi].tobytes().decode("utf-8", "replace"))
@@ -295,14 +301,18 @@ class Items:
             if len(symbols) < 3:
                 continue
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            before, seen = None, -1
-            for row, item, begin in zip(*(x.tolist() for x in self.proposals(symbols, first, last))):
-                if (row, item) == before and begin <= seen:  # inside the stretch searched last
-                    continue
+            # [row, item, first beginning, last one inside the stretch, most keys, the beginning they say]
+            stretches: list[list[int]] = []
+            for row, item, begin, said in zip(*(x.tolist() for x in self.proposals(symbols, first, last))):
+                if stretches and stretches[-1][:2] == [row, item] and begin <= stretches[-1][3]:
+                    if said > stretches[-1][4]:
+                        stretches[-1][4:] = said, begin
+                else:
+                    stretches.append([row, item, begin, begin + int(self.slack[item]) // 2, said, begin])
+            for row, item, begin, _, _, likely in stretches:
                 slack = int(self.slack[item])
-                before, seen = (row, item), begin + slack // 2
                 lo, hi = max(begin - slack, int(first[row])), min(begin + int(self.size[item]) + 2 * slack, int(last[row]))
-                found = self.stretch(symbols, lo, hi, item), max(begin, int(first[row]))
+                found = self.stretch(symbols, lo, hi, item), max(likely, int(first[row]))
                 if found[0] <= self.most[item]:
                     best[row, item] = min(found, best.get((row, item), found))
             for row in range(len(first)) if self.exact else ():

@@ -435,3 +435,11 @@ def test_every_place_of_items_and_documents_is_embedded():
     symbols, first, last = D.symbols_of(data, np.array([0, len(text), len(data)]))
     seen = [first[0] + i for i in range(len(text))] + [p for p in range(int(first[1]), int(last[1]))]
     assert D.places(symbols).tolist() == seen
+
+
+def test_a_found_item_begins_where_most_keys_say():
+    from riskloom.llm import decontam as D
+    text = "the quick brown fox jumps over the lazy dog while seven other animals watch it from the hill behind the old mill"
+    items = D.Items([(1, text)], 0.2, effort={len(text).bit_length(): 0})
+    copies = ["zz zz zz " + text + " zz", "a the the the " + text]
+    assert [(r, w, d) for r, _, w, d in items.search(pa.array(copies))] == [(0, 3, 0), (1, 4, 0)]
