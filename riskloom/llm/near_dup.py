@@ -1,13 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
-A text is a weighted set of five-word shingles: weight = (1 + ln tf) * idf.
-The inverse document frequency is ``ln(N / df)`` over the different
-texts, so that copies of a text change no weight, held to shingles in at least
-``common`` of them; rarer ones all get ``ln(1 / common)``, the
-largest.  At most (shingles per document) / ``common`` shingles are that
-common, however large the corpus is, so their table is small by proof: it is
-found by counting per block (a shingle with share s overall has share s in
-some block), summing, and counting the candidates exactly.
+A text is a weighted set of five-word shingles: weight = (1 + ln tf) * idf,
+with the inverse document frequency ``ln(N / df)`` over the ``N`` different
+texts, so that copies of a text change no weight.  Every shingle is counted
+exactly: the texts lie in cells of about ``CELL`` bytes, one row each; a cell
+sends its distinct shingles with their counts to the parts of the hash range,
+each part adds up the counts of its own, and sends every cell the frequencies
+of what it asked for, in the same order.  What is sent grows with the texts, and
+a shingle of all texts is sent once a cell.
 
 Improved consistent weighted sampling draws from a weighted set a shingle and
 a level, so that two sets agree with probability equal to their weighted
@@ -23,7 +23,7 @@ given one star centre per band bucket, chosen by hash; centres whose samples
 agree with its own in less than half the places only met it by chance (a shared
 passage) and are left.  What a bucket leaves so meets all its members in blocks.
 A text is verified against the centre it meets most often.
-Texts joined by the other centres make loose groups.  A group with several classes left
+Classes joined by the other centres make loose groups.  A group with several classes
 is finished exactly: members outside its largest class meet all its members in
 bounded blocks; there agreeing samples choose what is verified, and only links
 that join what the block has not joined yet come out.  Verification computes
@@ -35,20 +35,21 @@ edge table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import wordhash as W
-from riskloom.llm.tables import written
+from riskloom.llm.tables import bucketed, written
 
 SHINGLE, BANDS, ROWS = 5, 14, 4
 SAMPLES = BANDS * ROWS
 SPLIT = 160
+# bytes of text in a cell, and those whose shingles are counted in one part
+CELL, PART = 4 << 20, 16 << 20
+_SENT = 6  # low bytes of a shingle that are sent; its part says the high bits
 _U = np.uint64
 
 
@@ -76,22 +77,29 @@ def shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Idf:
-    """Weights of shingles; ``common`` is the sorted table of common ones."""
+    """Weights of shingles from their document frequencies.  Where none come
+    with the shingles they are looked up in the table ``keys``, ``dfs`` of those
+    in two or more texts.  ``common`` has no effect: no weight is held back."""
 
-    def __init__(self, n_docs: int, keys: list[int], dfs: list[int], common: float):
-        order = np.argsort(np.array(keys, dtype=np.int64).view(_U)) if keys else np.zeros(0, np.int64)
+    def __init__(self, n_docs: int, keys: list[int] = (), dfs: list[int] = (), common: float | None = None):
+        self.n_docs = max(n_docs, 1)
+        order = np.argsort(np.array(keys, dtype=np.int64).view(_U))
         self.keys = np.array(keys, dtype=np.int64).view(_U)[order]
-        self.top = np.log(1 / common)
+        self.dfs = np.array(dfs, dtype=np.float64)[order]
+        self.top = self.of(1.0)
+
+    def of(self, df: np.ndarray | float) -> np.ndarray | float:
         # a shingle of every document keeps a little weight
-        self.idf = np.maximum(np.log(max(n_docs, 1) / np.array(dfs, dtype=np.float64)[order]), 0.01) if keys else np.zeros(0)
+        return np.maximum(np.log(self.n_docs / df), 0.01)
 
-    def weights(self, sh: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        idf = np.full(len(sh), self.top)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, sh), len(self.keys) - 1)
-            hit = self.keys[at] == sh
-            idf[hit] = np.minimum(self.idf[at[hit]], self.top)
-        return (1 + np.log(tf)) * idf
+    def weights(self, sh: np.ndarray, tf: np.ndarray, df: np.ndarray | None = None) -> np.ndarray:
+        if df is None:
+            df = np.ones(len(sh))
+            if len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, sh), len(self.keys) - 1)
+                hit = self.keys[at] == sh
+                df[hit] = self.dfs[at[hit]]
+        return (1 + np.log(tf)) * self.of(df)
 
 
 def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
@@ -158,32 +166,51 @@ def word_ids(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def named(rows: DataFrame) -> DataFrame:
-    """doc_id and uid (128-bit hash of the words) of every row."""
+    """doc_id, uid (128-bit hash of the words) and bytes of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, starts in W.blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([u.tobytes() for u in word_ids(data, starts)], pa.binary())],
-                                                 names=["doc_id", "uid"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([u.tobytes() for u in word_ids(data, starts)], pa.binary()),
+                                                  pa.array(np.diff(starts), pa.int64())], names=["doc_id", "uid", "bytes"])
 
-    return rows.mapInArrow(run, "doc_id long, uid binary")
+    return rows.mapInArrow(run, "doc_id long, uid binary, bytes long")
 
 
 def different(rows: DataFrame) -> DataFrame:
-    """uid and text of every different text.  Copies are merged before the
-    shuffle, so a text that fills a third of the rows costs one row a task."""
+    """uid and text of every different text."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            yield _first_seen(batch.column(0).to_pylist(), batch.column(1), seen)
+
+    return first_of_task(rows).repartition("uid").mapInArrow(merge, "uid binary, text string")
+
+
+def first_of_task(rows: DataFrame) -> DataFrame:
+    """uid and text of the different texts of each task, so that a text that
+    fills a third of the rows costs one row a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for a, b, data, starts in W.blocks(batch.column(0)):
                 yield _first_seen([u.tobytes() for u in word_ids(data, starts)], batch.column(0).slice(a, b - a), seen)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            yield _first_seen(batch.column(0).to_pylist(), batch.column(1), seen)
+    return rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "uid binary, text string")
+
+
+def cell_of(uid, cells: int) -> F.Column:
+    return F.pmod(F.xxhash64(uid), F.lit(cells))
 
-    schema = "uid binary, text string"
-    return rows.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema).repartition("uid").mapInArrow(merge, schema)
+
+def text_cells(rows: DataFrame, cells: int) -> DataFrame:
+    """cell, uid and text (arrays): every different text in the cell of its uid."""
+    def merge(table: pa.Table) -> pa.Table:
+        both = table.select(["uid", "text"]).combine_chunks().to_batches()[0]
+        own = _first_seen(both.column(0).to_pylist(), both.column(1), set())
+        return pa.table({"cell": table["cell"][:1], **{c: pa.ListArray.from_arrays([0, own.num_rows], own[c]) for c in ("uid", "text")}})
+
+    return (first_of_task(rows).withColumn("cell", cell_of("uid", cells)).groupBy("cell")
+            .applyInArrow(merge, "cell long, uid array<binary>, text array<string>"))
 
 
 def _first_seen(uids: list[bytes], texts: pa.Array, seen: set[bytes]) -> pa.RecordBatch:
@@ -195,67 +222,104 @@ def _first_seen(uids: list[bytes], texts: pa.Array, seen: set[bytes]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(uids, pa.binary()), texts], names=["uid", "text"]).filter(pa.array(new, pa.bool_()))
 
 
-def signatures(texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
-    """Per row of ``texts`` (uid, text): uid and samples."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequencies(cells: DataFrame, parts: int) -> DataFrame:
+    """cell and answers (part, df): the document frequency of every distinct
+    shingle of the cell, in ascending order of the shingles."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, starts in W.blocks(batch.column(1)):
-                n = b - a
-                owner, sh, tf = shingles(data, starts)
-                w = idf.weights(sh, tf)
-                total = np.bincount(owner, w, n)
-                size = total / idf.top
-                forms = []
-                for use, make in ((size <= SPLIT, samples_whole), (size >= threshold * SPLIT, samples_binned)):
-                    use = use & (total > 0)
-                    pick = use[owner]
-                    s = make(sh[pick], w[pick], owner[pick], n)
-                    forms.append(pa.array([s[i].tobytes() if use[i] else None for i in range(n)], pa.binary()))
+            for cell, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sh, n = np.unique(np.concatenate([sh for _, _, sh, _ in block_shingles(texts.values)]), return_counts=True)
+                part = (sh >> _U(32)) * _U(parts) >> _U(32)
+                own = np.unique(part)
+                low, high = np.searchsorted(part, own), np.searchsorted(part, own, side="right")
+                sent = np.ascontiguousarray(sh.view(np.uint8).reshape(-1, 8)[:, :_SENT])
+                n = n.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), *forms], names=["uid", "whole", "binned"])
+                    [pa.array(own.astype(np.int64)), pa.array(np.full(len(own), cell)),
+                     *(pa.array([x[i:j].tobytes() for i, j in zip(low, high)], pa.binary()) for x in (sent, n))], names=["part", "cell", "sh", "n"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        sent = np.frombuffer(b"".join(table["sh"].to_pylist()), np.uint8).reshape(-1, _SENT)
+        sh = np.zeros((len(sent), 8), np.uint8)
+        sh[:, :_SENT] = sent
+        n = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint32)
+        _, same = np.unique(sh.view(_U).ravel(), return_inverse=True)
+        df = np.bincount(same, n)[same].astype(np.uint32).tobytes()
+        cut = np.cumsum([0] + [len(x) for x in table["n"].to_pylist()])
+        return pa.table({"cell": table["cell"], "part": table["part"], "df": pa.array([df[i:j] for i, j in zip(cut, cut[1:])], pa.binary())})
+
+    asked = cells.select("cell", "text").mapInArrow(ask, "part long, cell long, sh binary, n binary")
+    answered = asked.groupBy("part").applyInArrow(answer, "cell long, part long, df binary")
+    return answered.groupBy("cell").agg(F.collect_list(F.struct("part", "df")).alias("answers"))
+
+
+def block_shingles(texts: pa.Array) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(first and end row, owner, shingle, count) of runs of texts."""
+    for a, b, data, starts in W.blocks(texts):
+        yield (a, b), *shingles(data, starts)
 
-    return texts.mapInArrow(run, "uid binary, whole binary, binned binary")
 
+def signatures(cells: DataFrame, parts: int, idf: Idf, threshold: float) -> DataFrame:
+    """uid, samples and df of every text: the document frequencies of its
+    distinct shingles, in their order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uids, texts, answers in zip(*batch.columns):
+                runs = list(block_shingles(texts.values))
+                sh = np.concatenate([sh for _, _, sh, _ in runs])
+                _, at = np.unique(sh, return_inverse=True)
+                told = sorted(((x["part"], x["df"]) for x in answers.as_py() or ()), key=lambda x: x[0])
+                every = np.frombuffer(b"".join(d for _, d in told), np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
+                done = 0
+                for (a, b), owner, sh, tf in runs:
+                    n, df = b - a, every[done:done + len(sh)]
+                    done += len(sh)
+                    w = idf.weights(sh, tf, df)
+                    total = np.bincount(owner, w, n)
+                    size = total / idf.top
+                    forms = []
+                    for use, make in ((size <= SPLIT, samples_whole), (size >= threshold * SPLIT, samples_binned)):
+                        use = use & (total > 0)
+                        pick = use[owner]
+                        s = make(sh[pick], w[pick], owner[pick], n)
+                        forms.append(pa.array([s[i].tobytes() if use[i] else None for i in range(n)], pa.binary()))
+                    cut = np.searchsorted(owner, np.arange(n + 1))
+                    own = pa.array([df[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([uids.values.slice(a, n), *forms, own], names=["uid", "whole", "binned", "df"])
+
+    told = cells.join(frequencies(cells, parts), "cell", "left").select("uid", "text", "answers")
+    return told.mapInArrow(run, "uid binary, whole binary, binned binary, df binary")
+
+
+def texts_of(cells: DataFrame, n_cells: int, wanted: DataFrame) -> DataFrame:
+    """uid, text and df of the ``wanted`` (uid, df), found in their cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uids, texts, own in zip(*batch.columns):
+                df = {x["uid"]: x["df"] for x in own.as_py()}
+                at = [i for i, u in enumerate(uids.as_py()) if u in df]
+                uid = uids.values.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([uid, texts.values.take(pa.array(at, pa.int64())), pa.array([df[u] for u in uid.to_pylist()], pa.binary())],
+                                                 names=["uid", "text", "df"])
 
-def common_shingles(docs: DataFrame, common: float) -> tuple[int, DataFrame]:
-    """Number of different texts; sh and df of the shingles in at least
-    ``common`` of them."""
-    return common_in(written(different(docs), "different-texts"), common)
+    own = wanted.groupBy(cell_of("uid", n_cells).alias("cell")).agg(F.collect_list(F.struct("uid", "df")).alias("own"))
+    return cells.join(own, "cell").select("uid", "text", "own").mapInArrow(run, "uid binary, text string, df binary")
 
 
-def common_in(docs: DataFrame, common: float) -> tuple[int, DataFrame]:
-    """``common_shingles`` of texts without copies.  Two passes: per block those
-    of half that share with their counts, then the exact counts of those whose
-    sum still allows it."""
-    n_docs = docs.count()
+def common_shingles(docs: DataFrame, common: float | None = None) -> tuple[int, DataFrame]:
+    """Number of different texts; sh and df of the shingles in two or more of
+    them, as a plain table; ``common`` leaves none out any more."""
+    held = written(different(docs), "different-texts")
+    n_docs = held.count()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, starts in W.blocks(batch.column(0)):
-                sh, df = np.unique(shingles(data, starts)[1], return_counts=True)
-                keep = df >= common / 2 * (b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(sh[keep].view(np.int64)), pa.array(df[keep])], names=["sh", "n"])
+            for _, _, sh, _ in block_shingles(batch.column(0)):
+                sh, df = np.unique(sh, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(df)], names=["sh", "n"])
 
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    likely = written(texts.mapInArrow(local, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
-                     .where(F.col("n") >= common / 2 * n_docs).select("sh"), "common-candidates")
-    keys = np.sort(np.array([r["sh"] for r in likely.collect()], dtype=np.int64))  # at most 2 / common documents' worth
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, _, data, starts in W.blocks(batch.column(0)):
-                sh = shingles(data, starts)[1].view(np.int64)
-                at = np.searchsorted(keys, sh)
-                at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == sh)]
-                df += np.bincount(at, minlength=len(keys))
-        hit = df > 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(df[hit])], names=["sh", "n"])
-
-    if not len(keys):
-        return n_docs, docs.sparkSession.createDataFrame([], "sh long, df long")
-    counted = texts.mapInArrow(exact, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("df"))
-    return n_docs, counted.where(F.col("df") >= common * n_docs)
+    counted = held.select("text").mapInArrow(local, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("df"))
+    return n_docs, counted.where("df > 1")
 
 
 def band_rows(texts: DataFrame) -> DataFrame:
@@ -278,11 +342,11 @@ def band_rows(texts: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts are at least ``threshold`` similar,
-    with the similarity; ``texts`` is the table uid, text."""
+    with the similarity; ``texts`` is the table uid, text, df."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sims = []
-            both = [shingle_sets(batch.column(c), idf) for c in (2, 3)]
+            both = [shingle_sets(batch.column(c), idf, batch.column(c + 2)) for c in (2, 3)]
             for (sa, wa), (sb, wb) in zip(*both):
                 _, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
                 low = np.minimum(wa[ia], wb[ib]).sum()
@@ -290,16 +354,17 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float) ->
                 sims.append(low / high if high else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
-    a = texts.select(F.col("uid").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("uid").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+    a = texts.select(F.col("uid").alias("a"), F.col("text").alias("ta"), F.col("df").alias("da"))
+    b = texts.select(F.col("uid").alias("b"), F.col("text").alias("tb"), F.col("df").alias("db"))
+    joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb", "da", "db")
     return joined.mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold - 1e-9)
 
 
-def shingle_sets(texts: pa.Array, idf: Idf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for a, b, data, starts in W.blocks(texts):
-        owner, sh, tf = shingles(data, starts)
-        w = idf.weights(sh, tf)
+def shingle_sets(texts: pa.Array, idf: Idf, dfs: pa.Array | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and weights of every text; ``dfs`` as ``signatures`` gives them."""
+    for (a, b), owner, sh, tf in block_shingles(texts):
+        df = None if dfs is None else np.frombuffer(b"".join(dfs.slice(a, b - a).to_pylist()), np.uint32)
+        w = idf.weights(sh, tf, df)
         cut = np.searchsorted(owner, np.arange(b - a + 1))
         for i in range(b - a):
             yield sh[cut[i]:cut[i + 1]], w[cut[i]:cut[i + 1]]
@@ -393,14 +458,14 @@ def met_again(star: DataFrame, pairs: DataFrame, texts: DataFrame, block: int) -
     left = members.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("grp")
     # members with the same class all over carry no news
     crowd = written(members.join(left, "grp", "left_semi"), "crowded-buckets")
-    full = crowd.join(texts.select("uid", "whole", "binned"), "uid").withColumn("text", F.lit(None).cast("string"))
+    full = crowd.join(texts.select("uid", "whole", "binned"), "uid").withColumns({"text": F.lit(None).cast("string"), "df": F.lit(None).cast("binary")})
     return finish(full, None, 0.0, block, SAMPLES // 2).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def finish(members: DataFrame, idf: Idf | None, threshold: float, block: int, least_agree: int) -> DataFrame:
     """Links (a, b) between the roots of different classes of one loose group.
 
-    ``members``: grp, uid, root, whole, binned, text.  Members outside the
+    ``members``: grp, uid, root, whole, binned, text, df.  Members outside the
     group's largest class meet all members, block against block of about
     ``block`` rows; a pair in different classes whose samples agree often enough
     is verified on its whole texts (without ``idf``: linked as it is), unless the
@@ -408,7 +473,7 @@ def finish(members: DataFrame, idf: Idf | None, threshold: float, block: int, le
     sizes = members.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n"))
     per = sizes.groupBy("grp").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes"))
     open_ = members.join(per.where("classes > 1"), "grp").withColumn("outside", F.col("root") != F.col("top.root"))
-    row = F.struct("uid", "root", "whole", "binned", "text")
+    row = F.struct("uid", "root", "whole", "binned", "text", "df")
 
     def grouped(df: DataFrame, n: F.Column, name: str) -> DataFrame:
         return (df.withColumn("part", F.pmod(F.xxhash64("uid"), F.ceil(n / block))).groupBy("grp", "part")
@@ -448,7 +513,7 @@ def _links_of(left: list[dict], right: list[dict], idf: Idf | None, threshold: f
         return []
     sets = []
     for side, own in () if idf is None else ((left, sorted({i for i, _ in near})), (right, sorted({j for _, j in near}))):
-        cut = shingle_sets(pa.array([side[i]["text"] for i in own], pa.string()), idf)
+        cut = shingle_sets(pa.array([side[i]["text"] for i in own], pa.string()), idf, pa.array([side[i]["df"] for i in own], pa.binary()))
         sets.append({i: (sh, w, w.sum()) for i, (sh, w) in zip(own, cut)})
     joined, found = _Joined(), []
     for i, j in near:
@@ -468,47 +533,42 @@ def _links_of(left: list[dict], right: list[dict], idf: Idf | None, threshold: f
     return found
 
 
-def classed(docs: DataFrame, threshold: float, common: float, block: int) -> DataFrame:
+def classed(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     """doc_id, uid (hash of its words) and root (the class) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = written(named(rows), "ids")
-    held = written(different(rows), "different-texts")
+    size = ids.agg(F.sum("bytes")).first()[0] or 0
+    n_cells, parts = size // CELL + 1, size // PART + 1
+    cells = bucketed(text_cells(rows, n_cells), "text-cells", "cell", n_cells)
     # a text counts once, however often it was copied
-    n_docs, table = common_in(held, common)
-    found = table.collect()  # at most (shingles per document) / common rows
-    idf = Idf(n_docs, [r["sh"] for r in found], [r["df"] for r in found], common)
-    texts = written(signatures(held, idf, threshold), "signatures")
+    idf = Idf(cells.agg(F.sum(F.size("uid"))).first()[0] or 0)
+    texts = written(signatures(cells, parts, idf, threshold), "signatures")
     bands = written(band_rows(texts), "bands")
 
     pairs = written(met_pairs(bands, texts, block), "pairs")
     ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    held = written(held.join(ends, "uid", "left_semi"), "pair-texts")
+    held = written(texts_of(cells, n_cells, texts.select("uid", "df").join(ends, "uid", "left_semi")), "pair-texts")
 
     sides = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
     first = sides.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    def strict() -> DataFrame:
-        return written(components(verified(first, held, idf, threshold)), "roots")
-
-    def loose_groups() -> DataFrame:
-        found = components(pairs.select("a", "b"), "loose-groups")
-        return written(found.select("uid", F.col("root").alias("grp")), "loose-groups")
-
-    # independent chains of short rounds, side by side
-    spark = docs.sparkSession
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        strict_run, loose_run = (pool.submit(inheritable_thread_target(spark)(f)) for f in (strict, loose_groups))
-        roots, loose = strict_run.result(), loose_run.result()
-    known = loose.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    members = known.join(texts.select("uid", "whole", "binned"), "uid").join(held, "uid")
+    roots = written(components(verified(first, held, idf, threshold)), "roots")
+    known = written(ends.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "known")
+
+    # of the other pairs only those between classes matter
+    own = [known.select(F.col("uid").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    between = pairs.join(own[0], "a").join(own[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    loose = components(between, "loose-groups").select(F.col("uid").alias("root"), F.col("root").alias("grp"))
+    members = written(known.join(loose, "root"), "loose-members")
+    members = members.join(texts.select("uid", "whole", "binned"), "uid").join(held, "uid")
     more = written(finish(members, idf, threshold, block, int(0.64 * SAMPLES)), "rest-links")
     if not more.isEmpty():  # links of whole classes: only their roots take part
         merged = components(more, "merged").select(F.col("uid").alias("root"), F.col("root").alias("top"))
         roots = known.join(merged, "root", "left").select("uid", F.coalesce("top", "root").alias("root"))
 
-    return ids.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    return ids.select("doc_id", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, common: float = 0.1, block: int = 128) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, block: int = 128) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row, with
     the number of members.
 
@@ -517,12 +577,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, common: float = 0.1, block:
     only such rows has a null class_id; repeated rows are in one class; an
     empty table gives no rows; extra columns are ignored.
     """
-    rows = classed(docs, threshold, common, block)
+    rows = classed(docs, threshold, block)
     own = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(own, "root").select("doc_id", "class_id", "class_size")
 
 
-def one_of_each(docs: DataFrame, columns: list[str], threshold: float = 0.8, common: float = 0.1, block: int = 128) -> DataFrame:
+def one_of_each(docs: DataFrame, columns: list[str], threshold: float = 0.8, block: int = 128) -> DataFrame:
     """``columns`` of one row a class: its least doc_id (null last), of that id's
     texts in the class the one with the least hash, and of rows equal in both
     the least by the other columns.
@@ -536,7 +596,7 @@ def one_of_each(docs: DataFrame, columns: list[str], threshold: float = 0.8, com
         return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"))
 
     doc_id = F.col("doc_id").cast("long")
-    found = classed(docs, threshold, common, block)
+    found = classed(docs, threshold, block)
     best = found.groupBy("root").agg(F.min(F.struct(key(F.col("doc_id")).alias("_key"), F.col("uid").alias("_uid"))).alias("r"))
     inner = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*columns).alias("row"))
     fields = docs.select(F.struct(*columns).alias("row")).schema["row"].dataType.simpleString()

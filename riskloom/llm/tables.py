@@ -33,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As ``written``, in buckets of ``column``: joins on it move no row of this
+    side."""
+    path = scratch_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table, format="parquet")
+    return df.sparkSession.table(table)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that no later job reads."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -300,6 +301,35 @@ def test_near_dup_against_brute_force(spark):
     assert near_dup.classes(d.limit(0)).count() == 0
 
 
+def test_near_dup_weighs_by_exact_document_frequency(spark, monkeypatch):
+    """A passage in 7 of 90 texts weighs ln 13 a shingle, words of one text ln 90."""
+    monkeypatch.setattr(near_dup, "CELL", 2000)  # several cells and parts
+    monkeypatch.setattr(near_dup, "PART", 5000)
+    rng = random.Random(12)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(104)
+    rows = [passage + text(10) for _ in range(6)]  # 100 of 110 shingles in common: 100 / 120 if all weigh alike
+    rows += [text(40) for _ in range(83)]
+    rows += [rows[0][:113] + text(1)]
+    shingled = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in rows]
+    df = Counter(s for own in shingled for s in own)
+    weight = lambda own: sum(math.log(len(rows) / df[s]) for s in own)
+    similar = lambda a, b: weight(shingled[a] & shingled[b]) / weight(shingled[a] | shingled[b])
+    assert similar(0, 1) < 0.78 and similar(0, 89) > 0.9 and len(shingled[0] & shingled[1]) / len(shingled[0] | shingled[1]) > 0.8
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(d).collect()}
+    assert got == {i: 0 if i == 89 else i for i in range(90)}
+    held = near_dup.text_cells(d, 5).cache()
+    texts = [" ".join(w) for w in rows]
+    n_docs, table = near_dup.common_shingles(d)
+    idf = near_dup.Idf(n_docs, *zip(*((r.sh, r.df) for r in table.collect())))
+    want = {t: w.tolist() for t, (_, w) in zip(texts, near_dup.shingle_sets(pa.array(texts), idf))}
+    told = near_dup.signatures(held, 3, near_dup.Idf(n_docs), 0.8)
+    found = near_dup.texts_of(held, 5, told).toArrow()
+    mine = near_dup.shingle_sets(found["text"].combine_chunks().cast(pa.string()), near_dup.Idf(n_docs), found["df"].combine_chunks())
+    assert {t: w.tolist() for t, (_, w) in zip(found["text"].to_pylist(), mine)} == want
+
+
 def test_near_copy_of_the_hottest_text(spark):
     rng = random.Random(3)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
