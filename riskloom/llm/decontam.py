@@ -44,7 +44,7 @@ STEPS, SAMPLED, TABLES = 32, 16, 2
 # walks from every place, by rising effort
 EFFORTS = (1, 2, 3)
 PIECE, STRIDE, DRIFT = 64, 16, 16
-_RUN = 1 << 13  # places at a time: what a walk touches stays in the cache
+_RUN = 1 << 15  # places at a time: few calls, and what a walk touches is a few MB
 _SPACES = {c: " " for c in range(0x09, 0x0E)}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -80,22 +80,24 @@ def places(symbols: np.ndarray) -> np.ndarray:
 
 
 def embed(symbols: np.ndarray, walk: int) -> np.ndarray:
-    """Every symbol in the low byte, the move after step t in bit 8 + t; a walk
-    stays on a zero."""
-    move = np.random.default_rng([walk, STEPS]).integers(0, 1 << STEPS, 256, dtype=np.uint64) << _U(8)
+    """The moves of every symbol, that after step t in bit t: 32 random bits,
+    other ones for each symbol, that name it too; a walk stays on a zero."""
+    move = np.random.default_rng([walk, STEPS]).integers(0, 1 << STEPS, 256, dtype=np.uint64).astype(np.uint32)
     move[0] = 0
-    return np.take(move | np.arange(256, dtype=np.uint64), symbols)
+    return np.take(move, symbols)
 
 
 def steps(embedded: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
-    """The CGK walk from every place in ``start``, step by step."""
+    """The CGK walk from every place in ``start``, step by step, each in the same
+    array."""
     here = start.astype(np.int64)
+    step, move = np.empty(len(here), np.uint32), np.empty(len(here), np.uint32)
     for t in range(STEPS):
-        step = embedded[here]
+        np.take(embedded, here, out=step, mode="clip")
         yield step
-        step = step >> _U(8 + t)
-        step &= _U(1)
-        here += step.view(np.int64)
+        np.right_shift(step, np.uint32(t), out=move)
+        np.bitwise_and(move, np.uint32(1), out=move)
+        here += move
 
 
 def coordinates(walk: int, table: int) -> np.ndarray:
@@ -111,12 +113,12 @@ def window_keys(symbols: np.ndarray, start: np.ndarray, walks: int) -> Iterator[
         embedded = embed(symbols, walk)
         for a in range(0, len(start), _RUN):
             own = start[a:a + _RUN]
-            keys = [np.full(len(own), 1 + walk * TABLES + table, _U) for table in range(TABLES)]
+            keys = [np.full(len(own), 1 + walk * TABLES + table, np.uint32) for table in range(TABLES)]
             for t, step in enumerate(steps(embedded, own)):
                 for key, taken in zip(keys, sampled[walk]):
                     if t in taken:
                         key += step
-                        key *= _U(W._STEP)
+                        key *= np.uint32(W._STEP & 0xFFFFFFFF)
             for table, key in enumerate(keys):
                 yield walk * TABLES + table, a, key
 
@@ -174,36 +176,61 @@ class Pieces:
         self.size = np.array(size, np.int64)
         self.masks = np.array(masks, _U).reshape(-1)
 
-    def distance(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, offset: np.ndarray,
-                 at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edit distance of the item's piece around ``offset`` to the text
-        [low, high) around ``at``, and the piece's size."""
+    def near(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, offset: np.ndarray,
+             at: np.ndarray, rate: float) -> np.ndarray:
+        """Whether the item's piece around ``offset`` is within ``rate`` edits a
+        symbol of some stretch of the text [low, high) around ``at``."""
         want = np.maximum(offset + SAMPLED // 2 - PIECE // 2, 0)
         piece = np.minimum(self.first[item] + (want + STRIDE // 2) // STRIDE, self.last[item])
         size = self.size[piece]
         begin = at - offset + self.begin[piece] - DRIFT
-        mask_at = piece * 33
+        span = PIECE + 2 * DRIFT
+        # the stretches side by side, one step a row; 32 outside the text
+        around = np.lib.stride_tricks.sliding_window_view(np.pad(symbols & 31, span, constant_values=32), span)
+        window = around[np.clip(begin + span, 0, len(around) - 1)]
+        step = np.arange(span)
+        outside = np.flatnonzero((begin < low) | (begin + span > high))
+        p = begin[outside, None] + step
+        window[outside] = np.where((p >= low[outside, None]) & (p < high[outside, None]), window[outside], 32)
+        window = np.ascontiguousarray(window.T)
+        most = (rate * size).astype(np.int64)
+        mask_at, top = piece * 33, (size - 1).astype(_U)
+        own = np.arange(len(at))
         pv, mv = np.full(len(at), ~_U(0)), np.zeros(len(at), _U)
-        score = size.copy()
-        best = size.copy()
-        top = (size - 1).astype(_U)
-        for t in range(PIECE + 2 * DRIFT):
-            p = begin + t
-            c = np.take(symbols, p, mode="clip") & 31
-            c = np.where((p >= low) & (p < high), c, 32)
-            eq = np.take(self.masks, mask_at + c)
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph = mv | ~(xh | pv)
-            mh = pv & xh
-            score += ((ph >> top) & _U(1)).view(np.int64)
-            score -= ((mh >> top) & _U(1)).view(np.int64)
-            ph <<= _U(1)
-            mh <<= _U(1)
-            pv = mh | ~(xv | ph)
-            mv = ph & xv
+        score, best = size.copy(), size.copy()
+        near = np.zeros(len(at), bool)
+        index, (eq, xv, xh, ph, mh) = np.empty(len(at), np.int64), np.empty((5, len(at)), _U)
+        for t in range(span):
+            np.add(mask_at, window[t], out=index)
+            np.take(self.masks, index, out=eq, mode="clip")
+            np.bitwise_or(eq, mv, out=xv)
+            np.bitwise_and(eq, pv, out=xh)
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            np.bitwise_or(xh, pv, out=ph)
+            np.invert(ph, out=ph)
+            ph |= mv
+            np.bitwise_and(pv, xh, out=mh)
+            for change, side in ((np.add, ph), (np.subtract, mh)):
+                np.right_shift(side, top, out=xh)
+                xh &= _U(1)
+                change(score, xh.view(np.int64), out=score)
+                side <<= _U(1)
+            np.bitwise_or(xv, ph, out=pv)
+            np.invert(pv, out=pv)
+            pv |= mh
+            np.bitwise_and(ph, xv, out=mv)
             np.minimum(best, score, out=best)
-        return best, size
+            if t >= PIECE and t % 4 == 3:
+                near[own[best <= most]] = True
+                # a score falls by one a step at most, so only these are still open
+                left = np.flatnonzero((best > most) & (score <= most + (span - 1 - t)))
+                if 4 * len(left) < 3 * len(own) or t == span - 1:
+                    own, pv, mv, score, best, most, mask_at, top = (x[left] for x in (own, pv, mv, score, best, most, mask_at, top))
+                    window = window[:, left]
+                    index, eq, xv, xh, ph, mh = (x[:len(left)] for x in (index, eq, xv, xh, ph, mh))
+        return near
 
 
 class Keys:
@@ -213,11 +240,11 @@ class Keys:
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.offset = keys[order], item[order], offset[order]
         self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.keys >> _U(42)).astype(np.int64)] = True
+        self.filter[self.keys >> np.uint32(10)] = True
 
     def hits(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the window, index of the owner) of every shared key."""
-        hit = np.flatnonzero(np.take(self.filter, (key >> _U(42)).view(np.int64)))
+        hit = np.flatnonzero(np.take(self.filter, key >> np.uint32(10)))
         lo = np.searchsorted(self.keys, key[hit])
         n = np.searchsorted(self.keys, key[hit], side="right") - lo
         run = np.repeat(np.cumsum(n) - n, n)
@@ -284,8 +311,7 @@ class Items:
         near = np.zeros(len(at), bool)
         for a in range(0, len(at), _RUN):
             s = slice(a, a + _RUN)
-            d, size = self.pieces.distance(symbols, first[text[s]], last[text[s]], item[s], offset[s], at[s])
-            near[s] = d <= 1.5 * self.max_rate * size
+            near[s] = self.pieces.near(symbols, first[text[s]], last[text[s]], item[s], offset[s], at[s], 1.5 * self.max_rate)
         text, item, begin, said = text[near], item[near], (at - offset)[near], said[near]
         order = np.lexsort((begin, item, text))
         return text[order], item[order], begin[order], said[order]

@@ -257,6 +257,30 @@ def test_leaks_of_awkward_rows(spark):
     assert docs.where(decontam.holds_item(F.col("text"), bench.limit(0))).count() == 0
 
 
+def test_pieces_near_a_place_against_brute_force():
+    """Bit-parallel with early decisions against plain distances, also at both
+    ends of a text, for pieces shorter than a machine word and in long runs."""
+    rng = random.Random(4)
+    items = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (30, 64, 65, 100, 200)]
+    texts = [decontam.edited(i, k, rng) for i in items for k in (0, 5, 12, 25)] + ["", "abc"]
+    raw = "".join(texts).encode()
+    starts = np.cumsum([0] + [len(t) for t in texts])
+    symbols, first, last = decontam.symbols_of(np.frombuffer(raw, np.uint8), starts)
+    pieces = decontam.Pieces([i.encode() for i in items])
+    rows = [(t, i, o, a) for t in range(len(texts)) for i in range(len(items)) for o in range(0, len(items[i]), 13)
+            for a in range(int(first[t]), int(last[t]), 11)]
+    text, item, offset, at = (np.array(x, np.int64) for x in zip(*rows))
+    got = pieces.near(symbols, first[text], last[text], item, offset, at, 0.3)
+    span, want = decontam.PIECE + 2 * decontam.DRIFT, []
+    for t, i, o, a in rows:
+        piece = min(int(pieces.first[i]) + (max(o + decontam.SAMPLED // 2 - decontam.PIECE // 2, 0) + decontam.STRIDE // 2) // decontam.STRIDE, int(pieces.last[i]))
+        own = items[i][int(pieces.begin[piece]):int(pieces.begin[piece]) + decontam.PIECE]
+        begin = a - o + int(pieces.begin[piece]) - decontam.DRIFT
+        around = symbols[max(begin, int(first[t])):max(min(begin + span, int(last[t])), 0)].tobytes().decode()
+        want.append(decontam.semi_global(own, around) <= 0.3 * len(own))
+    assert got.tolist() == want and 50 < sum(want) < len(want) - 50
+
+
 def test_near_dup_against_brute_force(spark):
     rng = random.Random(8)
     text = lambda n: [str(rng.randrange(5000)) for _ in range(n)]
