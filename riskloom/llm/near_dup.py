@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import wordhash as W
-from riskloom.llm.tables import bucketed, written
+from riskloom.llm.tables import bucketed, drop, written
 
 SHINGLE, BANDS, ROWS = 5, 14, 4
 SAMPLES = BANDS * ROWS
@@ -539,7 +539,7 @@ def classed(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     ids = written(named(rows), "ids")
     size = ids.agg(F.sum("bytes")).first()[0] or 0
     n_cells, parts = size // CELL + 1, size // PART + 1
-    cells = bucketed(text_cells(rows, n_cells), "text-cells", "cell", n_cells)
+    cells, cell_table, cell_path = bucketed(text_cells(rows, n_cells), "text-cells", "cell", n_cells)
     # a text counts once, however often it was copied
     idf = Idf(cells.agg(F.sum(F.size("uid"))).first()[0] or 0)
     texts = written(signatures(cells, parts, idf, threshold), "signatures")
@@ -548,6 +548,8 @@ def classed(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     pairs = written(met_pairs(bands, texts, block), "pairs")
     ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     held = written(texts_of(cells, n_cells, texts.select("uid", "df").join(ends, "uid", "left_semi")), "pair-texts")
+    docs.sparkSession.sql(f"DROP TABLE {cell_table}")
+    drop(docs.sparkSession, cell_path)
 
     sides = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
     first = sides.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -33,13 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str, str]:
     """As ``written``, in buckets of ``column``: joins on it move no row of this
-    side."""
+    side.  Also the names of the table and of its folder, for their removal."""
     path = scratch_path(df.sparkSession, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table, format="parquet")
-    return df.sparkSession.table(table)
+    return df.sparkSession.table(table), table, path
 
 
 def drop(spark: SparkSession, path: str) -> None:
