@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,8 +224,8 @@ def _first_seen(uids: list[bytes], texts: pa.Array, seen: set[bytes]) -> pa.Reco
 
 
 def frequencies(cells: DataFrame, parts: int) -> DataFrame:
-    """cell and answers (part, df): the document frequency of every distinct
-    shingle of the cell, in ascending order of the shingles."""
+    """cell, part and df: the document frequency of every distinct shingle that
+    the cell has in the part, in ascending order of the shingles."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -238,19 +239,31 @@ def frequencies(cells: DataFrame, parts: int) -> DataFrame:
                     [pa.array(own.astype(np.int64)), pa.array(np.full(len(own), cell)),
                      *(pa.array([x[i:j].tobytes() for i, j in zip(low, high)], pa.binary()) for x in (sent, n))], names=["part", "cell", "sh", "n"])
 
-    def answer(table: pa.Table) -> pa.Table:
-        sent = np.frombuffer(b"".join(table["sh"].to_pylist()), np.uint8).reshape(-1, _SENT)
-        sh = np.zeros((len(sent), 8), np.uint8)
-        sh[:, :_SENT] = sent
-        n = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint32)
-        _, same = np.unique(sh.view(_U).ravel(), return_inverse=True)
-        df = np.bincount(same, n)[same].astype(np.uint32).tobytes()
-        cut = np.cumsum([0] + [len(x) for x in table["n"].to_pylist()])
-        return pa.table({"cell": table["cell"], "part": table["part"], "df": pa.array([df[i:j] for i, j in zip(cut, cut[1:])], pa.binary())})
-
     asked = cells.select("cell", "text").mapInArrow(ask, "part long, cell long, sh binary, n binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "cell long, part long, df binary")
-    return answered.groupBy("cell").agg(F.collect_list(F.struct("part", "df")).alias("answers"))
+    return asked.groupBy("part").applyInArrow(_answers, "cell long, part long, df binary")
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """To every row of one part its shingles' counts over all rows."""
+    sent = _bytes(table["sh"]).reshape(-1, _SENT)
+    sh = np.zeros((len(sent), 8), np.uint8)
+    sh[:, :_SENT] = sent
+    del sent
+    sh = sh.view(_U).ravel()
+    order = np.argsort(sh)
+    sh = sh[order]
+    first = np.flatnonzero(np.append(True, sh[1:] != sh[:-1]))
+    sizes = np.diff(np.append(first, len(sh)))
+    del sh
+    df = np.empty(len(order), np.uint32)
+    df[order] = np.repeat(np.add.reduceat(_bytes(table["n"]).view(np.uint32)[order], first, dtype=np.uint32), sizes)
+    cut = np.cumsum([0] + [len(x.as_buffer()) // 4 for x in table["n"]])
+    return pa.table({"cell": table["cell"], "part": table["part"], "df": pa.array([df[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
+
+
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows, end to end."""
+    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in column)])
 
 
 def block_shingles(texts: pa.Array) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -262,48 +275,45 @@ def block_shingles(texts: pa.Array) -> Iterator[tuple[tuple[int, int], np.ndarra
 def signatures(cells: DataFrame, parts: int, idf: Idf, threshold: float) -> DataFrame:
     """uid, samples and df of every text: the document frequencies of its
     distinct shingles, in their order."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uids, texts, answers in zip(*batch.columns):
-                runs = list(block_shingles(texts.values))
-                sh = np.concatenate([sh for _, _, sh, _ in runs])
-                _, at = np.unique(sh, return_inverse=True)
-                told = sorted(((x["part"], x["df"]) for x in answers.as_py() or ()), key=lambda x: x[0])
-                every = np.frombuffer(b"".join(d for _, d in told), np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
-                done = 0
-                for (a, b), owner, sh, tf in runs:
-                    n, df = b - a, every[done:done + len(sh)]
-                    done += len(sh)
-                    w = idf.weights(sh, tf, df)
-                    total = np.bincount(owner, w, n)
-                    size = total / idf.top
-                    forms = []
-                    for use, make in ((size <= SPLIT, samples_whole), (size >= threshold * SPLIT, samples_binned)):
-                        use = use & (total > 0)
-                        pick = use[owner]
-                        s = make(sh[pick], w[pick], owner[pick], n)
-                        forms.append(pa.array([s[i].tobytes() if use[i] else None for i in range(n)], pa.binary()))
-                    cut = np.searchsorted(owner, np.arange(n + 1))
-                    own = pa.array([df[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
-                    yield pa.RecordBatch.from_arrays([uids.values.slice(a, n), *forms, own], names=["uid", "whole", "binned", "df"])
-
-    told = cells.join(frequencies(cells, parts), "cell", "left").select("uid", "text", "answers")
-    return told.mapInArrow(run, "uid binary, whole binary, binned binary, df binary")
+    def run(held: pa.Table, told: pa.Table) -> pa.Table:
+        uids, texts = (held[c].combine_chunks().flatten() for c in ("uid", "text"))
+        runs = list(block_shingles(texts))
+        sh = np.concatenate([sh for _, _, sh, _ in runs])
+        _, at = np.unique(sh, return_inverse=True)
+        del sh
+        every = _bytes(told.sort_by("part")["df"]).view(np.uint32)[at]
+        done, out = 0, []
+        for (a, b), owner, sh, tf in runs:
+            n, df = b - a, every[done:done + len(sh)]
+            done += len(sh)
+            w = idf.weights(sh, tf, df)
+            total = np.bincount(owner, w, n)
+            size = total / idf.top
+            forms = []
+            for use, make in ((size <= SPLIT, samples_whole), (size >= threshold * SPLIT, samples_binned)):
+                use = use & (total > 0)
+                pick = use[owner]
+                s = make(sh[pick], w[pick], owner[pick], n)
+                forms.append(pa.array([s[i].tobytes() if use[i] else None for i in range(n)], pa.binary()))
+            cut = np.searchsorted(owner, np.arange(n + 1))
+            own = pa.array([df[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([uids.slice(a, n), *forms, own], names=["uid", "whole", "binned", "df"]))
+        return pa.Table.from_batches(out)
+
+    return (cells.select("cell", "uid", "text").groupBy("cell").cogroup(frequencies(cells, parts).groupBy("cell"))
+            .applyInArrow(run, "uid binary, whole binary, binned binary, df binary"))
 
 
 def texts_of(cells: DataFrame, n_cells: int, wanted: DataFrame) -> DataFrame:
     """uid, text and df of the ``wanted`` (uid, df), found in their cells."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uids, texts, own in zip(*batch.columns):
-                df = {x["uid"]: x["df"] for x in own.as_py()}
-                at = [i for i, u in enumerate(uids.as_py()) if u in df]
-                uid = uids.values.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([uid, texts.values.take(pa.array(at, pa.int64())), pa.array([df[u] for u in uid.to_pylist()], pa.binary())],
-                                                 names=["uid", "text", "df"])
-
-    own = wanted.groupBy(cell_of("uid", n_cells).alias("cell")).agg(F.collect_list(F.struct("uid", "df")).alias("own"))
-    return cells.join(own, "cell").select("uid", "text", "own").mapInArrow(run, "uid binary, text string, df binary")
+    def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        uids, texts = (held[c].combine_chunks().flatten() for c in ("uid", "text"))
+        where = pc.index_in(uids, value_set=wanted["uid"].combine_chunks())
+        hit = where.is_valid()
+        return pa.table({"uid": uids.filter(hit), "text": texts.filter(hit), "df": wanted["df"].take(where.filter(hit))})
+
+    own = wanted.select(cell_of("uid", n_cells).alias("cell"), "uid", "df")
+    return cells.select("cell", "uid", "text").groupBy("cell").cogroup(own.groupBy("cell")).applyInArrow(run, "uid binary, text string, df binary")
 
 
 def common_shingles(docs: DataFrame, common: float | None = None) -> tuple[int, DataFrame]:

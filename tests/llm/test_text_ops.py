@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -354,6 +355,36 @@ def test_near_dup_weighs_by_exact_document_frequency(spark, monkeypatch):
     assert {t: w.tolist() for t, (_, w) in zip(found["text"].to_pylist(), mine)} == want
 
 
+def test_memory_of_near_dup_tasks(spark):
+    """A task's hashing takes blocks, not cells, and counts take few bytes a
+    shingle; no row holds what a whole cell is told."""
+    rng = random.Random(4)
+    texts = pa.array([" ".join(f"w{rng.randrange(10**5)}" for _ in range(500)) for _ in range(1200)])
+
+    def peak(work) -> float:
+        work()
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert texts.nbytes > 3.5e6 and peak(lambda: [None for _ in near_dup.block_shingles(texts)]) < 40
+    n = 10**6
+    sent, counts = np.random.default_rng(4).integers(0, 9, (n, near_dup._SENT), np.uint8), np.ones(n, np.uint32)
+    row = lambda x: pa.array([x[:n // 2].tobytes(), x[n // 2:].tobytes()], pa.binary())
+    part = pa.table({"part": [1, 1], "cell": [1, 2], "sh": row(sent), "n": row(counts)})
+    assert peak(lambda: near_dup._answers(part)) < 45
+    want = Counter(map(bytes, sent))
+    got = np.frombuffer(b"".join(near_dup._answers(part)["df"].to_pylist()), np.uint32)
+    assert got.tolist() == [want[bytes(x)] for x in sent]
+    cells = near_dup.text_cells(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), 2).cache()
+    told = near_dup.signatures(cells, 1, near_dup.Idf(1), 0.8)
+    for df in (told, near_dup.texts_of(cells, 2, told)):
+        assert df.count() == 1 and "collect_list" not in df._jdf.queryExecution().toString()
+
+
 def test_near_copy_of_the_hottest_text(spark):
     rng = random.Random(3)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
