@@ -48,8 +48,9 @@ from riskloom.llm.tables import bucketed, drop, written
 SHINGLE, BANDS, ROWS = 5, 14, 4
 SAMPLES = BANDS * ROWS
 SPLIT = 160
-# bytes of text in a cell, and those whose shingles are counted in one part
-CELL, PART = 4 << 20, 16 << 20
+# bytes of text in a cell, and those whose shingles are counted in one part: a
+# Python worker takes about 8 times as much, and keeps some of it for later stages
+CELL, PART = 4 << 20, 4 << 20
 _SENT = 6  # low bytes of a shingle that are sent; its part says the high bits
 _U = np.uint64
 
@@ -610,14 +611,19 @@ def one_of_each(docs: DataFrame, columns: list[str], threshold: float = 0.8, blo
     doc_id = F.col("doc_id").cast("long")
     found = classed(docs, threshold, block)
     best = found.groupBy("root").agg(F.min(F.struct(key(F.col("doc_id")).alias("_key"), F.col("uid").alias("_uid"))).alias("r"))
-    inner = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*columns).alias("row"))
-    fields = docs.select(F.struct(*columns).alias("row")).schema["row"].dataType.simpleString()
+    inner = docs.select(doc_id.alias("doc_id"), F.struct(*columns).alias("row"))
+    kinds = inner.schema["row"].dataType
+    at = columns.index("text")
+    if kinds[at].dataType.simpleString() != "string":  # else a text goes to Python once, in its row
+        inner = inner.withColumn("text", F.col("row").getField(kinds[at].name).cast("string"))
+    fields = kinds.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, starts in W.blocks(batch.column(1)):
+            doc_ids, rows = batch.column(0), batch.column(1)
+            for a, b, data, starts in W.blocks(batch.column(2) if batch.num_columns > 2 else rows.field(at)):
                 uids = pa.array([u.tobytes() for u in word_ids(data, starts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), uids, batch.column(2).slice(a, b - a)], names=["doc_id", "_uid", "row"])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), uids, rows.slice(a, b - a)], names=["doc_id", "_uid", "row"])
 
     named_rows = inner.mapInArrow(run, f"doc_id long, _uid binary, row {fields}").select(key(F.col("doc_id")).alias("_key"), "_uid", "row")
     once = named_rows.groupBy("_key", "_uid").agg(F.min("row").alias("row"))

@@ -26,7 +26,7 @@ def mix(z: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(1 << (n - 1).bit_length(), 1 << 19)
+        size = max(1 << (n - 1).bit_length(), 1 << 17)
         for k, b in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, b, _U)
             steps[0] = 1
@@ -70,7 +70,7 @@ def windows(hashes: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray
     return mix(out, 1), inside
 
 
-def blocks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, starts) of runs of texts of about ``most``
     bytes each; a null is an empty text; a longer text is a block of its own.
     Hashing takes about 50 bytes for each byte of a block."""
